@@ -1,0 +1,860 @@
+"""Every operation as a query over the generated tables, next to plain SQL that must give the same rows.
+
+A query takes ``(spark, sf_dir)``. The SQL starts from the same adapter texts but computes the result its
+own way. Times leave as text, so that engines compare alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallywick import adapters, schemas
+from tallywick.domains import AGE_RANGES, ALL, CHART_RACE, RACES, RECENT_CHART_RACE, SEXES, SOLVED, UNSOLVED, WEAPONS
+from tallywick.operators import breaks, incidents as inc, market, prices, report
+from tallywick.plans.averages import run_averages
+from tallywick.plans.county_map import MapRequest, map_table, run_map
+from tallywick.plans.market import run_market
+from tallywick.plans.state_report import run_report
+from tallywick.session import scratch_path
+from tallywick.sources import documents, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+YEARS = (1996, 2000)
+MAX_YEAR = 2000
+HANDGUN, KNIFE, FIRE = "Handgun - pistol, revolver, etc", "Knife or cutting instrument", "Fire"
+VICTIM = {"sex": ["Female", "Male"], "race": ["White", "Black", "Unknown"], "age": ["<1", "10-19", "70+", "Unknown"]}
+OFFENDER = {"sex": ["Male", "Unknown"], "race": ["Asian", "White"], "age": ["1-9", "20-29", "30-39", "Unknown"]}
+BY_AGE_IN_SQL = """CASE WHEN {age} = 0 THEN '<1' WHEN {age} BETWEEN 1 AND 9 THEN '1-9'
+  WHEN {age} BETWEEN 10 AND 69 THEN (({age} // 10) * 10) || '-' || (({age} // 10) * 10 + 9)
+  WHEN {age} BETWEEN 70 AND 554 THEN '70+' WHEN {age} = 999 THEN 'Unknown' END"""
+
+# --- SQL building blocks --------------------------------------------------------------------------------
+
+_BARE = {t: t for t in ("orders", "customer", "nation", "region", "supplier")}
+_CTE = {name: text.format(**_BARE) for name, text in adapters.SQL.items()}
+_CTE["people"] = f"SELECT * FROM incidents WHERE Year BETWEEN {YEARS[0]} AND {YEARS[1]}"
+_CTE["open_cases"] = "SELECT * FROM people WHERE Solved = 'No'"
+_CTE["recent_open"] = f"SELECT * FROM incidents WHERE Solved = 'No' AND Year >= {MAX_YEAR} - 3"
+_CTE["all_bars"] = """
+SELECT asset, week AS ts, arg_min(lo, day) AS open, max(hi) AS high, min(lo) AS low, arg_max(hi, day) AS close,
+  sum(quantity) AS volume, CAST(sum(n) AS BIGINT) AS trades
+FROM (SELECT asset, day, CAST(date_trunc('week', day) AS DATE) AS week, min(price) AS lo, max(price) AS hi,
+    sum(quantity) AS quantity, count(*) AS n
+  FROM (SELECT unnest([CASE l_returnflag WHEN 'A' THEN 'XXBTZUSD' WHEN 'N' THEN 'XETHZUSD' WHEN 'R' THEN 'XLTCZUSD' END,
+        'T' || l_suppkey || 'USD', 'T' || l_suppkey || l_returnflag || 'USD']) AS asset,
+      CAST(l_shipdate AS DATE) AS day, floor(l_extendedprice) AS price, l_quantity AS quantity FROM lineitem) t
+  GROUP BY asset, day) d
+GROUP BY asset, week"""
+_CTE["bars"] = "SELECT * FROM all_bars WHERE ts > (SELECT max(ts) FROM all_bars) - 1400"
+_CTE["numbered"] = """
+SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS week_number,
+  count(*) OVER (PARTITION BY asset) AS week_count FROM bars"""
+_CTE["averages"] = """
+SELECT asset, count(*) AS week_count, avg(close) AS avg_overall, min(ts) AS first_ts,
+  avg(close) FILTER (WHERE week_number <= 50) AS avg_50, avg(close) FILTER (WHERE week_number <= 99) AS avg_100,
+  CASE WHEN count(*) = 200 THEN '200' WHEN count(*) BETWEEN 101 AND 199 THEN '100'
+    WHEN count(*) BETWEEN 76 AND 99 THEN '50' WHEN count(*) < 75 THEN 'overall' END AS tier
+FROM numbered GROUP BY asset"""
+_CTE["coins"] = """
+SELECT id, coin, ticker, slug, max_supply, circulating_supply, total_supply, round(price, 4) AS price, volume_24h,
+  round(percent_change_1h / 100, 4) AS percent_change_1h, round(percent_change_24h / 100, 4) AS percent_change_24h,
+  round(percent_change_7d / 100, 4) AS percent_change_7d, round(percent_change_30d / 100, 4) AS percent_change_30d,
+  round(percent_change_60d / 100, 4) AS percent_change_60d, round(percent_change_90d / 100, 4) AS percent_change_90d,
+  round(market_cap_dominance / 100, 4) AS market_cap_dominance, market_cap,
+  '2013-04-28' AS date_added, '2022-09-02 12:34:56' AS last_updated
+FROM quotes"""
+_NEEDS = {
+    "people": ("incidents",),
+    "open_cases": ("people",),
+    "recent_open": ("incidents",),
+    "bars": ("all_bars",),
+    "numbered": ("bars",),
+    "averages": ("numbered",),
+    "coins": ("quotes",),
+}
+
+
+def _sql(body: str, *needs: str, **ctes: str) -> str:
+    """``body`` below the named building blocks and any of its own."""
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for other in _NEEDS.get(name, ()):
+            add(other)
+        if name not in order:
+            order.append(name)
+
+    for name in needs:
+        add(name)
+    parts = [f"{name} AS ({_CTE[name]})" for name in order] + [f"{k} AS ({v})" for k, v in ctes.items()]
+    return f"WITH {', '.join(parts)}\n{body}" if parts else body
+
+
+def _dollar_sql(amount: str, digits: int) -> str:
+    # through a decimal, so that a tie is a tie whatever its binary form
+    text = f"CAST(CAST(round(CAST({amount} AS DECIMAL(30, 10)), {digits}) AS DECIMAL(30, {digits})) AS VARCHAR)"
+    return f"'$' || rtrim(rtrim({text}, '0'), '.')"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return run
+
+    return register
+
+
+def _incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.shape(spark, sf, "incidents")
+
+
+def _lookups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return adapters.shape(spark, sf, "counties"), adapters.shape(spark, sf, "states")
+
+
+def _text(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- incidents ------------------------------------------------------------------------------------------
+
+
+@query("build_incidents", _sql("SELECT * FROM incidents", "incidents"))
+def _(spark, sf):
+    return inc.build_incidents(adapters.cases(spark, sf), adapters.shape(spark, sf, "codes"))
+
+
+@query(
+    "age_ranges",
+    _sql(
+        f"""SELECT ID, VicAge, OffAge, {BY_AGE_IN_SQL.format(age='VicAge')} AS VicAgeRange,
+        {BY_AGE_IN_SQL.format(age='OffAge')} AS OffAgeRange FROM incidents""",
+        "incidents",
+    ),
+)
+def _(spark, sf):
+    return inc.with_age_ranges(_incidents(spark, sf).select("ID", "VicAge", "OffAge"))
+
+
+@query(
+    "filter_domains",
+    _sql(
+        " UNION ALL ".join(
+            [
+                f"""SELECT DISTINCT '{c}' AS domain, {c} AS value, CAST(NULL AS INT) AS first_year,
+                CAST(NULL AS INT) AS last_year FROM incidents"""
+                for c in inc.LABEL_COLUMNS
+            ]
+            + ["SELECT 'Year', NULL, min(Year), max(Year) FROM incidents"]
+            + ["SELECT DISTINCT 'State', State_Name, CAST(NULL AS INT), CAST(NULL AS INT) FROM states"]
+            + [f"SELECT 'AgeRange', '{a}', CAST(NULL AS INT), CAST(NULL AS INT)" for a in AGE_RANGES]
+        ),
+        "incidents",
+        "states",
+    ),
+)
+def _(spark, sf):
+    return inc.filter_domains(_incidents(spark, sf), adapters.shape(spark, sf, "states"))
+
+
+def _sql_list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _person_sql(prefix: str, chosen: dict) -> str:
+    return (
+        f"{prefix}Sex IN {_sql_list(chosen['sex'])} AND {prefix}Race IN {_sql_list(chosen['race'])}"
+        f" AND ({BY_AGE_IN_SQL.format(age=prefix + 'Age')}) IN {_sql_list(chosen['age'])}"
+    )
+
+
+_FILTERS: dict[str, tuple[dict, str]] = {
+    "filter_unsolved": ({"solved": UNSOLVED}, "Solved = 'No'"),
+    "filter_all_outcomes": ({"solved": ALL}, "TRUE"),
+    "filter_victim": ({"solved": ALL, "victim": VICTIM}, _person_sql("Vic", VICTIM)),
+    "filter_offender_solved": (
+        {"solved": SOLVED, "offender": OFFENDER},
+        "Solved = 'Yes' AND " + _person_sql("Off", OFFENDER),
+    ),
+    "filter_offender_ignored": ({"solved": UNSOLVED, "offender": OFFENDER}, "Solved = 'No'"),
+    "filter_weapon_state": (
+        {"solved": ALL, "weapon": [HANDGUN, KNIFE], "state": ["ASIA", "EUROPE"]},
+        f"Weapon IN ('{HANDGUN}', '{KNIFE}') AND State IN ('ASIA', 'EUROPE')",
+    ),
+    "filter_everything": (
+        {"solved": SOLVED, "weapon": [HANDGUN, FIRE], "state": ["ASIA", "AFRICA"], "victim": VICTIM, "offender": OFFENDER},
+        f"Solved = 'Yes' AND Weapon IN ('{HANDGUN}', '{FIRE}') AND State IN ('ASIA', 'AFRICA') AND "
+        + _person_sql("Vic", VICTIM) + " AND " + _person_sql("Off", OFFENDER),
+    ),
+}
+
+
+def _register_filter(name: str, chosen: dict, condition: str) -> None:
+    @query(name, _sql(f"SELECT * FROM people WHERE {condition}", "people"))
+    def _(spark, sf):
+        return inc.filter_incidents(_incidents(spark, sf), YEARS, **chosen)
+
+
+for _name, (_chosen, _condition) in _FILTERS.items():
+    _register_filter(_name, _chosen, _condition)
+
+_TOTALS_SQL = """SELECT DISTINCT CNTYFIPS, county_fips, county_total FROM
+  (SELECT CNTYFIPS, county_fips, count(*) OVER (PARTITION BY CNTYFIPS) AS county_total FROM open_cases)"""
+
+
+@query("county_totals", _sql(_TOTALS_SQL, "open_cases"))
+def _(spark, sf):
+    return inc.county_totals(inc.filter_incidents(_incidents(spark, sf), YEARS, solved=UNSOLVED))
+
+
+_MAP_SQL = """SELECT DISTINCT State_Name, CNTYFIPS, GEOID, county_total, geometry
+FROM counties LEFT JOIN totals ON GEOID = county_fips LEFT JOIN states ON STATEFP = st_fips
+WHERE county_total IS NOT NULL"""
+
+
+@query("county_map", _sql(_MAP_SQL, "open_cases", "counties", "states", totals=_TOTALS_SQL))
+def _(spark, sf):
+    return map_table(_incidents(spark, sf), *_lookups(spark, sf), MapRequest(YEARS, UNSOLVED))
+
+
+@query(
+    "map_labels",
+    _sql(
+        f"SELECT *, CNTYFIPS || ', ' || county_total AS label FROM ({_MAP_SQL})",
+        "open_cases", "counties", "states", totals=_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    return inc.map_labels(map_table(_incidents(spark, sf), *_lookups(spark, sf), MapRequest(YEARS, UNSOLVED)))
+
+
+@query(
+    "map_request",
+    _sql(
+        f"""SELECT *, CNTYFIPS || ', ' || county_total AS label,
+        round((county_total - lo) / nullif(hi - lo, 0), 6) AS position
+        FROM ({_MAP_SQL}), (SELECT min(county_total) AS lo, max(county_total) AS hi FROM ({_MAP_SQL}))""".replace(
+            "SELECT *, CNTYFIPS", "SELECT State_Name, CNTYFIPS, GEOID, county_total, geometry, CNTYFIPS", 1
+        ),
+        "people", "counties", "states",
+        open_cases=f"SELECT * FROM people WHERE Weapon IN ('{HANDGUN}', '{KNIFE}') AND {_person_sql('Vic', VICTIM)}",
+        totals=_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    request = MapRequest(YEARS, ALL, weapon=[HANDGUN, KNIFE], victim=VICTIM)
+    return _rounded(run_map(_incidents(spark, sf), *_lookups(spark, sf), request), "position", digits=6)
+
+
+# --- legend breaks ----------------------------------------------------------------------------------------
+
+
+def _totals(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.county_totals(_incidents(spark, sf))
+
+
+_ALL_TOTALS_SQL = _TOTALS_SQL.replace("open_cases", "incidents")
+
+
+@query(
+    "legend_breaks_numeric",
+    _sql(
+        """SELECT cut, round((cut - lo) / (hi - lo), 6) AS position FROM
+        (SELECT lo, hi, unnest(range(CAST(floor(lo / step) AS BIGINT), CAST(ceil(hi / step) AS BIGINT) + 1)) * step AS cut
+         FROM (SELECT lo, hi, CASE WHEN 2 * b - cell >= 1.5 * (cell - b) THEN b
+             WHEN 5 * b - cell >= 2.75 * (cell - 2 * b) THEN 2 * b
+             WHEN 10 * b - cell >= 1.5 * (cell - 5 * b) THEN 5 * b ELSE 10 * b END AS step
+           FROM (SELECT lo, hi, cell, power(10.0, floor(log10(cell))) AS b
+             FROM (SELECT CAST(min(county_total) AS DOUBLE) AS lo, CAST(max(county_total) AS DOUBLE) AS hi,
+                 CAST(max(county_total) - min(county_total) AS DOUBLE) / 7 AS cell FROM totals))))
+        WHERE cut BETWEEN lo AND hi""",
+        "incidents", totals=_ALL_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    return _rounded(breaks.legend_breaks_numeric(_totals(spark, sf), "county_total"), "position", digits=6)
+
+
+@query(
+    "legend_breaks_bin",
+    _sql(
+        """SELECT bin, midpoint FROM (SELECT row_number() OVER (ORDER BY county_total) - 1 AS bin,
+        (county_total + lead(county_total) OVER (ORDER BY county_total)) / 2 AS midpoint
+        FROM (SELECT DISTINCT county_total FROM totals)) WHERE midpoint IS NOT NULL""",
+        "incidents", totals=_ALL_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    # the distinct county totals serve as the cuts
+    cuts = _totals(spark, sf).agg(F.sort_array(F.collect_set("county_total")).alias("cuts"))
+    return breaks.legend_breaks_bin(cuts, "cuts").withColumn("bin", F.col("bin").cast("bigint"))
+
+
+_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@query(
+    "legend_breaks_quantile",
+    _sql(
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, CAST({p} AS DOUBLE) AS prob, quantile_cont(CAST(county_total AS DOUBLE), {p}) AS value FROM totals"
+            for kind, probs in (("cut", _PROBS), ("mid", (0.125, 0.375, 0.625, 0.875)))
+            for p in probs
+        ),
+        "incidents", totals=_ALL_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    return breaks.legend_breaks_quantile(_totals(spark, sf), "county_total", _PROBS)
+
+
+@query("legend_breaks_factor", _sql("SELECT DISTINCT Weapon FROM incidents WHERE Weapon IS NOT NULL", "incidents"))
+def _(spark, sf):
+    return breaks.legend_breaks_factor(_incidents(spark, sf), "Weapon")
+
+
+@query(
+    "color_position",
+    _sql(
+        """SELECT CNTYFIPS, county_fips, county_total, round((county_total - min(county_total) OVER ())
+        / (max(county_total) OVER () - min(county_total) OVER ()), 6) AS position FROM totals""",
+        "incidents", totals=_ALL_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    return _rounded(breaks.color_position(_totals(spark, sf), "county_total"), "position", digits=6)
+
+
+# --- state report -------------------------------------------------------------------------------------------
+
+
+@query("report_states", _sql("SELECT State FROM incidents WHERE State NOT IN ('District of Columbia', 'PAPSP8') GROUP BY State", "incidents"))
+def _(spark, sf):
+    return inc.report_states(_incidents(spark, sf))
+
+
+@query("state_year_range", _sql("SELECT State, min(Year) AS min_year, max(Year) AS max_year FROM incidents GROUP BY State", "incidents"))
+def _(spark, sf):
+    return inc.state_year_range(_incidents(spark, sf))
+
+
+_OVERVIEW_SQL = """SELECT State, unsolved, solved, homicide_total, unsolved + solved AS homi_count,
+  round(solved / nullif(unsolved + solved, 0) * 100, 2) AS clear_rate
+FROM (SELECT State, count(*) FILTER (WHERE Solved = 'No') AS unsolved, count(*) FILTER (WHERE Solved = 'Yes') AS solved,
+  count(*) AS homicide_total FROM people GROUP BY State)"""
+
+
+@query("case_overview", _sql(_OVERVIEW_SQL, "people"))
+def _(spark, sf):
+    return report.case_overview(_incidents(spark, sf), YEARS)
+
+
+@query(
+    "outcome_long",
+    _sql(
+        """SELECT State, CASE Solved WHEN 'No' THEN 'Unsolved' ELSE 'Solved' END AS case_outcome, count(*) AS total,
+        'Homicide Cases' AS x FROM people WHERE Solved IN ('No', 'Yes') GROUP BY State, Solved""",
+        "people",
+    ),
+)
+def _(spark, sf):
+    return report.outcome_long(report.case_overview(_incidents(spark, sf), YEARS))
+
+
+def _sex_sql(column: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE {column} = '{s}') AS {s.lower()}" for s in SEXES)
+    return _sql(f"SELECT State, {counts} FROM people GROUP BY State", "people")
+
+
+def _sex_long_sql(column: str, key: str, unknown: str) -> str:
+    return _sql(
+        f"""SELECT State, CASE {column} WHEN 'Unknown' THEN '{unknown}' ELSE {column} END AS {key}, count(*) AS total
+        FROM people WHERE {column} IN ('Male', 'Female', 'Unknown') GROUP BY State, {column}""",
+        "people",
+    )
+
+
+@query("victim_sex_counts", _sex_sql("VicSex"))
+def _(spark, sf):
+    return report.victim_sex_counts(_incidents(spark, sf), YEARS)
+
+
+@query("victim_sex_long", _sex_long_sql("VicSex", "victim_sex", "Unknown"))
+def _(spark, sf):
+    return report.victim_sex_long(report.victim_sex_counts(_incidents(spark, sf), YEARS))
+
+
+@query("offender_sex_counts", _sex_sql("OffSex"))
+def _(spark, sf):
+    return report.offender_sex_counts(_incidents(spark, sf), YEARS)
+
+
+@query("offender_sex_long", _sex_long_sql("OffSex", "offender_sex", "Sex Unknown"))
+def _(spark, sf):
+    return report.offender_sex_long(report.offender_sex_counts(_incidents(spark, sf), YEARS))
+
+
+@query(
+    "solve_rate_by_race",
+    _sql(
+        """SELECT State, VicRace, unsolved, solved, round(solved / nullif(unsolved + solved, 0) * 100, 2) AS solve_rate
+        FROM (SELECT State, VicRace, count(*) FILTER (WHERE Solved = 'No') AS unsolved,
+          count(*) FILTER (WHERE Solved = 'Yes') AS solved FROM people GROUP BY State, VicRace)""",
+        "people",
+    ),
+)
+def _(spark, sf):
+    return report.solve_rate_by_race(_incidents(spark, sf), YEARS)
+
+
+def _unsolved_counts_sql(source: str) -> str:
+    tests = {"female": "VicSex = 'Female'", "male": "VicSex = 'Male'", "unknown": "VicRace = 'Unknown'"}
+    for race in RACES:
+        tests[report.RACE_KEY[race]] = f"VicRace = '{race}'"
+        for sex in SEXES:
+            tests[report.PERSON_KEY[sex, race]] = f"VicSex = '{sex}' AND VicRace = '{race}'"
+    for weapon in WEAPONS:
+        tests[report.WEAPON_KEY[weapon]] = f"Weapon = '{weapon}'"
+    counts = ", ".join(f"count(*) FILTER (WHERE {test}) AS {name}" for name, test in tests.items())
+    return _sql(f"SELECT State, count(*) AS unsolved, {counts} FROM {source} GROUP BY State", source)
+
+
+@query("unsolved_counts", _unsolved_counts_sql("open_cases"))
+def _(spark, sf):
+    return report.unsolved_counts(_incidents(spark, sf), YEARS)
+
+
+@query("recent_unsolved_counts", _unsolved_counts_sql("recent_open"))
+def _(spark, sf):
+    return report.recent_unsolved_counts(_incidents(spark, sf), MAX_YEAR)
+
+
+def _race_sex_body(source: str, chart: dict[str, str]) -> str:
+    races = ", ".join(f"('{r}', '{chart.get(r, r)}')" for r in RACES)
+    sexes = ", ".join(f"('{s}')" for s in SEXES)
+    return f"""SELECT s.State, r.race, r.chart_race, x.sex, count(c.State) AS count
+    FROM (SELECT DISTINCT State FROM {source}) s CROSS JOIN (VALUES {races}) r(race, chart_race)
+      CROSS JOIN (VALUES {sexes}) x(sex)
+      LEFT JOIN {source} c ON c.State = s.State AND c.VicRace = r.race AND c.VicSex = x.sex
+    GROUP BY s.State, r.race, r.chart_race, x.sex"""
+
+
+_WIDE_SQL = """SELECT *, round(total / nullif(sum(total) OVER (PARTITION BY State), 0) * 100, 2) AS pct_of_unsolved
+FROM (SELECT State, race, CAST(sum(count) FILTER (WHERE sex = 'Female') AS BIGINT) AS female,
+  CAST(sum(count) FILTER (WHERE sex = 'Male') AS BIGINT) AS male,
+  CAST(sum(count) FILTER (WHERE sex = 'Unknown') AS BIGINT) AS unknown, CAST(sum(count) AS BIGINT) AS total
+  FROM race_sex GROUP BY State, race)"""
+
+
+def _race_sex(spark: SparkSession, sf: str) -> DataFrame:
+    return report.unsolved_race_sex(report.unsolved_counts(_incidents(spark, sf), YEARS))
+
+
+_RACE_SEX_SQL = _race_sex_body("open_cases", CHART_RACE)
+
+
+@query("unsolved_race_sex", _sql(_RACE_SEX_SQL, "open_cases"))
+def _(spark, sf):
+    return _race_sex(spark, sf)
+
+
+@query("unsolved_race_sex_wide", _sql(_WIDE_SQL, "open_cases", race_sex=_RACE_SEX_SQL))
+def _(spark, sf):
+    return report.unsolved_race_sex_wide(_race_sex(spark, sf))
+
+
+_TOP_RACE_SQL = """SELECT State, race, CAST(total AS BIGINT) AS total FROM
+  (SELECT State, race, sum(count) AS total, rank() OVER (PARTITION BY State ORDER BY sum(count) DESC) AS place
+   FROM race_sex GROUP BY State, race) WHERE place = 1"""
+_TOP_SEX_SQL = _TOP_RACE_SQL.replace("race,", "sex,").replace("State, race)", "State, sex)")
+
+
+@query("top_race", _sql(_TOP_RACE_SQL, "open_cases", race_sex=_RACE_SEX_SQL))
+def _(spark, sf):
+    return report.top_race(report.unsolved_race_sex_wide(_race_sex(spark, sf)))
+
+
+@query("top_sex", _sql(_TOP_SEX_SQL, "open_cases", race_sex=_RACE_SEX_SQL))
+def _(spark, sf):
+    return report.top_sex(_race_sex(spark, sf))
+
+
+@query("recent_race_sex", _sql(_race_sex_body("recent_open", RECENT_CHART_RACE), "recent_open"))
+def _(spark, sf):
+    return report.recent_race_sex(report.recent_unsolved_counts(_incidents(spark, sf), MAX_YEAR))
+
+
+@query("recent_race_sex_wide", _sql(_WIDE_SQL, "recent_open", race_sex=_race_sex_body("recent_open", RECENT_CHART_RACE)))
+def _(spark, sf):
+    recent = report.recent_race_sex(report.recent_unsolved_counts(_incidents(spark, sf), MAX_YEAR))
+    return report.unsolved_race_sex_wide(recent)
+
+
+_WEAPON_VALUES = ", ".join(f"('{label}', '{title}')" for label, title in WEAPONS.items())
+_WEAPONS_SQL = f"""SELECT s.State, w.title AS weapon, count(c.State) AS count,
+  round(count(c.State) / s.n * 100, 2) AS pct_of_unsolved
+FROM (SELECT State, count(*) AS n FROM open_cases GROUP BY State) s CROSS JOIN (VALUES {_WEAPON_VALUES}) w(label, title)
+  LEFT JOIN open_cases c ON c.State = s.State AND c.Weapon = w.label
+GROUP BY s.State, s.n, w.title"""
+
+
+@query("unsolved_weapons", _sql(_WEAPONS_SQL, "open_cases"))
+def _(spark, sf):
+    return report.unsolved_weapons(report.unsolved_counts(_incidents(spark, sf), YEARS))
+
+
+_TOP_WEAPON_SQL = "SELECT State, weapon, count FROM weapons w WHERE count = (SELECT max(count) FROM weapons m WHERE m.State = w.State)"
+
+
+@query("top_weapon", _sql(_TOP_WEAPON_SQL, "open_cases", weapons=_WEAPONS_SQL))
+def _(spark, sf):
+    return report.top_weapon(report.unsolved_weapons(report.unsolved_counts(_incidents(spark, sf), YEARS)))
+
+
+_BY_COUNTY_SQL = """SELECT State, CNTYFIPS AS county, count(*) AS unsolved, CAST(sum(VicCount + 1) AS BIGINT) AS victims
+FROM open_cases GROUP BY State, CNTYFIPS"""
+
+
+@query("county_unsolved", _sql(_BY_COUNTY_SQL, "open_cases"))
+def _(spark, sf):
+    return report.county_unsolved(_incidents(spark, sf), YEARS)
+
+
+_UNSOLVED_MAP_SQL = """SELECT DISTINCT State_Name, GEOID, unsolved, geometry
+FROM counties JOIN states ON STATEFP = st_fips LEFT JOIN (SELECT DISTINCT State, county_fips,
+  count(*) OVER (PARTITION BY State, CNTYFIPS) AS unsolved FROM open_cases) u ON GEOID = county_fips AND State_Name = State"""
+
+
+@query("county_unsolved_map", _sql(_UNSOLVED_MAP_SQL, "open_cases", "counties", "states"))
+def _(spark, sf):
+    return report.county_unsolved_map(_incidents(spark, sf), *_lookups(spark, sf), YEARS)
+
+
+@query(
+    "top_counties",
+    _sql(
+        """SELECT * FROM (SELECT State, county, unsolved,
+        row_number() OVER (PARTITION BY State ORDER BY unsolved DESC, county NULLS LAST) AS place FROM by_county)
+        WHERE place <= 10 AND county IS NOT NULL""",
+        "open_cases", by_county=_BY_COUNTY_SQL,
+    ),
+)
+def _(spark, sf):
+    return report.top_counties(report.county_unsolved(_incidents(spark, sf), YEARS))
+
+
+@query("all_counties_table", _sql("SELECT State, county, unsolved FROM by_county", "open_cases", by_county=_BY_COUNTY_SQL))
+def _(spark, sf):
+    return report.all_counties_table(report.county_unsolved(_incidents(spark, sf), YEARS))
+
+
+# the last year of the data, up to which the county table runs, is 2001 at every scale
+_BY_YEAR_SQL = "SELECT State, CNTYFIPS AS county, " + ", ".join(
+    f"count(*) FILTER (WHERE Year = {y}) AS y{y}" for y in range(MAX_YEAR - 3, 2002)
+) + ", count(*) AS unsolved_total FROM recent_open GROUP BY State, CNTYFIPS"
+
+
+@query("county_by_year", _sql(_BY_YEAR_SQL, "recent_open"))
+def _(spark, sf):
+    return report.county_by_year(_incidents(spark, sf), MAX_YEAR)
+
+
+@query("county_year_counts", _sql("SELECT State, CNTYFIPS AS county, Year, count(*) AS unsolved FROM recent_open GROUP BY ALL", "recent_open"))
+def _(spark, sf):
+    return report.county_year_counts(_incidents(spark, sf), MAX_YEAR)
+
+
+@query(
+    "report_facts",
+    _sql(
+        f"""SELECT o.State, o.homi_count, o.unsolved, o.clear_rate, {YEARS[0]} AS min_year, {YEARS[1]} AS max_year,
+        r.name AS top_race_name, r.n AS top_race_count, x.name AS top_sex_name, x.n AS top_sex_count,
+        w.name AS top_weapon_name, w.n AS top_weapon_count
+        FROM overview o
+        LEFT JOIN (SELECT State, string_agg(race, ', ' ORDER BY race) AS name, max(total) AS n FROM top_r GROUP BY State) r ON r.State = o.State
+        LEFT JOIN (SELECT State, string_agg(sex, ', ' ORDER BY sex) AS name, max(total) AS n FROM top_s GROUP BY State) x ON x.State = o.State
+        LEFT JOIN (SELECT State, string_agg(weapon, ', ' ORDER BY weapon) AS name, max(count) AS n FROM top_w GROUP BY State) w ON w.State = o.State""",
+        "open_cases", overview=_OVERVIEW_SQL, race_sex=_RACE_SEX_SQL, weapons=_WEAPONS_SQL,
+        top_r=_TOP_RACE_SQL, top_s=_TOP_SEX_SQL, top_w=_TOP_WEAPON_SQL,
+    ),
+)
+def _(spark, sf):
+    return report.report_facts(_incidents(spark, sf), YEARS)
+
+
+_RUN_REPORT_SQL = {
+    "facts": "SELECT State, 1 AS n FROM people GROUP BY State",
+    "case_overview": "SELECT State, 1 AS n FROM people GROUP BY State",
+    "case_outcome": "SELECT State, 2 AS n FROM people GROUP BY State",
+    "victim_sex": "SELECT State, 3 AS n FROM people GROUP BY State",
+    "offender_sex": "SELECT State, 3 AS n FROM people GROUP BY State",
+    "race_sex": "SELECT State, 18 AS n FROM open_cases GROUP BY State",
+    "race_sex_table": "SELECT State, 6 AS n FROM open_cases GROUP BY State",
+    "solve_rate_by_race": "SELECT State, count(DISTINCT VicRace) AS n FROM people GROUP BY State",
+    "weapons": "SELECT State, 17 AS n FROM open_cases GROUP BY State",
+    "county_map": "SELECT State_Name AS State, count(*) AS n FROM counties JOIN states ON STATEFP = st_fips GROUP BY ALL",
+    "top_counties": "SELECT State, least(10, count(DISTINCT CNTYFIPS)) AS n FROM open_cases GROUP BY State",
+    "all_counties": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM open_cases GROUP BY State",
+    "recent_race_sex": "SELECT State, 18 AS n FROM recent_open GROUP BY State",
+    "recent_race_sex_table": "SELECT State, 6 AS n FROM recent_open GROUP BY State",
+    "county_by_year": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM recent_open GROUP BY State",
+}
+
+
+@query(
+    "run_report",
+    _sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS report_table, State, CAST(n AS BIGINT) AS n FROM ({text})"
+            for name, text in _RUN_REPORT_SQL.items()
+        ),
+        "open_cases", "recent_open", "counties", "states",
+    ),
+)
+def _(spark, sf):
+    """Writes all report tables and counts the rows read back per table and state."""
+    path = scratch_path(spark, "report")
+    written = run_report(_incidents(spark, sf), *_lookups(spark, sf), path, YEARS)
+    counts = None
+    for name in written:
+        rows = spark.read.parquet(f"{path}/{name}").groupBy("State").agg(F.count(F.lit(1)).alias("n"))
+        one = rows.select(F.lit(name).alias("report_table"), "State", "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+# --- prices -------------------------------------------------------------------------------------------------
+
+
+@query("lookback", _sql("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM bars", "bars"))
+def _(spark, sf):
+    return _text(adapters.recent_bars(spark, sf), "ts")
+
+
+@query("week_numbers", _sql("SELECT asset, CAST(ts AS VARCHAR) AS ts, close, week_number, week_count FROM numbered", "numbered"))
+def _(spark, sf):
+    bars = adapters.recent_bars(spark, sf).select("asset", "ts", "close")
+    return _text(prices.week_numbers(bars), "ts")
+
+
+@query(
+    "week_numbers_ascending",
+    _sql(
+        """SELECT asset, CAST(ts AS VARCHAR) AS ts, row_number() OVER (PARTITION BY asset ORDER BY ts) AS week_number,
+        count(*) OVER (PARTITION BY asset) AS week_count FROM all_bars""",
+        "all_bars",
+    ),
+)
+def _(spark, sf):
+    bars = adapters.weekly_bars(spark, sf).select("asset", "ts")
+    return _text(prices.week_numbers(bars, newest_first=False), "ts")
+
+
+@query(
+    "trailing_averages",
+    _sql(
+        """SELECT asset, CAST(ts AS VARCHAR) AS ts, close, week_number, week_count, flag_50, flag_100,
+        avg(close) OVER (PARTITION BY asset) AS avg_overall,
+        avg(close) OVER (PARTITION BY asset, flag_50) AS avg_50,
+        avg(close) OVER (PARTITION BY asset, flag_100) AS avg_100
+        FROM (SELECT *, CAST(week_number < 51 AS INT) AS flag_50, CAST(week_number < 100 AS INT) AS flag_100 FROM numbered)""",
+        "numbered",
+    ),
+)
+def _(spark, sf):
+    bars = adapters.recent_bars(spark, sf).select("asset", "ts", "close")
+    rows = prices.trailing_averages(bars)
+    return _text(rows, "ts")
+
+
+@query(
+    "latest_averages",
+    _sql(
+        """SELECT asset, week_count, tier, CAST(first_ts AS VARCHAR) AS first_ts, avg_overall,
+        avg_50, avg_100 FROM averages""",
+        "averages",
+    ),
+)
+def _(spark, sf):
+    averages = prices.latest_averages(adapters.recent_bars(spark, sf))
+    return _text(averages, "first_ts")
+
+
+@query("history_tier", _sql("SELECT tier, count(*) AS assets, min(week_count) AS fewest, max(week_count) AS most FROM averages GROUP BY tier", "averages"))
+def _(spark, sf):
+    lengths = adapters.recent_bars(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("weeks"))
+    return lengths.groupBy(prices.history_tier(F.col("weeks")).alias("tier")).agg(
+        F.count(F.lit(1)).alias("assets"), F.min("weeks").alias("fewest"), F.max("weeks").alias("most")
+    )
+
+
+@query(
+    "average_table",
+    _sql(
+        """SELECT a.asset AS asset_tick, p.base AS asset, l.price AS current_price, a.week_count,
+        a.week_count || ' Week Average' AS overall_title, a.avg_overall,
+        CASE WHEN a.tier <> 'overall' THEN a.avg_50 END AS avg_50,
+        CASE WHEN a.tier IN ('100', '200') THEN a.avg_100 END AS avg_100
+        FROM averages a
+        LEFT JOIN (SELECT DISTINCT asset_tick, CASE base WHEN 'XXBT' THEN 'BTC' WHEN 'XETH' THEN 'ETH' ELSE base END AS base
+          FROM pairs) p ON p.asset_tick = a.asset
+        LEFT JOIN (SELECT ticker, round(price, 4) AS price FROM quotes ORDER BY market_cap DESC, id LIMIT 200) l ON l.ticker = p.base
+        WHERE a.tier IS NOT NULL""",
+        "averages", "pairs", "quotes",
+    ),
+)
+def _(spark, sf):
+    bars, as_of = adapters.weekly_bars(spark, sf), adapters.last_week(spark, sf)
+    pairs = adapters.shape(spark, sf, "pairs").filter(F.col("altname").contains("USD"))
+    return run_averages(bars, pairs, adapters.listings(spark, sf), as_of)["average_table"]
+
+
+@query(
+    "average_chart_series",
+    _sql(
+        """SELECT b.asset, CAST(b.ts AS VARCHAR) AS ts, b.close, a.avg_overall,
+        CASE WHEN a.tier IN ('100', '200') THEN a.avg_100 END AS avg_100,
+        CASE WHEN a.tier <> 'overall' THEN a.avg_50 END AS avg_50
+        FROM bars b JOIN averages a ON a.asset = b.asset WHERE a.tier IS NOT NULL""",
+        "averages",
+    ),
+)
+def _(spark, sf):
+    bars = adapters.recent_bars(spark, sf)
+    series = prices.average_chart_series(bars, prices.latest_averages(bars))
+    return _text(series, "ts")
+
+
+@query(
+    "average_chart_labels",
+    _sql(
+        f"""SELECT asset, first_ts, series, level, {_dollar_sql('level', 2)} AS label FROM (
+        SELECT asset, CAST(first_ts AS VARCHAR) AS first_ts, week_count || ' Week Average' AS series, avg_overall AS level
+          FROM averages WHERE tier IS NOT NULL
+        UNION ALL SELECT asset, CAST(first_ts AS VARCHAR), '100 Week Average', avg_100 FROM averages WHERE tier IN ('200', '100')
+        UNION ALL SELECT asset, CAST(first_ts AS VARCHAR), '50 Week Average', avg_50 FROM averages
+          WHERE tier IN ('200', '100', '50'))""",
+        "averages",
+    ),
+)
+def _(spark, sf):
+    labels = prices.average_chart_labels(prices.latest_averages(adapters.recent_bars(spark, sf)))
+    return _text(labels, "first_ts")
+
+
+# --- documents and market -----------------------------------------------------------------------------------
+
+
+@query("pair_catalog", _sql("SELECT * FROM pairs WHERE contains(altname, 'USD')", "pairs"))
+def _(spark, sf):
+    return documents.pair_catalog(adapters.pair_documents(spark, sf))
+
+
+@query(
+    "pair_choices",
+    _sql(
+        """SELECT asset_tick, regexp_replace(asset_tick, 'USD', ' USD') AS display_name,
+        replace(regexp_replace(asset_tick, 'USD', ' USD'), ' USD', 'USD') AS chosen_key
+        FROM pairs WHERE contains(altname, 'USD') AND NOT contains(asset_tick, 'USDT')""",
+        "pairs",
+    ),
+)
+def _(spark, sf):
+    return market.pair_choices(documents.pair_catalog(adapters.pair_documents(spark, sf)))
+
+
+@query(
+    "ohlc_bars",
+    _sql(
+        """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, CAST(ts - 1 AS VARCHAR) || ' 19:00:00' AS date_est,
+        open, high, low, close, close AS vwap, volume, trades FROM bars""",
+        "bars",
+    ),
+)
+def _(spark, sf):
+    return _text(documents.ohlc_bars(adapters.ohlc_documents(spark, sf)), "ts", "date_est")
+
+
+@query("listings", _sql("SELECT * FROM coins", "coins"))
+def _(spark, sf):
+    return _text(documents.listings(adapters.listing_documents(spark, sf)), "date_added", "last_updated")
+
+
+_MARKET_SQL = """SELECT coin, ticker, price, round(volume_24h, 2) AS volume_24h, percent_change_24h AS volume_change_24h,
+  percent_change_1h AS pct_change_1h, percent_change_24h AS pct_change_24h, percent_change_7d AS pct_change_7d,
+  percent_change_30d AS pct_change_30d, round(market_cap, 2) AS market_cap, market_cap_dominance
+FROM (SELECT * FROM coins ORDER BY market_cap DESC, id LIMIT 100)"""
+
+
+@query("market_table", _sql(_MARKET_SQL, "coins"))
+def _(spark, sf):
+    return market.market_table(documents.listings(adapters.listing_documents(spark, sf)))
+
+
+@query("price_display", _sql(f"SELECT *, {_dollar_sql('price', 4)} AS price_text FROM ({_MARKET_SQL})", "coins"))
+def _(spark, sf):
+    return market.price_display(market.market_table(documents.listings(adapters.listing_documents(spark, sf))))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------
+
+
+@query("cases_csv", _sql("SELECT * EXCLUDE (county_fips) FROM incidents", "incidents"))
+def _(spark, sf):
+    path = scratch_path(spark, "cases")
+    adapters.cases(spark, sf).write.csv(path, header=True)
+    return tables.read_cases(spark, path)
+
+
+@query("codes_csv", _sql("SELECT * FROM codes", "codes"))
+def _(spark, sf):
+    path = scratch_path(spark, "codes")
+    adapters.shape(spark, sf, "codes").write.csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return tables.read_codes(spark, path)
+
+
+@query("states_tsv", _sql("SELECT * FROM states", "states"))
+def _(spark, sf):
+    path = scratch_path(spark, "states")
+    adapters.shape(spark, sf, "states").write.csv(path, header=True, sep="\t")
+    return tables.read_states(spark, path)
+
+
+@query("counties_parquet", _sql("SELECT GEOID, STATEFP, geometry FROM counties", "counties"))
+def _(spark, sf):
+    path = scratch_path(spark, "counties")
+    tables.save_snapshot(adapters.shape(spark, sf, "counties"), path)
+    return tables.read_counties(spark, path)
+
+
+@query("incident_snapshot", _sql("SELECT * FROM open_cases", "open_cases"))
+def _(spark, sf):
+    """Built, saved by year, read back with a year filter that skips folders."""
+    path = scratch_path(spark, "incidents")
+    tables.save_incidents(
+        inc.build_incidents(adapters.cases(spark, sf), adapters.shape(spark, sf, "codes")), path
+    )
+    saved = tables.read_incidents(spark, path).select(*[c.split()[0] for c in schemas.INCIDENTS.split(", ")])
+    return inc.filter_incidents(saved, YEARS, solved=UNSOLVED)
+
+
+@query("market_files", _sql(f"SELECT *, {_dollar_sql('price', 4)} AS price_text FROM ({_MARKET_SQL})", "coins"))
+def _(spark, sf):
+    """Listing documents landed as files, one document each, to the market table."""
+    path = scratch_path(spark, "listings")
+    adapters.listing_documents(spark, sf).write.text(path)
+    return run_market(spark, path)
