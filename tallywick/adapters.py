@@ -78,19 +78,31 @@ SELECT s_suppkey AS id, s_name AS coin,
 FROM {supplier}""",
 }
 
-_TABLES = ("orders", "customer", "nation", "region", "supplier")
+# stated, so that opening a table reads no file
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
 MAJOR_ASSET = {"A": "XXBTZUSD", "N": "XETHZUSD", "R": "XLTCZUSD"}
-MONDAY_TO_SUNDAY = range(7)
+# a weekday times this plus the price orders a week's trades by day, then price
+_DAY_STEP = 10**12
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shapes in ``SQL``."""
     text = SQL[name]
-    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in _TABLES if f"{{{t}}}" in text})
+    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,34 +118,30 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of all assets over all line items.
 
-    Open is the lowest price of the week's first trading day and close the highest of its last one. Both
-    come from one lowest and one highest price per weekday, so a single aggregate with partial results
-    does, however many trades an asset has in a week. Prices are whole numbers, so that sums are exact and
+    Open is the lowest price of the week's first trading day and close the highest of its last one: the
+    first and the last place in the order by weekday, then price. One aggregate with partial results does,
+    however many trades an asset has in a week. Prices are whole numbers, so that sums are exact and
     averages equal in any order of addition.
     """
     line = load(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     supplier = F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))
     major = F.coalesce(*[F.when(flag == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()])
-    day = F.to_date("l_shipdate")
+    day, price = F.to_date("l_shipdate"), F.floor("l_extendedprice")
     trades = line.select(
         F.explode(
             F.array(major, F.concat(supplier, F.lit("USD")), F.concat(supplier, flag, F.lit("USD")))
         ).alias("asset"),
         F.trunc(day, "week").alias("ts"),
-        F.weekday(day).alias("weekday"),
-        F.floor("l_extendedprice").cast("double").alias("price"),
+        price.alias("price"),
+        (F.weekday(day) * F.lit(_DAY_STEP) + price).alias("place"),
         F.col("l_quantity").alias("quantity"),
     )
-
-    def on(weekday: int) -> Column:
-        return F.when(F.col("weekday") == weekday, F.col("price"))
-
     return trades.groupBy("asset", "ts").agg(
-        F.coalesce(*[F.min(on(d)) for d in MONDAY_TO_SUNDAY]).alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.coalesce(*[F.max(on(d)) for d in reversed(MONDAY_TO_SUNDAY)]).alias("close"),
+        (F.min("place") % _DAY_STEP).cast("double").alias("open"),
+        F.max("price").cast("double").alias("high"),
+        F.min("price").cast("double").alias("low"),
+        (F.max("place") % _DAY_STEP).cast("double").alias("close"),
         F.sum("quantity").alias("volume"),
         F.count(F.lit(1)).alias("trades"),
     )

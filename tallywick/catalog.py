@@ -14,10 +14,10 @@ from tallywick import adapters, schemas
 from tallywick.domains import AGE_RANGES, ALL, CHART_RACE, RACES, RECENT_CHART_RACE, SEXES, SOLVED, UNSOLVED, WEAPONS
 from tallywick.operators import breaks, incidents as inc, market, prices, report
 from tallywick.plans.averages import run_averages
-from tallywick.plans.county_map import MapRequest, map_table, run_map
+from tallywick.plans.county_map import MapRequest, map_table, run_map, year_limits
 from tallywick.plans.market import run_market
 from tallywick.plans.state_report import run_report
-from tallywick.session import scratch_path
+from tallywick.session import materialize, scratch_path
 from tallywick.sources import documents, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +255,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     request = MapRequest(YEARS, ALL, weapon=[HANDGUN, KNIFE], victim=VICTIM)
-    return _rounded(run_map(_incidents(spark, sf), *_lookups(spark, sf), request), "position", digits=6)
+    incidents = _incidents(spark, sf)
+    table = run_map(incidents, *_lookups(spark, sf), request, year_limits(incidents))
+    return _rounded(table, "position", digits=6)
 
 
 # --- legend breaks ----------------------------------------------------------------------------------------
@@ -568,7 +570,9 @@ _BY_YEAR_SQL = "SELECT State, CNTYFIPS AS county, " + ", ".join(
 
 @query("county_by_year", _sql(_BY_YEAR_SQL, "recent_open"))
 def _(spark, sf):
-    return report.county_by_year(_incidents(spark, sf), MAX_YEAR)
+    # counted first, because the last year is looked up before the table is laid out
+    places = materialize(report.place_cells(_incidents(spark, sf)), "places")
+    return report.county_by_year(places, MAX_YEAR)
 
 
 @query("county_year_counts", _sql("SELECT State, CNTYFIPS AS county, Year, count(*) AS unsolved FROM recent_open GROUP BY ALL", "recent_open"))
@@ -591,7 +595,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return report.report_facts(_incidents(spark, sf), YEARS)
+    people = materialize(report.people_cells(_incidents(spark, sf)), "people")
+    return report.report_facts(people, YEARS)
 
 
 _RUN_REPORT_SQL = {
@@ -638,6 +643,11 @@ def _(spark, sf):
 # --- prices -------------------------------------------------------------------------------------------------
 
 
+def _stored_bars(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The recent bars as a table of their own, for jobs that go through them more than once."""
+    return materialize(adapters.recent_bars(spark, sf).select(*columns), "bars")
+
+
 @query("lookback", _sql("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM bars", "bars"))
 def _(spark, sf):
     return _text(adapters.recent_bars(spark, sf), "ts")
@@ -645,8 +655,7 @@ def _(spark, sf):
 
 @query("week_numbers", _sql("SELECT asset, CAST(ts AS VARCHAR) AS ts, close, week_number, week_count FROM numbered", "numbered"))
 def _(spark, sf):
-    bars = adapters.recent_bars(spark, sf).select("asset", "ts", "close")
-    return _text(prices.week_numbers(bars), "ts")
+    return _text(prices.week_numbers(_stored_bars(spark, sf, "asset", "ts", "close")), "ts")
 
 
 @query(
@@ -674,9 +683,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    bars = adapters.recent_bars(spark, sf).select("asset", "ts", "close")
-    rows = prices.trailing_averages(bars)
-    return _text(rows, "ts")
+    return _text(prices.trailing_averages(_stored_bars(spark, sf, "asset", "ts", "close")), "ts")
 
 
 @query(
@@ -732,7 +739,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    bars = adapters.recent_bars(spark, sf)
+    bars = _stored_bars(spark, sf, "asset", "ts", "close")
     series = prices.average_chart_series(bars, prices.latest_averages(bars))
     return _text(series, "ts")
 

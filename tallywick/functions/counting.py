@@ -21,15 +21,21 @@ def cells(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(weight(df)).alias(WEIGHT))
 
 
-def tally(test: Column, n: Column, strict_na: bool = False) -> Column:
-    """Cases for which ``test`` holds, 0 when there are none.
+def tally(test: str, df: DataFrame, strict_na: bool = False) -> Column:
+    """Cases in ``df`` for which the SQL condition ``test`` holds, 0 when there are none.
 
     ``strict_na`` makes the result null as soon as the test is undecided for any row.
     """
-    total = F.coalesce(F.sum(F.when(test, n)), F.lit(0).cast("bigint"))
+    n = WEIGHT if WEIGHT in df.columns else "1L"
+    total = f"coalesce(sum(CASE WHEN {test} THEN {n} END), 0L)"
     if strict_na:
-        return F.when(~F.bool_or(test.isNull()), total)
-    return total
+        return F.expr(f"CASE WHEN NOT bool_or(({test}) IS NULL) THEN {total} END")
+    return F.expr(total)
+
+
+def quoted(text: str) -> str:
+    """``text`` as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def percent(part: Column, whole: Column) -> Column:

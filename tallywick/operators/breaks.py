@@ -98,6 +98,6 @@ def legend_breaks_factor(df: DataFrame, column: str, decreasing: bool = False) -
 
 def color_position(df: DataFrame, column: str) -> DataFrame:
     """Adds each row's place between the column's smallest (0) and largest (1) value."""
-    lo = df.agg(F.min(column)).scalar()
-    hi = df.agg(F.max(column)).scalar()
+    limits = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    lo, hi = limits.getField("lo"), limits.getField("hi")
     return df.withColumn("position", F.try_divide(F.col(column) - lo, hi - lo))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywick.domains import AGE_RANGES, ALL, NOT_REPORTED, OUTCOME_LABEL, SOLVED
 from tallywick.functions.ages import age_in, age_range
@@ -117,15 +117,14 @@ def filter_incidents(incidents: DataFrame, years: tuple[int, int], **chosen) ->
 def count_by_label(incidents: DataFrame, *within: str) -> DataFrame:
     """Cases per county label, on every ``(label, code)`` pair that occurs.
 
-    The total belongs to the label: a label with two codes shows its whole total on both. All rows are
-    counted down to ``(label, code)`` pairs once; label totals are summed from those pairs and joined back
-    (a join rather than a window, so that no label has to sit in one task).
+    The total belongs to the label: a label with two codes shows its whole total on both. All rows are read
+    once and counted down to pairs; the window then adds up the few pairs of a label. (Joining totals back
+    to the pairs would read the incidents twice, because the two sides need different columns.)
     """
-    keys = [*within, "CNTYFIPS"]
-    pairs = cells(incidents, *keys, "county_fips")
-    totals = pairs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(WEIGHT).alias("total"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return pairs.join(totals, same).select(*keys, "county_fips", "total")
+    label = [*within, "CNTYFIPS"]
+    pairs = cells(incidents, *label, "county_fips")
+    total = F.sum(WEIGHT).over(Window.partitionBy(*label))
+    return pairs.select(*label, "county_fips", total.alias("total"))
 
 
 def county_totals(incidents: DataFrame) -> DataFrame:

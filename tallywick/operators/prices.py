@@ -38,6 +38,8 @@ def week_numbers(bars: DataFrame, newest_first: bool = True) -> DataFrame:
         F.coalesce(F.sum("_bars").over(before), F.lit(0)).alias("_start"),
         F.sum("_bars").over(asset).alias("week_count"),
     )
+    # joined by hash on the window's own keys: the bars move once for both
+    starts = starts.hint("shuffle_hash")
     within = Window.partitionBy("asset", "_year").orderBy(in_order(F.col("ts")))
     number = F.col("_start") + F.row_number().over(within)
     return dated.join(starts, ["asset", "_year"]).select(

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywick.domains import CHART_RACE, RACE_KEY, RACES, RECENT_CHART_RACE, SEXES, WEAPONS
-from tallywick.functions.counting import WEIGHT, cells, percent, tally, weight
+from tallywick.functions.counting import WEIGHT, cells, percent, quoted, tally, weight
 from tallywick.operators.incidents import count_by_label, state_year_range
 
 Years = tuple[int, int] | None
@@ -56,12 +56,10 @@ def case_overview(df: DataFrame, years: Years = None, strict_na: bool = False) -
 
     ``homi_count`` is solved plus unsolved; cases with any other outcome count in ``homicide_total`` only.
     """
-    n = weight(df)
-    outcome = F.col("Solved")
     counts = in_years(df, years).groupBy("State").agg(
-        tally(outcome == "No", n, strict_na).alias("unsolved"),
-        tally(outcome == "Yes", n, strict_na).alias("solved"),
-        F.sum(n).alias("homicide_total"),
+        tally("Solved = 'No'", df, strict_na).alias("unsolved"),
+        tally("Solved = 'Yes'", df, strict_na).alias("solved"),
+        F.sum(weight(df)).alias("homicide_total"),
     )
     both = F.col("solved") + F.col("unsolved")
     return counts.withColumns({"homi_count": both, "clear_rate": percent(F.col("solved"), both)})
@@ -75,8 +73,7 @@ def outcome_long(overview: DataFrame) -> DataFrame:
 
 
 def _sex_counts(df: DataFrame, column: str, years: Years, strict_na: bool) -> DataFrame:
-    n = weight(df)
-    counts = [tally(F.col(column) == sex, n, strict_na).alias(sex.lower()) for sex in SEXES]
+    counts = [tally(f"{column} = '{sex}'", df, strict_na).alias(sex.lower()) for sex in SEXES]
     return in_years(df, years).groupBy("State").agg(*counts)
 
 
@@ -105,10 +102,8 @@ def offender_sex_long(counts: DataFrame) -> DataFrame:
 
 def solve_rate_by_race(df: DataFrame, years: Years = None) -> DataFrame:
     """Unsolved and solved cases and the solve rate per state and victim race; absent outcomes are 0."""
-    n = weight(df)
     counts = in_years(df, years).groupBy("State", "VicRace").agg(
-        tally(F.col("Solved") == "No", n).alias("unsolved"),
-        tally(F.col("Solved") == "Yes", n).alias("solved"),
+        tally("Solved = 'No'", df).alias("unsolved"), tally("Solved = 'Yes'", df).alias("solved")
     )
     rate = percent(F.col("solved"), F.col("solved") + F.col("unsolved"))
     return counts.withColumn("solve_rate", rate)
@@ -117,25 +112,24 @@ def solve_rate_by_race(df: DataFrame, years: Years = None) -> DataFrame:
 # --- unsolved cases by person and weapon ----------------------------------------------------------------
 
 
-def _unsolved_measures(n: Column, strict_na: bool) -> list[Column]:
-    sex, race, weapon = F.col("VicSex"), F.col("VicRace"), F.col("Weapon")
+def _unsolved_tests() -> dict[str, str]:
     tests = {
-        "female": sex == "Female",
-        "male": sex == "Male",
+        "female": "VicSex = 'Female'",
+        "male": "VicSex = 'Male'",
         # counts the unknown *race*, as the published table does
-        "unknown": race == "Unknown",
+        "unknown": "VicRace = 'Unknown'",
     }
-    tests |= {RACE_KEY[label]: race == label for label in RACES}
-    tests |= {key: (sex == s) & (race == r) for (s, r), key in PERSON_KEY.items()}
-    tests |= {key: weapon == label for label, key in WEAPON_KEY.items()}
-    return [tally(test, n, strict_na).alias(name) for name, test in tests.items()]
+    tests |= {RACE_KEY[race]: f"VicRace = {quoted(race)}" for race in RACES}
+    tests |= {key: f"VicSex = '{sex}' AND VicRace = {quoted(race)}" for (sex, race), key in PERSON_KEY.items()}
+    tests |= {key: f"Weapon = {quoted(label)}" for label, key in WEAPON_KEY.items()}
+    return tests
 
 
 def _count_unsolved(rows: DataFrame, strict_na: bool) -> DataFrame:
     # first down to label combinations, then the 44 conditions, so that they run on few rows
     combos = cells(rows, "State", "VicSex", "VicRace", "Weapon")
-    n = F.col(WEIGHT)
-    return combos.groupBy("State").agg(F.sum(n).alias("unsolved"), *_unsolved_measures(n, strict_na))
+    counts = [tally(test, combos, strict_na).alias(name) for name, test in _unsolved_tests().items()]
+    return combos.groupBy("State").agg(F.sum(WEIGHT).alias("unsolved"), *counts)
 
 
 def unsolved_counts(df: DataFrame, years: Years = None, strict_na: bool = False) -> DataFrame:
@@ -150,16 +144,11 @@ def recent_unsolved_counts(df: DataFrame, max_year: int | None = None, strict_na
 
 def unsolved_race_sex(counts: DataFrame, chart_names: dict[str, str] = CHART_RACE) -> DataFrame:
     """The 18 sex-by-race counts as rows, zero cells included; ``chart_race`` is the short race name."""
-    entries = [
-        F.struct(
-            F.lit(race).alias("race"),
-            F.lit(chart_names.get(race, race)).alias("chart_race"),
-            F.lit(sex).alias("sex"),
-            F.col(key).alias("count"),
-        )
+    rows = [
+        f"{quoted(race)}, {quoted(chart_names.get(race, race))}, '{sex}', {key}"
         for (sex, race), key in PERSON_KEY.items()
     ]
-    return counts.select("State", F.inline(F.array(*entries)))
+    return counts.selectExpr("State", f"stack({len(rows)}, {', '.join(rows)}) AS (race, chart_race, sex, count)")
 
 
 def recent_race_sex(recent_counts: DataFrame) -> DataFrame:
@@ -169,9 +158,8 @@ def recent_race_sex(recent_counts: DataFrame) -> DataFrame:
 
 def unsolved_race_sex_wide(long: DataFrame) -> DataFrame:
     """One row per state and race: a column per sex, the row total and its share of all rows of the state."""
-    n = F.col("count")
-    sexes = [F.sum(F.when(F.col("sex") == sex, n)).alias(sex.lower()) for sex in SEXES]
-    wide = long.groupBy("State", "race").agg(*sexes, F.sum(n).alias("total"))
+    sexes = [F.expr(f"sum(CASE WHEN sex = '{sex}' THEN count END)").alias(sex.lower()) for sex in SEXES]
+    wide = long.groupBy("State", "race").agg(*sexes, F.sum("count").alias("total"))
     state_total = F.sum("total").over(Window.partitionBy("State"))
     return wide.withColumn("pct_of_unsolved", percent(F.col("total"), state_total))
 
@@ -193,11 +181,8 @@ def top_sex(long: DataFrame) -> DataFrame:
 
 def unsolved_weapons(counts: DataFrame) -> DataFrame:
     """The 17 weapon counts as rows with their share of the unsolved cases, most frequent first."""
-    entries = [
-        F.struct(F.lit(WEAPONS[label]).alias("weapon"), F.col(key).alias("count"))
-        for label, key in WEAPON_KEY.items()
-    ]
-    long = counts.select("State", "unsolved", F.inline(F.array(*entries)))
+    values = ", ".join(f"{quoted(WEAPONS[label])}, {key}" for label, key in WEAPON_KEY.items())
+    long = counts.selectExpr("State", "unsolved", f"stack({len(WEAPON_KEY)}, {values}) AS (weapon, count)")
     rows = long.select("State", "weapon", "count", percent(F.col("count"), F.col("unsolved")).alias("pct_of_unsolved"))
     return rows.orderBy("State", F.col("pct_of_unsolved").desc(), "weapon")
 
@@ -267,8 +252,8 @@ def county_by_year(
 ) -> DataFrame:
     """:func:`county_year_counts` with one column per year (``y2017`` ...), absent years 0, and the row total.
 
-    There is no upper year limit, so the columns run to the last year of the data, found by one small
-    aggregate unless ``last_year`` is given. ``missing_county`` names a county without a name.
+    There is no upper year limit, so the columns run to the last year of the data. Unless ``last_year`` is
+    given, one aggregate over ``df`` finds it first, so give cells rather than rows. ``missing_county`` names a county without a name.
     """
     if max_year is None or last_year is None:
         seen = df.agg(F.min("Year").alias("lo"), F.max("Year").alias("hi")).first()
@@ -278,7 +263,7 @@ def county_by_year(
         first_year = max_year - 3
     counts = county_year_counts(df, max_year)
     years = range(first_year, last_year + 1) if last_year is not None else ()
-    columns = [tally(F.col("Year") == year, F.col("unsolved")).alias(f"y{year}") for year in years]
+    columns = [F.expr(f"coalesce(sum(CASE WHEN Year = {y} THEN unsolved END), 0L)").alias(f"y{y}") for y in years]
     wide = counts.groupBy("State", "county").agg(*columns, F.sum("unsolved").alias("unsolved_total"))
     if missing_county is not None:
         wide = wide.fillna(missing_county, ["county"])
@@ -297,7 +282,8 @@ def report_facts(df: DataFrame, years: Years = None) -> DataFrame:
     """The figures quoted in a report's text, one row per state.
 
     Year limits, cases, unsolved cases, clearance rate, and the race, sex and weapon with the most unsolved
-    cases (ties joined by a comma; at most one name per label).
+    cases (ties joined by a comma; at most one name per label). Goes through ``df`` several times: give
+    cells.
     """
     counts = unsolved_counts(df, years)
     race_sex = unsolved_race_sex(counts)

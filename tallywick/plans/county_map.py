@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywick.domains import ALL
 from tallywick.operators.breaks import color_position
@@ -28,11 +28,17 @@ class MapRequest:
         return {name: getattr(self, name) for name in names}
 
 
-def request_is_valid(request: MapRequest, first_year: Column, last_year: Column) -> Column:
-    """Years in order and inside the data, and something chosen in every filter of places and weapons."""
+def year_limits(incidents: DataFrame) -> tuple[int, int]:
+    """First and last year of the data, found once before requests are answered."""
+    found = incidents.agg(F.min("Year").alias("first"), F.max("Year").alias("last")).first()
+    return found["first"], found["last"]
+
+
+def is_valid(request: MapRequest, limits: tuple[int, int]) -> bool:
+    """Years in order and inside the data, and something chosen in a weapon or state filter that is on."""
     first, last = request.years
     chosen = all(choice is None or any(choice) for choice in (request.weapon, request.state))
-    return F.lit(chosen and first <= last) & (F.lit(first) >= first_year) & (F.lit(last) <= last_year)
+    return chosen and limits[0] <= first <= last <= limits[1]
 
 
 def map_table(incidents: DataFrame, counties: DataFrame, states: DataFrame, request: MapRequest) -> DataFrame:
@@ -46,17 +52,11 @@ def run_map(
     counties: DataFrame,
     states: DataFrame,
     request: MapRequest,
-    year_limits: tuple[int, int] | None = None,
+    limits: tuple[int, int],
 ) -> DataFrame:
-    """Map table with label and colour position; empty when the request does not hold.
+    """Map table with label and colour position; empty, and without reading anything, for an invalid request.
 
-    ``year_limits`` are the first and last year of the data. Without them they are a subquery of the same
-    job, which reads the year column of all incidents.
+    ``limits`` are the data's first and last year (see :func:`year_limits`).
     """
-    if year_limits is None:
-        first = incidents.agg(F.min("Year")).scalar()
-        last = incidents.agg(F.max("Year")).scalar()
-    else:
-        first, last = map(F.lit, year_limits)
-    table = map_table(incidents, counties, states, request).filter(request_is_valid(request, first, last))
-    return map_labels(color_position(table, "county_total"))
+    table = map_labels(color_position(map_table(incidents, counties, states, request), "county_total"))
+    return table if is_valid(request, limits) else table.limit(0)
