@@ -16,7 +16,7 @@ from tallywick.operators import breaks, incidents as inc, market, prices, report
 from tallywick.plans.averages import run_averages
 from tallywick.plans.county_map import MapRequest, map_table, run_map, year_limits
 from tallywick.plans.market import run_market
-from tallywick.plans.state_report import run_report
+from tallywick.plans.state_report import facts, run_report
 from tallywick.session import materialize, scratch_path
 from tallywick.sources import documents, tables
 
@@ -596,7 +596,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     people = materialize(report.people_cells(_incidents(spark, sf)), "people")
-    return report.report_facts(people, YEARS)
+    return facts(people, report.case_overview(people, YEARS), report.unsolved_counts(people, YEARS), YEARS)
 
 
 _RUN_REPORT_SQL = {
@@ -614,6 +614,8 @@ _RUN_REPORT_SQL = {
     "all_counties": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM open_cases GROUP BY State",
     "recent_race_sex": "SELECT State, 18 AS n FROM recent_open GROUP BY State",
     "recent_race_sex_table": "SELECT State, 6 AS n FROM recent_open GROUP BY State",
+    "unsolved_counts": "SELECT State, 1 AS n FROM open_cases GROUP BY State",
+    "recent_counts": "SELECT State, 1 AS n FROM recent_open GROUP BY State",
     "county_by_year": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM recent_open GROUP BY State",
 }
 

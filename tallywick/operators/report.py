@@ -278,30 +278,31 @@ def _joined_names(leaders: DataFrame, name: str, count: str, prefix: str) -> Dat
     return leaders.groupBy("State").agg(names.alias(f"{prefix}_name"), F.max(count).alias(f"{prefix}_count"))
 
 
-def report_facts(df: DataFrame, years: Years = None) -> DataFrame:
+def report_facts(overview: DataFrame, counts: DataFrame) -> DataFrame:
     """The figures quoted in a report's text, one row per state.
 
-    Year limits, cases, unsolved cases, clearance rate, and the race, sex and weapon with the most unsolved
-    cases (ties joined by a comma; at most one name per label). Goes through ``df`` several times: give
-    cells.
+    Cases, unsolved cases and clearance rate from :func:`case_overview`; the race, sex and weapon with the
+    most unsolved cases from :func:`unsolved_counts` (ties joined by a comma, at most one name per label).
     """
-    counts = unsolved_counts(df, years)
     race_sex = unsolved_race_sex(counts)
     parts = [
         _joined_names(top_race(unsolved_race_sex_wide(race_sex)), "race", "total", "top_race"),
         _joined_names(top_sex(race_sex), "sex", "total", "top_sex"),
         _joined_names(top_weapon(unsolved_weapons(counts)), "weapon", "count", "top_weapon"),
     ]
-    facts = case_overview(df, years).select("State", "homi_count", "unsolved", "clear_rate")
-    if years is None:
-        facts = facts.join(state_year_range(df), "State", "left")
-    else:
-        facts = facts.withColumns({"min_year": F.lit(years[0]), "max_year": F.lit(years[1])})
+    facts = overview.select("State", "homi_count", "unsolved", "clear_rate")
     for part in parts:
         facts = facts.join(part, "State", "left")
     return facts
 
 
+def with_year_limits(df: DataFrame, facts: DataFrame, years: Years = None) -> DataFrame:
+    """Adds the first and last year of the report: the range asked for, or else each state's own."""
+    if years is not None:
+        return facts.withColumns({"min_year": F.lit(years[0]), "max_year": F.lit(years[1])})
+    return facts.join(state_year_range(df), "State", "left")
+
+
 # --- cells ------------------------------------------------------------------------------------------------
 
 

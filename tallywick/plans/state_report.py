@@ -6,39 +6,50 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywick.domains import NOT_REPORTED
 from tallywick.operators import report as r
-from tallywick.session import materialize
+from tallywick.session import materialize_all
 from tallywick.sources.tables import write_report_tables
 
 
+def facts(people: DataFrame, overview: DataFrame, counts: DataFrame, years: r.Years = None) -> DataFrame:
+    """:func:`report_facts` with the year limits of the report."""
+    return r.with_year_limits(people, r.report_facts(overview, counts), years)
+
+
 def report_tables(
-    people: DataFrame,
-    places: DataFrame,
-    counties: DataFrame,
-    states: DataFrame,
-    years: r.Years = None,
+    people: DataFrame, places: DataFrame, counties: DataFrame, states: DataFrame, years: r.Years = None
 ) -> dict[str, DataFrame]:
-    """Every table of the report by name, from the two cell tables."""
+    """Every table of the report by name, from the two cell tables.
+
+    The few summaries that several tables start from, a row per state or county, are written out first.
+    """
     max_year = None if years is None else years[1]
-    overview = r.case_overview(people, years)
-    counts = r.unsolved_counts(people, years)
+    shared = materialize_all(
+        {
+            "overview": r.case_overview(people, years),
+            "counts": r.unsolved_counts(people, years),
+            "recent_counts": r.recent_unsolved_counts(people, max_year),
+            "by_county": r.county_unsolved(places, years),
+        }
+    )
+    overview, counts, by_county = shared["overview"], shared["counts"], shared["by_county"]
     race_sex = r.unsolved_race_sex(counts)
-    weapons = r.unsolved_weapons(counts)
-    recent = r.recent_race_sex(r.recent_unsolved_counts(people, max_year))
-    by_county = r.county_unsolved(places, years)
+    recent = r.recent_race_sex(shared["recent_counts"])
     county_map = r.county_unsolved_map(places, counties, states, years)
     return {
-        "facts": r.report_facts(people, years),
+        "facts": facts(people, overview, counts, years),
         "case_overview": overview,
         "case_outcome": r.outcome_long(overview),
         "victim_sex": r.victim_sex_long(r.victim_sex_counts(people, years)),
         "offender_sex": r.offender_sex_long(r.offender_sex_counts(people, years)),
+        "unsolved_counts": counts,
         "race_sex": race_sex,
         "race_sex_table": r.unsolved_race_sex_wide(race_sex),
         "solve_rate_by_race": r.solve_rate_by_race(people, years),
-        "weapons": weapons,
+        "weapons": r.unsolved_weapons(counts),
         "county_map": county_map.withColumnRenamed("State_Name", "State"),
         "top_counties": r.top_counties(by_county),
         "all_counties": r.all_counties_table(by_county),
+        "recent_counts": shared["recent_counts"],
         "recent_race_sex": recent,
         "recent_race_sex_table": r.unsolved_race_sex_wide(recent),
         "county_by_year": r.county_by_year(places, max_year),
@@ -57,15 +68,15 @@ def run_report(
     """Writes every report table below ``path``, one folder per table and state.
 
     The incidents are read twice, each time with the columns of one cell table only. The cells are written
-    to the shared folder, so the fifteen tables start from small files, also after the loss of an executor.
+    to the shared folder, so all tables start from small files, also after the loss of an executor.
     """
-    reported = ~F.col("State").isin(*NOT_REPORTED)
-    if only_states is not None:
+    if only_states is None:
+        reported = ~F.col("State").isin(*NOT_REPORTED)
+    else:
         reported = F.col("State").isin(*only_states)
+        states = states.filter(F.col("State_Name").isin(*only_states))
     wanted = incidents.filter(reported)
-    people = materialize(r.people_cells(wanted), "people")
-    places = materialize(r.place_cells(wanted), "places")
-    here = states if only_states is None else states.filter(F.col("State_Name").isin(*only_states))
-    tables = report_tables(people, places, counties, here, years)
+    cells = materialize_all({"people": r.people_cells(wanted), "places": r.place_cells(wanted)})
+    tables = report_tables(cells["people"], cells["places"], counties, states, years)
     write_report_tables(tables, path, format)
     return tables

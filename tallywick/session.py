@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -41,8 +47,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tallywick-{uuid.uuid4().hex}/{name}"
 
 
+def side_by_side(jobs: Mapping[str, Callable[[], T]], at_once: int = 8) -> dict[str, T]:
+    """Runs several Spark jobs at once; each is too small to fill the cluster alone."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(jobs, pool.map(lambda job: job(), jobs.values())))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, sizes become known."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """:func:`materialize` for several tables at once."""
+    return side_by_side({name: partial(materialize, df, name) for name, df in dfs.items()})

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywick import schemas
 from tallywick.domains import TITLES
+from tallywick.session import side_by_side
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -59,17 +60,14 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def write_report_tables(
-    tables: Mapping[str, DataFrame], path: str, format: str = "parquet", at_once: int = 8
-) -> None:
-    """Each table to its own folder, split by state; several small writes run side by side."""
+def write_report_tables(tables: Mapping[str, DataFrame], path: str, format: str = "parquet") -> None:
+    """Each table to its own folder, split by state."""
 
     def write(name: str) -> None:
         rows = tables[name].repartition("State")
         rows.write.format(format).option("header", True).partitionBy("State").save(f"{path}/{name}")
 
-    with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(write, tables))
+    side_by_side({name: partial(write, name) for name in tables})
 
 
 def with_titles(df: DataFrame, table: str) -> DataFrame:
