@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         spark__sql__shuffle__partitions="4",
+        spark__sql__maxMetadataStringLength="20000",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")

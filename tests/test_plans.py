@@ -1,0 +1,223 @@
+"""What the plans must look like to hold at scale."""
+
+import re
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywick import adapters, schemas
+from tallywick.operators import incidents as inc, market, prices as p, report as r
+from tallywick.plans.county_map import MapRequest, map_table, run_map
+from tallywick.sources import tables as t
+
+
+@pytest.fixture(scope="module")
+def stored(spark, incidents, tmp_path_factory):
+    """Incidents, boundaries and states as saved tables."""
+    path = str(tmp_path_factory.mktemp("stored"))
+    rows = [{"Year": 2000 + i % 10, "State": f"S{i % 5}", "county_fips": f"{i % 7:05d}"} for i in range(200)]
+    t.save_incidents(incidents(*rows), f"{path}/incidents")
+    counties = spark.createDataFrame([(f"{i:05d}", f"{i % 5:02d}", "g") for i in range(8)], "GEOID string, STATEFP string, geometry string")
+    states = spark.createDataFrame([(f"S{i}", f"{i:02d}", "x") for i in range(5)], schemas.STATES)
+    counties.write.parquet(f"{path}/counties")
+    states.write.parquet(f"{path}/states")
+    return (
+        t.read_incidents(spark, f"{path}/incidents"),
+        spark.read.parquet(f"{path}/counties"),
+        spark.read.parquet(f"{path}/states"),
+    )
+
+
+@pytest.fixture(scope="module")
+def bars(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("bars") / "table")
+    spark.range(4000).selectExpr(
+        "concat('a', id % 20) AS asset", "date_sub(date'2022-08-29', cast(7 * (id div 20) AS int)) AS ts",
+        "cast(id AS double) AS close",
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    df.collect()
+    return plan(df)
+
+
+@contextmanager
+def settings(spark, **conf):
+    conf = {"spark.sql." + key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def tables_of(stored):
+    df, counties, states = stored
+    totals = inc.county_totals(df)
+    counts = r.unsolved_counts(df, (2002, 2005))
+    by_county = r.county_unsolved(df, (2002, 2005))
+    return {
+        "totals": totals,
+        "map": map_table(df, counties, states, MapRequest((2002, 2005), 0)),
+        "domains": inc.filter_domains(df, states),
+        "overview": r.case_overview(df, (2002, 2005)),
+        "counts": counts,
+        "race_sex": r.unsolved_race_sex(counts),
+        "wide": r.unsolved_race_sex_wide(r.unsolved_race_sex(counts)),
+        "weapons": r.unsolved_weapons(counts),
+        "solve_rate": r.solve_rate_by_race(df, (2002, 2005)),
+        "unsolved_map": r.county_unsolved_map(df, counties, states, (2002, 2005)),
+        "top_counties": r.top_counties(by_county),
+        "by_year": r.county_by_year(df, 2005, 2009),
+    }
+
+
+def test_incidents_are_read_once(stored):
+    for name, df in tables_of(stored).items():
+        assert len(re.findall(r"Location: InMemoryFileIndex[^\n]*?/incidents\]", plan(df))) == 1, name
+
+
+def test_no_product_and_no_window_without_key(stored, bars):
+    averages = p.latest_averages(bars)
+    queries = tables_of(stored) | {
+        "numbers": p.week_numbers(bars),
+        "trailing": p.trailing_averages(bars),
+        "latest": averages,
+        "chart": p.average_chart_series(bars, averages),
+    }
+    for name, df in queries.items():
+        text = plan(df)
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+        for window in re.findall(r"\n[^\n]*\bWindow \[[^\n]*", text):
+            assert not re.search(r"\), \[\]|\], \[\], \[", window), (name, window)
+
+
+def test_all_counts_are_combined_before_the_shuffle(stored):
+    for name, df in tables_of(stored).items():
+        text = plan(df)
+        below_first_scan = text[: text.index("incidents]")]
+        last_exchange = below_first_scan.rindex("Exchange hashpartitioning")
+        assert "partial_" in below_first_scan[last_exchange:], name
+
+
+def test_filters_and_columns_reach_the_scan(stored):
+    df = stored[0]
+    victim = {"sex": ["Female"], "race": ["White"], "age": ["10-19", "Unknown"]}
+    chosen = inc.filter_incidents(df, (2002, 2005), solved=1, weapon=["Rifle"], victim=victim)
+    text = plan(inc.county_totals(chosen))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    for part in ("EqualTo(Solved,Yes)", "Weapon", "VicSex", "VicRace", "GreaterThanOrEqual(VicAge,10)", "EqualTo(VicAge,999)"):
+        assert part in pushed, part
+    assert re.search(r"PartitionFilters: \[isnotnull\(Year#\d+\)", text)
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    assert "OffAge" not in schema and "ID" not in schema.replace("IDs", "")
+
+
+def test_lookups_are_broadcast_only_when_they_are_small(spark, stored):
+    df, counties, states = stored
+    request = MapRequest((2002, 2005), 0)
+    assert "BroadcastHashJoin" in plan(map_table(df, counties, states, request))
+    small = sorted(map(str, map_table(df, counties, states, request).collect()))
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        wide = map_table(df, counties, states, request)
+        assert "BroadcastHashJoin" not in plan(wide) and "SortMergeJoin" in plan(wide)
+        assert sorted(map(str, wide.collect())) == small
+
+
+def test_colour_limits_share_the_totals(stored):
+    table = run_map(*stored, MapRequest((2002, 2005), 0), (2000, 2009))
+    text = final_plan(table)
+    assert "ReusedExchange" in text
+
+
+def test_invalid_request_reads_nothing(stored):
+    table = run_map(*stored, MapRequest((2009, 2001), 0), (2000, 2009))
+    assert "FileScan" not in plan(table) and table.collect() == []
+
+
+def test_latest_bars_are_limited_before_the_shuffle(bars):
+    text = plan(p.latest_averages(bars))
+    assert re.search(r"WindowGroupLimit \[asset#\d+\], \[ts#\d+ DESC NULLS LAST\], row_number\(\), 99, Partial", text)
+
+
+def test_top_counties_are_limited(stored):
+    text = plan(r.top_counties(r.county_unsolved(stored[0])))
+    assert "WindowGroupLimit" in text
+
+
+def test_bars_move_once_for_numbering(bars):
+    """The join that brings a year's starting number uses the partitioning of the window."""
+    text = final_plan(p.week_numbers(bars))
+    top = text[: text.index("+- == Initial Plan ==")] if "+- == Initial Plan ==" in text else text
+    assert "ShuffledHashJoin" in top and "BroadcastHashJoin" not in top
+    between = top[top.index("Window [row_number()") : top.index("ShuffledHashJoin")]
+    assert "Exchange" not in between
+
+
+def test_market_table_is_a_top_k(spark):
+    listed = adapters.listings(spark, "/root/testdata/sf0.001")
+    assert "TakeOrderedAndProject" in plan(market.latest_listings(listed, 3))
+
+
+def test_no_python_in_the_plans(stored, bars):
+    for df in list(tables_of(stored).values()) + [p.trailing_averages(bars)]:
+        text = plan(df)
+        assert "Python" not in text and "ArrowEval" not in text
+
+
+def test_a_hot_case_id_is_split(spark):
+    """A third of the cases share one ID: the join splits them over several tasks and keeps all rows."""
+    with settings(
+        spark,
+        autoBroadcastJoinThreshold="-1",
+        adaptive__autoBroadcastJoinThreshold="-1",
+        adaptive__advisoryPartitionSizeInBytes="10KB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+    ):
+        rows = spark.range(0, 30_000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 'hot', cast(id AS string)) AS ID", "id AS row", "'Rifle' AS Weapon"
+        )
+        codes = rows.filter("row % 2 = 1").selectExpr("ID", "'17 031' AS CNTYFIPS").distinct()
+        joined = inc.build_incidents(rows, codes)
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == 30_000
+        with_code = joined.filter("county_fips = '17031'").count()
+        assert with_code == rows.join(codes, "ID", "left_semi").count() == 20_000
+
+
+def test_a_hot_asset_is_numbered_in_parts(spark):
+    """An asset with most of the bars is spread over the shuffle partitions by year."""
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 10 < 8, 'hot', concat('a', id % 97)) AS asset",
+        "date_add(date'1980-01-01', cast(id % 15000 AS int)) AS ts", "cast(id AS double) AS close",
+    )
+    with settings(spark, adaptive__coalescePartitions__enabled="false"):
+        numbered = p.week_numbers(rows)
+        hot = numbered.filter("asset = 'hot'").groupBy(F.spark_partition_id().alias("part")).count().collect()
+        assert len(hot) == 4 and max(part["count"] for part in hot) < 16_000 / 2
+        check = numbered.groupBy("asset").agg(
+            F.countDistinct("week_number").alias("numbers"), F.max("week_number").alias("top"), F.first("week_count").alias("n")
+        )
+        assert check.filter("numbers <> n OR top <> n").count() == 0
+        assert numbered.count() == 20_000
+
+
+def test_a_hot_county_is_counted_down_first(spark, incidents):
+    """Half of all rows in one county leave each task as one row."""
+    rows = incidents({}, {"CNTYFIPS": "Lake, IL", "county_fips": "17097"}, {"CNTYFIPS": None})
+    many = rows.crossJoin(spark.range(0, 5_000, 1, 4)).drop("id")
+    totals = inc.county_totals(many)
+    assert {row.CNTYFIPS: row.county_total for row in totals.collect()} == {"Cook, IL": 5000, "Lake, IL": 5000, None: 5000}
+    text = plan(totals)
+    assert text.index("Window") < text.index("Exchange") < text.index("partial_sum")
