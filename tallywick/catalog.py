@@ -270,19 +270,22 @@ def _totals(spark: SparkSession, sf: str) -> DataFrame:
 _ALL_TOTALS_SQL = _TOTALS_SQL.replace("open_cases", "incidents")
 
 
+_CUTS_SQL = """SELECT lo, hi, cut FROM
+  (SELECT lo, hi, unnest(range(CAST(floor(lo / step) AS BIGINT), CAST(ceil(hi / step) AS BIGINT) + 1)) * step AS cut
+   FROM (SELECT lo, hi, CASE WHEN 2 * b - cell >= 1.5 * (cell - b) THEN b
+       WHEN 5 * b - cell >= 2.75 * (cell - 2 * b) THEN 2 * b
+       WHEN 10 * b - cell >= 1.5 * (cell - 5 * b) THEN 5 * b ELSE 10 * b END AS step
+     FROM (SELECT lo, hi, cell, power(10.0, floor(log10(cell))) AS b
+       FROM (SELECT CAST(min(county_total) AS DOUBLE) AS lo, CAST(max(county_total) AS DOUBLE) AS hi,
+           CAST(max(county_total) - min(county_total) AS DOUBLE) / 7 AS cell FROM totals))))
+  WHERE cut BETWEEN lo AND hi"""
+
+
 @query(
     "legend_breaks_numeric",
     _sql(
-        """SELECT cut, round((cut - lo) / (hi - lo), 6) AS position FROM
-        (SELECT lo, hi, unnest(range(CAST(floor(lo / step) AS BIGINT), CAST(ceil(hi / step) AS BIGINT) + 1)) * step AS cut
-         FROM (SELECT lo, hi, CASE WHEN 2 * b - cell >= 1.5 * (cell - b) THEN b
-             WHEN 5 * b - cell >= 2.75 * (cell - 2 * b) THEN 2 * b
-             WHEN 10 * b - cell >= 1.5 * (cell - 5 * b) THEN 5 * b ELSE 10 * b END AS step
-           FROM (SELECT lo, hi, cell, power(10.0, floor(log10(cell))) AS b
-             FROM (SELECT CAST(min(county_total) AS DOUBLE) AS lo, CAST(max(county_total) AS DOUBLE) AS hi,
-                 CAST(max(county_total) - min(county_total) AS DOUBLE) / 7 AS cell FROM totals))))
-        WHERE cut BETWEEN lo AND hi""",
-        "incidents", totals=_ALL_TOTALS_SQL,
+        "SELECT cut, round((cut - lo) / (hi - lo), 6) AS position FROM cuts",
+        "incidents", totals=_ALL_TOTALS_SQL, cuts=_CUTS_SQL,
     ),
 )
 def _(spark, sf):
@@ -292,16 +295,16 @@ def _(spark, sf):
 @query(
     "legend_breaks_bin",
     _sql(
-        """SELECT bin, midpoint FROM (SELECT row_number() OVER (ORDER BY county_total) - 1 AS bin,
-        (county_total + lead(county_total) OVER (ORDER BY county_total)) / 2 AS midpoint
-        FROM (SELECT DISTINCT county_total FROM totals)) WHERE midpoint IS NOT NULL""",
-        "incidents", totals=_ALL_TOTALS_SQL,
+        """SELECT bin, midpoint FROM (SELECT row_number() OVER (ORDER BY cut) - 1 AS bin,
+        (cut + lead(cut) OVER (ORDER BY cut)) / 2 AS midpoint FROM cuts) WHERE midpoint IS NOT NULL""",
+        "incidents", totals=_ALL_TOTALS_SQL, cuts=_CUTS_SQL,
     ),
 )
 def _(spark, sf):
-    # the distinct county totals serve as the cuts
-    cuts = _totals(spark, sf).agg(F.sort_array(F.collect_set("county_total")).alias("cuts"))
-    return breaks.legend_breaks_bin(cuts, "cuts").withColumn("bin", F.col("bin").cast("bigint"))
+    # about seven round cuts serve as the bins' limits
+    cuts = breaks.legend_breaks_numeric(_totals(spark, sf), "county_total")
+    limits = cuts.agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    return breaks.legend_breaks_bin(limits, "cuts").withColumn("bin", F.col("bin").cast("bigint"))
 
 
 _PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -865,5 +868,28 @@ def _(spark, sf):
 def _(spark, sf):
     """Listing documents landed as files, one document each, to the market table."""
     path = scratch_path(spark, "listings")
-    adapters.listing_documents(spark, sf).write.text(path)
+    adapters.listing_documents(spark, sf).write.option("maxRecordsPerFile", 1).text(path)
     return run_market(spark, path)
+
+
+@query("pair_files", _sql("SELECT * FROM pairs WHERE contains(altname, 'USD')", "pairs"))
+def _(spark, sf):
+    """Pair documents landed one per line."""
+    path = scratch_path(spark, "pairs")
+    adapters.pair_documents(spark, sf).write.text(path)
+    return documents.pair_catalog(documents.read_documents(spark, path, one_per_line=True))
+
+
+@query(
+    "ohlc_files",
+    _sql(
+        """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, open, high, low, close FROM bars""",
+        "bars",
+    ),
+)
+def _(spark, sf):
+    """Price documents landed one per line."""
+    path = scratch_path(spark, "ohlc")
+    adapters.ohlc_documents(spark, sf).write.text(path)
+    bars = documents.ohlc_bars(documents.read_documents(spark, path, one_per_line=True))
+    return _text(bars.select("asset", "ts", "open", "high", "low", "close"), "ts")

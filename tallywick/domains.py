@@ -78,17 +78,17 @@ EST_OFFSET_SECONDS = -5 * 3600
 
 # --- column titles of the printed tables -----------------------------------------------------------
 TITLES = {
-    "outcome_long": {"case_outcome": "Case Outcome", "total": "Total"},
-    "victim_sex_long": {"victim_sex": "Victim Sex", "total": "Total"},
-    "offender_sex_long": {"offender_sex": "Offender Sex", "total": "Offender Total"},
+    "case_outcome": {"case_outcome": "Case Outcome", "total": "Total"},
+    "victim_sex": {"victim_sex": "Victim Sex", "total": "Total"},
+    "offender_sex": {"offender_sex": "Offender Sex", "total": "Offender Total"},
     "solve_rate_by_race": {
         "VicRace": "Victim Race",
         "unsolved": "Unsolved",
         "solved": "Solved",
         "solve_rate": "Solve Rate",
     },
-    "unsolved_race_sex": {"race": "Race", "sex": "Sex", "count": "Count"},
-    "unsolved_race_sex_wide": {
+    "race_sex": {"race": "Race", "sex": "Sex", "count": "Count"},
+    "race_sex_table": {
         "race": "Race",
         "female": "Female",
         "male": "Male",
@@ -96,12 +96,13 @@ TITLES = {
         "total": "Total",
         "pct_of_unsolved": "% of Unsolved Total",
     },
-    "unsolved_weapons": {
+    "weapons": {
         "weapon": "Murder Weapon",
         "count": "Count",
         "pct_of_unsolved": "Percent of Unsolved",
     },
-    "county_unsolved": {"county": "County", "unsolved": "Unsolved Homicide Count"},
+    "top_counties": {"county": "County", "unsolved": "Unsolved Homicide Count"},
+    "all_counties": {"county": "County", "unsolved": "Unsolved Homicide Count"},
     "county_by_year": {"county": "County", "unsolved_total": "Unsolved Total"},
     "county_map": {"county_total": "County Total"},
     "average_table": {

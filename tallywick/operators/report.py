@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywick.domains import CHART_RACE, RACE_KEY, RACES, RECENT_CHART_RACE, SEXES, WEAPONS
 from tallywick.functions.counting import WEIGHT, cells, percent, quoted, tally, weight
@@ -183,7 +183,8 @@ def unsolved_weapons(counts: DataFrame) -> DataFrame:
     """The 17 weapon counts as rows with their share of the unsolved cases, most frequent first."""
     values = ", ".join(f"{quoted(WEAPONS[label])}, {key}" for label, key in WEAPON_KEY.items())
     long = counts.selectExpr("State", "unsolved", f"stack({len(WEAPON_KEY)}, {values}) AS (weapon, count)")
-    rows = long.select("State", "weapon", "count", percent(F.col("count"), F.col("unsolved")).alias("pct_of_unsolved"))
+    share = percent(F.col("count"), F.col("unsolved"))
+    rows = long.select("State", "weapon", "count", share.alias("pct_of_unsolved"))
     return rows.orderBy("State", F.col("pct_of_unsolved").desc(), "weapon")
 
 
@@ -263,7 +264,9 @@ def county_by_year(
         first_year = max_year - 3
     counts = county_year_counts(df, max_year)
     years = range(first_year, last_year + 1) if last_year is not None else ()
-    columns = [F.expr(f"coalesce(sum(CASE WHEN Year = {y} THEN unsolved END), 0L)").alias(f"y{y}") for y in years]
+    columns = [
+        F.expr(f"coalesce(sum(CASE WHEN Year = {year} THEN unsolved END), 0L)").alias(f"y{year}") for year in years
+    ]
     wide = counts.groupBy("State", "county").agg(*columns, F.sum("unsolved").alias("unsolved_total"))
     if missing_county is not None:
         wide = wide.fillna(missing_county, ["county"])

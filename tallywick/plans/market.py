@@ -9,6 +9,8 @@ from tallywick.operators.market import market_table, price_display
 from tallywick.sources.documents import listings, read_documents
 
 
-def run_market(spark: SparkSession, path: str, n: int = LISTINGS_FOR_MARKET) -> DataFrame:
+def run_market(
+    spark: SparkSession, path: str, n: int = LISTINGS_FOR_MARKET, one_per_line: bool = False
+) -> DataFrame:
     """Market table with dollar prices from the listing documents below ``path``."""
-    return price_display(market_table(listings(read_documents(spark, path)), n))
+    return price_display(market_table(listings(read_documents(spark, path, one_per_line)), n))

@@ -64,6 +64,7 @@ def run_report(
     years: r.Years = None,
     only_states: list[str] | None = None,
     format: str = "parquet",
+    titles: bool = False,
 ) -> dict[str, DataFrame]:
     """Writes every report table below ``path``, one folder per table and state.
 
@@ -78,5 +79,5 @@ def run_report(
     wanted = incidents.filter(reported)
     cells = materialize_all({"people": r.people_cells(wanted), "places": r.place_cells(wanted)})
     tables = report_tables(cells["people"], cells["places"], counties, states, years)
-    write_report_tables(tables, path, format)
+    write_report_tables(tables, path, format, titles)
     return tables

@@ -19,15 +19,43 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # the call site of every column expression helps while developing and slows down long queries' building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_MB = 1024**2
+# per shuffle partition, before the adaptive merge of small ones
+_SHUFFLE_TARGET = 512 * _MB
+_MOST_PARTITIONS = 50_000
 
-def build_session(app: str = "tallywick", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the library's defaults; ``conf`` keys use ``__`` for dots."""
+
+def scale_settings(input_bytes: int) -> dict[str, str]:
+    """Partition settings for inputs of this size.
+
+    Shuffles start with one partition per 512 MB, which adaptive execution merges where less data arrives;
+    it never splits an evenly large one, so too few would be the costlier mistake. Scan tasks of large
+    inputs read 512 MB instead of 128 MB, which keeps the number of tasks within the scheduler's reach.
+    """
+    partitions = min(max(200, input_bytes // _SHUFFLE_TARGET), _MOST_PARTITIONS)
+    settings = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+    }
+    if input_bytes >= 1024**4:
+        settings["spark.sql.files.maxPartitionBytes"] = str(512 * _MB)
+    return settings
+
+
+def build_session(
+    app: str = "tallywick", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the library's defaults, sized for its input; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    sized = {} if input_bytes is None else scale_settings(input_bytes)
+    given = {key.replace("__", "."): value for key, value in conf.items()}
+    for key, value in {**DEFAULTS, **sized, **given}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

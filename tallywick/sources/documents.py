@@ -1,6 +1,6 @@
 """JSON documents, landed as files, to tables.
 
-One file is one response of the provider and one row of text; parsing and flattening are column
+A document is one response of the provider and one row of text; parsing and flattening are column
 expressions, so documents spread over tasks like any other rows.
 """
 
@@ -12,9 +12,9 @@ from tallywick import schemas
 from tallywick.functions.times import epoch_to_est, epoch_to_utc, iso_date, iso_timestamp
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, in column ``value``."""
-    return spark.read.text(path, wholetext=True)
+def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One document per file, or with ``one_per_line`` per line of a file, in column ``value``."""
+    return spark.read.text(path, wholetext=not one_per_line)
 
 
 def pair_catalog(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import partial
 
@@ -60,22 +61,34 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def write_report_tables(tables: Mapping[str, DataFrame], path: str, format: str = "parquet") -> None:
-    """Each table to its own folder, split by state."""
+def write_report_tables(
+    tables: Mapping[str, DataFrame], path: str, format: str = "parquet", titles: bool = False
+) -> None:
+    """Each table to its own folder, split by state, with the printed titles if wanted."""
 
     def write(name: str) -> None:
-        rows = tables[name].repartition("State")
+        table = with_titles(tables[name], name) if titles else tables[name]
+        rows = table.repartition("State")
         rows.write.format(format).option("header", True).partitionBy("State").save(f"{path}/{name}")
 
     side_by_side({name: partial(write, name) for name in tables})
 
 
 def with_titles(df: DataFrame, table: str) -> DataFrame:
-    """Columns renamed to the titles of the printed table."""
-    return df.withColumnsRenamed(TITLES[table])
+    """Columns renamed to the titles of the printed table; a year column ``y2017`` reads ``2017``."""
+    years = {name: name[1:] for name in df.columns if re.fullmatch(r"y\d+", name)}
+    return df.withColumnsRenamed(TITLES.get(table, {}) | years)
 
 
-def only_with_title(averages: DataFrame, asset_tick: str, weeks: int) -> DataFrame:
-    """One asset's average table as printed, the overall column named after the number of weeks."""
-    one = averages.filter(F.col("asset_tick") == asset_tick)
-    return with_titles(one, "average_table").withColumnRenamed("avg_overall", f"{weeks} Week Average")
+def printed_average_table(table: DataFrame, asset_tick: str) -> DataFrame:
+    """One asset's averages as printed: only the columns of its tier, the overall one named after its weeks.
+
+    Looks up the asset's row for these names; without one, as for an asset without a tier, the result is
+    empty.
+    """
+    one = table.filter(F.col("asset_tick") == asset_tick)
+    row = one.first()
+    shown = [name for name in ("avg_50", "avg_100") if row is not None and row[name] is not None]
+    overall = "avg_overall" if row is None else row["overall_title"]
+    named = one.select("asset", "current_price", *shown, F.col("avg_overall").alias(overall))
+    return with_titles(named, "average_table")

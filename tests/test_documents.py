@@ -5,7 +5,7 @@ from conftest import dicts
 from tallywick.operators.market import latest_listings, market_table, pair_choices, price_display
 from tallywick.plans.market import run_market
 from tallywick.sources import documents as d
-from tallywick.sources.tables import only_with_title, with_titles
+from tallywick.sources.tables import printed_average_table, with_titles
 
 PAIRS = {
     "error": [],
@@ -116,10 +116,18 @@ def test_market_table(spark, tmp_path):
 
 def test_printed_average_table(spark):
     table = spark.createDataFrame(
-        [("XXBTZUSD", "BTC", 1.0, 150, 2.0, 3.0, 4.0, "150 Week Average"), ("B", "B", 1.0, 9, 2.0, 3.0, 4.0, "x")],
+        [("XXBTZUSD", "BTC", 1.0, 150, 2.0, 3.0, 4.0, "150 Week Average"), ("B", "B", 1.0, 9, None, None, 4.0, "9 Week Average")],
         "asset_tick string, asset string, current_price double, week_count int, avg_50 double, avg_100 double, "
         "avg_overall double, overall_title string",
     )
-    printed = only_with_title(table, "XXBTZUSD", 150)
-    assert printed.count() == 1
-    assert {"Asset", "Current Price", "50 Week Average", "100 Week Average", "150 Week Average"} <= set(printed.columns)
+    printed = printed_average_table(table, "XXBTZUSD")
+    assert printed.columns == ["Asset", "Current Price", "50 Week Average", "100 Week Average", "150 Week Average"]
+    assert [tuple(row) for row in printed.collect()] == [("BTC", 1.0, 2.0, 3.0, 4.0)]
+    assert printed_average_table(table, "B").columns == ["Asset", "Current Price", "9 Week Average"]
+    assert printed_average_table(table, "C").collect() == []
+
+
+def test_documents_one_per_line(spark, tmp_path):
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(text) for text in (PAIRS, {"result": {"E": {"altname": "EUSD", "base": "E"}}})))
+    catalog = d.pair_catalog(d.read_documents(spark, str(tmp_path), one_per_line=True))
+    assert {row.asset_tick for row in catalog.collect()} == {"SOLUSD", "USDCUSD", "USDTZUSD", "XXBTZUSD", "E"}

@@ -1,12 +1,9 @@
-import datetime as dt
-
 import pytest
 
-from conftest import CASE
 from tallywick import schemas
 from tallywick.operators import incidents as inc, report as r
 from tallywick.plans.state_report import run_report
-from tallywick.session import materialize, scratch_path
+from tallywick.session import materialize, scale_settings, scratch_path
 from tallywick.sources import tables as t
 
 
@@ -101,6 +98,18 @@ def test_report_of_chosen_states_as_csv(spark, report_inputs, tmp_path):
     assert [(row.State, row.county, row.unsolved) for row in back.collect()] == [("Ohio", "Lake, OH", "1")]
 
 
-def test_titles(spark, report_inputs):
+def test_titles(spark, report_inputs, tmp_path):
     table = r.all_counties_table(r.county_unsolved(report_inputs[0]))
-    assert t.with_titles(table, "county_unsolved").columns == ["State", "County", "Unsolved Homicide Count"]
+    assert t.with_titles(table, "all_counties").columns == ["State", "County", "Unsolved Homicide Count"]
+    run_report(*report_inputs, str(tmp_path / "titled"), years=(2009, 2011), format="csv", titles=True)
+    by_year = spark.read.csv(str(tmp_path / "titled" / "county_by_year"), header=True)
+    assert by_year.columns == ["County", "2008", "2009", "2010", "2011", "2012", "Unsolved Total", "State"]
+    weapons = spark.read.csv(str(tmp_path / "titled" / "weapons"), header=True)
+    assert weapons.columns == ["Murder Weapon", "Count", "Percent of Unsolved", "State"]
+
+
+def test_partitions_grow_with_the_input():
+    small, large = scale_settings(10**9), scale_settings(100 * 1024**4)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert large["spark.sql.shuffle.partitions"] == "50000"
+    assert "spark.sql.files.maxPartitionBytes" in large and "spark.sql.files.maxPartitionBytes" not in small
