@@ -72,6 +72,23 @@ def test_shared_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+class Settings(dict):
+    """A session's settings without a session."""
+
+    @property
+    def conf(self):
+        return self
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Settings({"spark.master": "yarn"}), "x")
+    local = scratch_path(Settings({"spark.master": "local[2]"}), "x")
+    assert local.endswith("/x") and scratch_path(Settings({"spark.master": "local[2]"}), "x") != local
+    shared = scratch_path(Settings({"spark.master": "yarn", "spark.checkpoint.dir": "s3://shared/"}), "x")
+    assert shared.startswith("s3://shared/tallywick-")
+
+
 @pytest.fixture(scope="module")
 def report_inputs(spark, incidents):
     df = incidents(
