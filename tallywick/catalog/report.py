@@ -240,7 +240,8 @@ _BY_YEAR_SQL = "SELECT State, CNTYFIPS AS county, " + ", ".join(
 @query("county_by_year", sql(_BY_YEAR_SQL, "recent_open"))
 def _(spark, sf):
     # counted first, because the last year is looked up before the table is laid out
-    places = materialize(report.place_cells(incidents(spark, sf)), "places")
+    recent = report.recent_rows(incidents(spark, sf), MAX_YEAR)
+    places = materialize(report.place_cells(recent), "places")
     return report.county_by_year(places, MAX_YEAR)
 
 
@@ -264,7 +265,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    people = materialize(report.people_cells(incidents(spark, sf)), "people")
+    people = materialize(report.people_cells(report.in_years(incidents(spark, sf), YEARS)), "people")
     return facts(people, report.case_overview(people, YEARS), report.unsolved_counts(people, YEARS), YEARS)
 
 

@@ -21,6 +21,8 @@ Years = tuple[int, int] | None
 PEOPLE_KEYS = ("State", "Year", "Solved", "VicSex", "VicRace", "OffSex", "Weapon")
 PLACE_KEYS = ("State", "Year", "Solved", "CNTYFIPS", "county_fips")
 
+RECENT_YEARS = 3  # before the report's last one
+
 WEAPON_KEY = {
     label: "weapon_" + re.sub("[^a-z]+", "_", title.lower()).strip("_") for label, title in WEAPONS.items()
 }
@@ -36,15 +38,15 @@ def unsolved_rows(df: DataFrame, years: Years) -> DataFrame:
 
 
 def recent_rows(df: DataFrame, max_year: int | None) -> DataFrame:
-    """Rows from ``max_year - 3`` on: four calendar years, and no upper limit.
+    """Rows from ``max_year - 3`` (``RECENT_YEARS``) on: four calendar years, and no upper limit.
 
     Without ``max_year`` each state's own last year counts; give cells then, since the year range is a
     second pass over ``df``.
     """
     if max_year is not None:
-        return df.filter(F.col("Year") >= max_year - 3)
+        return df.filter(F.col("Year") >= max_year - RECENT_YEARS)
     last = state_year_range(df).select(F.col("State").alias("_state"), "max_year")
-    same = F.col("State").eqNullSafe(F.col("_state")) & (F.col("Year") >= F.col("max_year") - 3)
+    same = F.col("State").eqNullSafe(F.col("_state")) & (F.col("Year") >= F.col("max_year") - RECENT_YEARS)
     return df.join(last, same).select(*df.columns)
 
 
@@ -259,9 +261,9 @@ def county_by_year(
     if max_year is None or last_year is None:
         seen = df.agg(F.min("Year").alias("lo"), F.max("Year").alias("hi")).first()
         last_year = seen["hi"] if last_year is None else last_year
-        first_year = seen["lo"] if max_year is None else max_year - 3
+        first_year = seen["lo"] if max_year is None else max_year - RECENT_YEARS
     else:
-        first_year = max_year - 3
+        first_year = max_year - RECENT_YEARS
     counts = county_year_counts(df, max_year)
     years = range(first_year, last_year + 1) if last_year is not None else ()
     columns = [
