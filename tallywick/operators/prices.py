@@ -6,6 +6,8 @@ here relies on that: no window or join puts a whole asset into one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywick.domains import FIRST_OLDER_WEEK_50, FIRST_OLDER_WEEK_100, LOOKBACK_WEEKS
@@ -20,11 +22,16 @@ def lookback(bars: DataFrame, as_of: Column, weeks: int = LOOKBACK_WEEKS) -> Dat
     return bars.filter(F.col("ts") > start)
 
 
+def _time_order(bars: DataFrame, in_order: Callable[[Column], Column]) -> list[Column]:
+    return [in_order(F.col(name)) for name in ("ts", "close") if name in bars.columns]
+
+
 def week_numbers(bars: DataFrame, newest_first: bool = True) -> DataFrame:
     """Adds ``week_number`` (1 = latest, or 1 = earliest) and ``week_count`` within each asset.
 
     Numbered year by year: bars are counted per asset and year, the counts of the preceding years give each
-    year's starting number, and only one year of one asset is ever sorted together.
+    year's starting number, and only one year of one asset (53 weekly bars) is ever sorted together. Bars
+    of the same time are numbered by their close, so that a repeated task numbers them alike.
     """
     in_order = Column.desc_nulls_last if newest_first else Column.asc_nulls_last
     # bars without a time form a year of their own, numbered last
@@ -40,7 +47,7 @@ def week_numbers(bars: DataFrame, newest_first: bool = True) -> DataFrame:
     )
     # joined by hash on the window's own keys: the bars move once for both
     starts = starts.hint("shuffle_hash")
-    within = Window.partitionBy("asset", "_year").orderBy(in_order(F.col("ts")))
+    within = Window.partitionBy("asset", "_year").orderBy(*_time_order(bars, in_order))
     number = F.col("_start") + F.row_number().over(within)
     return dated.join(starts, ["asset", "_year"]).select(
         *bars.columns, number.alias("week_number"), "week_count"
@@ -89,7 +96,7 @@ def latest_averages(bars: DataFrame, strict: bool = True) -> DataFrame:
         F.avg("close").alias("avg_overall"),
         F.min("ts").alias("first_ts"),
     )
-    newest = Window.partitionBy("asset").orderBy(F.col("ts").desc_nulls_last())
+    newest = Window.partitionBy("asset").orderBy(*_time_order(bars, Column.desc_nulls_last))
     latest = bars.select("asset", "close", F.row_number().over(newest).alias("number")).filter(
         F.col("number") < FIRST_OLDER_WEEK_100
     )

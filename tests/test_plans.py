@@ -147,7 +147,7 @@ def test_invalid_request_reads_nothing(stored):
 
 def test_latest_bars_are_limited_before_the_shuffle(bars):
     text = plan(p.latest_averages(bars))
-    assert re.search(r"WindowGroupLimit \[asset#\d+\], \[ts#\d+ DESC NULLS LAST\], row_number\(\), 99, Partial", text)
+    assert re.search(r"WindowGroupLimit \[asset#\d+\], \[ts#\d+ DESC NULLS LAST, close#\d+ DESC NULLS LAST\], row_number\(\), 99, Partial", text)
 
 
 def test_top_counties_are_limited(stored):

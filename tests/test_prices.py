@@ -64,7 +64,17 @@ def test_bars_without_a_time_come_last(spark):
 
 def test_equal_times_get_different_numbers(spark):
     df = spark.createDataFrame([("a", MONDAY, float(i)) for i in range(5)], "asset string, ts date, close double")
-    assert sorted(r.week_number for r in p.week_numbers(df).collect()) == [1, 2, 3, 4, 5]
+    assert {r.close: r.week_number for r in p.week_numbers(df).collect()} == {4.0: 1, 3.0: 2, 2.0: 3, 1.0: 4, 0.0: 5}
+
+
+def test_equal_times_at_the_limit_are_told_apart_by_close(spark):
+    """Fifty bars of one time and one more: the same fifty are taken wherever they are averaged."""
+    rows = [("a", MONDAY, float(i)) for i in range(51)]
+    df = spark.createDataFrame(rows, "asset string, ts date, close double").repartition(3)
+    (row,) = p.latest_averages(df).collect()
+    assert row.avg_50 == mean(range(1, 51))
+    flagged = [r.close for r in p.trailing_averages(df).collect() if r.flag_50 == 1]
+    assert sorted(flagged) == [float(i) for i in range(1, 51)]
 
 
 def test_latest_averages(many):
