@@ -168,7 +168,7 @@ def ohlc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = [F.col(c).cast("string") for c in ("open", "high", "low", "close", "close", "volume")]
     row = F.array(seconds, *number, F.col("trades").cast("string"))
     rows = bars.select("asset", "day", row.alias("row")).groupBy("asset").agg(
-        F.sort_array(F.collect_list("row")).alias("rows"), F.max("day").alias("last")
+        F.collect_list("row").alias("rows"), F.max("day").alias("last")
     )
     text = F.concat(
         F.lit('{"error":[],"result":{"'), F.col("asset"), F.lit('":'), F.to_json("rows"), F.lit(',"last":'),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywick.catalog.registry import MAX_YEAR, YEARS, incidents, lookups, query, sql
@@ -304,9 +306,8 @@ def _(spark, sf):
     """Writes all report tables and counts the rows read back per table and state."""
     path = scratch_path(spark, "report")
     written = run_report(incidents(spark, sf), *lookups(spark, sf), path, YEARS)
-    counts = None
-    for name in written:
-        rows = spark.read.parquet(f"{path}/{name}").groupBy("State").agg(F.count(F.lit(1)).alias("n"))
-        one = rows.select(F.lit(name).alias("report_table"), "State", "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    rows = [
+        spark.read.schema(table.schema).parquet(f"{path}/{name}").select(F.lit(name).alias("report_table"), "State")
+        for name, table in written.items()
+    ]
+    return reduce(DataFrame.union, rows).groupBy("report_table", "State").agg(F.count(F.lit(1)).alias("n"))

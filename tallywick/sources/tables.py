@@ -64,16 +64,27 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None) ->
 def write_report_tables(
     tables: Mapping[str, DataFrame], path: str, format: str = "parquet", titles: bool = False
 ) -> None:
-    """Each table to its own folder, split by state, with the printed titles if wanted."""
+    """Each table to its own folder, split by state, with the printed titles if wanted.
+
+    Writing again replaces the states written and leaves others as they are.
+    """
 
     def write(name: str) -> None:
-        table = with_titles(tables[name], name) if titles else tables[name]
-        rows = table.repartition("State")
-        rows.write.format(format).option("header", True).partitionBy("State").save(f"{path}/{name}")
+        table = tables[name] if format == "parquet" else _as_text(tables[name])
+        rows = (with_titles(table, name) if titles else table).repartition("State")
+        rows.write.format(format).mode("overwrite").option("header", True).option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("State").save(f"{path}/{name}")
 
     side_by_side({name: partial(write, name) for name in tables})
 
 
+def _as_text(df: DataFrame) -> DataFrame:
+    """Binary columns in base64, for formats that hold text only."""
+    binary = [name for name, kind in df.dtypes if kind == "binary"]
+    return df.withColumns({name: F.base64(name) for name in binary}) if binary else df
+
+
 def with_titles(df: DataFrame, table: str) -> DataFrame:
     """Columns renamed to the titles of the printed table; a year column ``y2017`` reads ``2017``."""
     years = {name: name[1:] for name in df.columns if re.fullmatch(r"y\d+", name)}

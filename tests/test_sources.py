@@ -110,9 +110,18 @@ def test_report_folders(spark, report_inputs, tmp_path):
 
 
 def test_report_of_chosen_states_as_csv(spark, report_inputs, tmp_path):
-    run_report(*report_inputs, str(tmp_path / "one"), years=(2009, 2011), only_states=["Ohio"], format="csv")
-    back = spark.read.csv(str(tmp_path / "one" / "top_counties"), header=True)
-    assert [(row.State, row.county, row.unsolved) for row in back.collect()] == [("Ohio", "Lake, OH", "1")]
+    df, counties, states = report_inputs
+    counties = counties.withColumn("geometry", counties.geometry.cast("binary"))
+    path = str(tmp_path / "one")
+    run_report(df, counties, states, path, years=(2009, 2011), format="csv")
+    # a second run for one state replaces that state only
+    run_report(df.filter("State <> 'Ohio'"), counties, states, path, years=(2009, 2011), only_states=["Illinois"], format="csv")
+    back = spark.read.csv(f"{path}/top_counties", header=True).collect()
+    assert sorted((row.State, row.county, row.unsolved) for row in back) == [
+        ("Illinois", "Cook, IL", "1"), ("Ohio", "Lake, OH", "1"),
+    ]
+    shapes = spark.read.csv(f"{path}/county_map", header=True).collect()
+    assert {(row.State, row.geometry) for row in shapes} == {("Illinois", "YQ=="), ("Ohio", "Yg==")}
 
 
 def test_titles(spark, report_inputs, tmp_path):
