@@ -267,7 +267,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    people = materialize(report.people_cells(report.in_years(incidents(spark, sf), YEARS)), "people")
+    people = materialize(report.people_cells(report.in_years(incidents(spark, sf), YEARS), YEARS), "people")
     return facts(people, report.case_overview(people, YEARS), report.unsolved_counts(people, YEARS), YEARS)
 
 

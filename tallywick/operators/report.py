@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywick.domains import CHART_RACE, RACE_KEY, RACES, RECENT_CHART_RACE, SEXES, WEAPONS
 from tallywick.functions.counting import WEIGHT, cells, percent, quoted, tally, weight
@@ -311,9 +311,24 @@ def with_year_limits(df: DataFrame, facts: DataFrame, years: Years = None) -> Da
 # --- cells ------------------------------------------------------------------------------------------------
 
 
-def people_cells(df: DataFrame) -> DataFrame:
-    """Cases per combination of the person and weapon columns: enough for every table not about places."""
-    return cells(df, *PEOPLE_KEYS)
+def year_class(years: tuple[int, int]) -> Column:
+    """First year of the year's class, for a report over ``years``.
+
+    A report only asks whether a year lies in its range and whether it is recent. Years that answer alike
+    may be counted together, which leaves three classes instead of one group per year.
+    """
+    first, last = years
+    older, newer = sorted((first, last - RECENT_YEARS))
+    year = F.col("Year")
+    return F.when(year > last, last + 1).when(year >= newer, newer).when(year >= older, older)
+
+
+def people_cells(df: DataFrame, years: Years = None) -> DataFrame:
+    """Cases per combination of the person and weapon columns: enough for every table not about places.
+
+    With ``years``, years are combined by :func:`year_class` and serve reports over that range only.
+    """
+    return cells(df if years is None else df.withColumn("Year", year_class(years)), *PEOPLE_KEYS)
 
 
 def place_cells(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Sequence, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,10 +18,10 @@ class MapRequest:
 
     years: tuple[int, int]
     solved: int = ALL
-    weapon: Iterable[str] | None = None
-    state: Iterable[str] | None = None
-    victim: Mapping[str, Iterable[str]] | None = None
-    offender: Mapping[str, Iterable[str]] | None = None
+    weapon: Sequence[str] | None = None
+    state: Sequence[str] | None = None
+    victim: Mapping[str, Sequence[str]] | None = None
+    offender: Mapping[str, Sequence[str]] | None = None
 
     def filters(self) -> dict:
         names = ("solved", "weapon", "state", "victim", "offender")

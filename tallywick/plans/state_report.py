@@ -81,7 +81,7 @@ def run_report(
     if years is not None:
         # nothing in a report is older than its range or its recent years
         wanted = wanted.filter(F.col("Year") >= min(years[0], years[1] - r.RECENT_YEARS))
-    cells = materialize_all({"people": r.people_cells(wanted), "places": r.place_cells(wanted)})
+    cells = materialize_all({"people": r.people_cells(wanted, years), "places": r.place_cells(wanted)})
     tables = report_tables(cells["people"], cells["places"], counties, states, years)
     write_report_tables(tables, path, format, titles)
     return tables

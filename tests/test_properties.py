@@ -100,3 +100,20 @@ def test_rates(spark, incidents, rows):
         assert got[race][:2] == (no, yes)
         assert (got[race][2] is None) == (rate is None) and (rate is None or abs(got[race][2] - rate) <= 0.00501)
     assert df.filter(F.col("Solved") == "No").count() == sum(no for no, _, _ in want.values())
+
+
+@few
+@given(
+    st.lists(st.tuples(st.integers(1995, 2012), st.sampled_from(["Yes", "No"]), st.sampled_from(["Male", "Female"])), max_size=60),
+    st.integers(1994, 2010),
+    st.integers(0, 9),
+)
+def test_combined_years_answer_like_years(spark, incidents, rows, first, span):
+    years = (first, first + span)
+    df = incidents(*[{"Year": y, "Solved": s, "VicSex": v} for y, s, v in rows])
+    cells = report.people_cells(df, years)
+    assert cells.select("Year").distinct().count() <= 4
+    for table in (report.case_overview, report.unsolved_counts, report.solve_rate_by_race, report.victim_sex_counts):
+        assert sorted(map(str, table(cells, years).collect())) == sorted(map(str, table(df, years).collect()))
+    recent = [report.recent_unsolved_counts(x, years[1]).collect() for x in (cells, df)]
+    assert recent[0] == recent[1]
