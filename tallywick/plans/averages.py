@@ -18,7 +18,11 @@ from tallywick.operators.prices import (
 def run_averages(
     bars: DataFrame, pairs: DataFrame, listings: DataFrame, as_of: Column, strict: bool = True
 ) -> dict[str, DataFrame]:
-    """Average table, chart series and chart labels of every asset, as of one moment."""
+    """Average table, chart series and chart labels of every asset, as of one moment.
+
+    Each result goes through ``bars`` about twice: when they are still to be computed, write them out first
+    (``session.materialize``).
+    """
     history = lookback(bars, as_of)
     averages = latest_averages(history, strict)
     return {
