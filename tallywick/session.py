@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from functools import cache, partial
+from functools import partial
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,22 +59,14 @@ def build_session(
     return builder.getOrCreate()
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tallywick-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only a local session without that setting uses a folder of its own; on a cluster the setting is
-    required, because a machine-local folder is lost with its machine.
+    A session without that setting uses a folder below its warehouse, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_folder()
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/tallywick-{uuid.uuid4().hex}/{name}"
 
 
