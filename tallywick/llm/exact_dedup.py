@@ -35,11 +35,11 @@ def duplicate_groups(
     * Repeated rows (equal id and text) each get a row, and one of them is ``kept``.
     * An empty table gives an empty result; other columns, whatever their names, are not read.
 
-    A text's copies are spread over ``salts`` groups by their id, so that a text with a third of all rows is merged
-    by many tasks; ``digest`` only has to spread texts.
+    The salt is the task that reads a row, so each task merges its own copies before anything moves, and a text with a
+    third of all rows arrives as one row per task, spread over ``salts`` groups; ``digest`` only has to spread texts.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), normal_text(F.col(text)).alias("text")).select(
-        "doc_id", "text", digest("text").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
+        "doc_id", "text", digest("text").alias("digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
     )
     salted = base.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size"))
     classes = (

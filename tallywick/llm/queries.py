@@ -5,9 +5,10 @@ The queries derive the digest columns of their contracts from the operators' own
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywick.llm import exact_dedup
+from tallywick.llm import bpe, decontaminate, exact_dedup, language, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,49 @@ WINDOW same AS (PARTITION BY normal)""",
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.learned_from(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op5_simhash_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_WORDS = r"string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+
+
+@_query(
+    "op8_benchmark_decontamination",
+    f"""
+WITH doc_words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place
+  FROM (SELECT doc_id, {_WORDS} AS words FROM documents) d WHERE len(words) >= {decontaminate.NEED}),
+items AS (
+  SELECT min(item_id) AS item_id, words FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) b
+  WHERE len(words) >= {decontaminate.NEED} GROUP BY words),
+item_words AS (SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM items),
+agree AS (
+  SELECT doc_id, item_id, d.place - i.place AS shift, i.place AS place
+  FROM doc_words d JOIN item_words i ON d.word = i.word),
+windows AS (
+  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place
+    RANGE BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS n
+  FROM (SELECT DISTINCT * FROM agree) a)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS agreeing FROM windows
+WHERE n >= {decontaminate.NEED} GROUP BY doc_id, item_id""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "agreeing")
