@@ -1,0 +1,72 @@
+"""Candidates against plain search, figures of candidates, and held-out findings."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywick.llm import secret_scan as s
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _made(n, seed):
+    rng = random.Random(seed)
+    syllables = ["ka", "lo", "mi", "ren", "tos", "vu", "sha", "dor", "ing"]
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = []
+    for i in range(n):
+        words = [word(rng.randint(1, 3)) for _ in range(30)]
+        at = rng.randint(3, 25)
+        words[at : at + 1] = rng.choice(
+            [[rng.choice(["token", "Secret", "api_key"]), "=", f'"{key()}"'], [word(9)], [f"https://x.example/{word(4)}/{word(5)}"], [str(rng.getrandbits(60))]]
+        )
+        rows.append((i, " ".join(words), "en", "s", 0))
+    return rows
+
+
+def test_candidates(spark):
+    rows = _made(50, 1) + [(90, None, "en", "s", 0), (91, "", "en", "s", 0), (None, "x" * 20, "en", "s", 0), (92, "a=" + "b1" * 10 + ";" + "c2" * 9, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "word").withColumnRenamed("source", "place")
+    got = sorted(((r.doc_id, r.place, r.number, r.candidate) for r in s.candidates(docs).collect()), key=str)
+    expected = []
+    for doc_id, text, *_ in rows:
+        for place, word in enumerate(re.split(r"\s+", text or "")):
+            expected += [(doc_id, place, n, c) for n, c in enumerate(re.findall(s.CANDIDATE, word))]
+    assert got == sorted(expected, key=str)
+
+
+def test_features(spark):
+    text = 'my token = "' + "0a" * 20 + '" and then ' + "wonderfulwonderful" + " or /home/" + "abcdefgh/ijklmnop"
+    docs = spark.createDataFrame([(1, text, "en", "s", 0)], DOCS)
+    triples = spark.createDataFrame([(w[i : i + 3],) for w in ["wonderful"] for i in range(7)], "triple string").distinct()
+    rows = {r.candidate: r for r in s.with_features(s.candidates(docs), triples).collect()}
+    key, word, path = rows["0a" * 20], rows["wonderful" * 2], rows["/home/abcdefgh/ijklmnop"]
+    assert (key.announced_near, key.assigned, key.quoted, key.coverage, key.digits, key.length) == (1, 1, 1, 0, 0.5, 40)
+    assert key.switches == 39 / 40 and key.pairs == 2 / 39
+    assert (word.announced_near, word.assigned, word.slash) == (0, 0, 0) and word.coverage == 14 / 16
+    assert path.slash == 1 and path.coverage == 0
+
+
+def test_held_out_findings(spark):
+    found = s.with_features(
+        s.candidates(spark.createDataFrame(_made(600, 2), DOCS)), s.dictionary(spark.createDataFrame(_made(600, 2), DOCS))
+    )
+    labelled = s.labelled_findings(found)
+    assert {r.label for r in labelled.select("label").distinct().collect()} == {0.0, 1.0}
+    got = s.scan(spark.createDataFrame(_made(200, 3), DOCS), labelled=labelled).collect()
+    assert all(r.is_secret == bool(re.fullmatch("[0-9a-f]{40}", r.candidate)) for r in got) and len(got) > 150
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "no findings here", "en", "s", 0)], [(1, "x" * 30, "en", "s", 0)] * 2])
+def test_without_labels_nothing_is_removed(spark, rows):
+    got = s.scan(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == sum("x" in r[1] for r in rows) and all(r.is_secret and r.score is None for r in got)
+
+
+def test_dictionary_leaves_rare_triples_out(spark):
+    docs = spark.createDataFrame([(i, "Bad bad. once" if i else "bad", "en", "s", 0) for i in range(3)], DOCS)
+    assert {r.triple for r in s.dictionary(docs).collect()} == {"bad"}
+    assert s.dictionary(docs.limit(0).withColumn("triple", F.lit(1))).count() == 0
