@@ -50,12 +50,14 @@ def _placed(df: DataFrame, words: str, at: str) -> DataFrame:
 
 
 def _agreement() -> Column:
-    """A bit for each place around a hit, set where document and item have the same word."""
-    bits = (
-        F.when(F.get("doc_words", F.col("at") + o) == F.get("item_words", F.col("item_at") + o), F.lit(1 << k)).otherwise(F.lit(0))
-        for k, o in enumerate(range(-_REACH, _LONGEST + _REACH))
-    )
-    return reduce(lambda a, b: a + b, (b.cast("long") for b in bits))
+    """A bit for each place around a hit, set where document and item have the same word.
+
+    The loop over places is a function of its own: unrolled, it would make the code of the scan and the join, which
+    run it for hits only, too long for the virtual machine to compile.
+    """
+    same = "get(doc_words, at + o) = get(item_words, item_at + o)"
+    places = f"sequence({-_REACH}, {_LONGEST + _REACH - 1})"
+    return F.expr(f"aggregate({places}, 0L, (bits, o) -> bits + CASE WHEN {same} THEN shiftleft(1L, o + {_REACH}) ELSE 0L END)")
 
 
 def _most_in_a_window(bits: Column) -> Column:
