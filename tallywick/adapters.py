@@ -1,6 +1,8 @@
 """The generated order tables in the shapes the library works on.
 
-An order plays a case: its customer's nation is the county and the region the state. A line item plays a
+An order plays a case: its customer's nation and a digit are the county and the region the state. Some cases lack an
+ID or a county name or share an ID, some IDs have no code or two, one county in four has two codes, one of them
+without a boundary, and one boundary has no case. A line item plays a
 trade: every trade counts for three assets (its return flag, its supplier, and both together), which gives
 histories of every length, from three assets that hold a third of all trades each to many with few bars.
 Texts in ``SQL`` run unchanged in Spark SQL and in other engines, so that the check of a query can start
@@ -16,7 +18,10 @@ from tallywick.operators.prices import lookback
 
 SQL = {
     "incidents": """
-SELECT CAST(o_orderkey AS STRING) AS ID, n_name || ', ' || r_name AS CNTYFIPS, r_name AS State,
+SELECT CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN CAST(o_orderkey - 1 AS STRING)
+    ELSE CAST(o_orderkey AS STRING) END AS ID,
+  CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE n_name || ' "' || (o_custkey % 4) || '", ' || r_name END AS CNTYFIPS,
+  r_name AS State,
   CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' ELSE 'Unknown' END AS Solved,
   CAST(year(o_orderdate) AS INT) AS Year,
   CAST(CASE o_orderkey % 103 WHEN 100 THEN 999 WHEN 101 THEN 600 ELSE o_orderkey % 103 END AS INT) AS VicAge,
@@ -37,19 +42,24 @@ SELECT CAST(o_orderkey AS STRING) AS ID, n_name || ', ' || r_name AS CNTYFIPS, r
     WHEN 12 THEN 'Narcotics or drugs, sleeping pills' WHEN 13 THEN 'Drowning' WHEN 14 THEN 'Other gun'
     WHEN 15 THEN 'Asphyxiation - includes death by gas' WHEN 16 THEN 'Poison - does not include gas'
     WHEN 17 THEN 'Handgun - pistol, revolver, etc' ELSE 'Unlisted' END AS Weapon,
-  lpad(CAST(n_nationkey AS STRING), 5, '0') AS county_fips
+  lpad(CAST(n_nationkey * 10 + CASE WHEN o_custkey % 8 = 7 THEN 9 ELSE o_custkey % 4 END AS STRING), 5, '0') AS county_fips
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
   JOIN {region} ON n_regionkey = r_regionkey""",
     "codes": """
 SELECT CAST(o_orderkey AS STRING) AS ID,
   ' ' || substr(lpad(CAST(c_nationkey AS STRING), 5, '0'), 1, 2) || ' '
       || substr(lpad(CAST(c_nationkey AS STRING), 5, '0'), 3, 3) || ' ' AS CNTYFIPS
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+WHERE o_orderkey % 13 <> 0
+UNION ALL SELECT CAST(o_orderkey AS STRING), '99 ' || lpad(CAST(o_orderkey % 7 AS STRING), 3, '0')
+FROM {orders} WHERE o_orderkey % 17 = 0
+UNION ALL SELECT NULL, '99 999' FROM {region}""",
     "counties": """
-SELECT lpad(CAST(n_nationkey AS STRING), 5, '0') AS GEOID, lpad(CAST(n_regionkey AS STRING), 2, '0') AS STATEFP,
-  'GEOM ' || n_name AS geometry
-FROM {nation}
-UNION ALL SELECT '00099', '00', 'GEOM EMPTY'""",
+SELECT lpad(CAST(n_nationkey * 10 + k AS STRING), 5, '0') AS GEOID, lpad(CAST(n_regionkey AS STRING), 2, '0') AS STATEFP,
+  'GEOM ' || n_name || ' ' || k AS geometry
+FROM (SELECT *, 0 AS k FROM {nation} UNION ALL SELECT *, 1 FROM {nation} UNION ALL SELECT *, 2 FROM {nation}
+  UNION ALL SELECT *, 9 FROM {nation}) n
+UNION ALL SELECT '99999', '00', 'GEOM EMPTY'""",
     "states": """
 SELECT r_name AS State_Name, lpad(CAST(r_regionkey AS STRING), 2, '0') AS st_fips, substr(r_name, 1, 2) AS Abbrev
 FROM {region}""",
@@ -89,6 +99,7 @@ TABLES = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
     "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz",
 }
 MAJOR_ASSET = {"A": "XXBTZUSD", "N": "XETHZUSD", "R": "XLTCZUSD"}
 # a weekday times this plus the price orders a week's trades by day, then price
@@ -115,8 +126,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(spark, sf_dir, "quotes").withColumn("price", F.round("price", 4))
 
 
-def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of all assets over all line items.
+def weekly_bars(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    """Weekly bars of all assets over all line items, or over those shipped from the day ``since`` on.
 
     Open is the lowest price of the week's first trading day and close the highest of its last one: the
     first and the last place in the order by weekday, then price. One aggregate with partial results does,
@@ -124,6 +135,8 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages equal in any order of addition.
     """
     line = load(spark, sf_dir, "lineitem")
+    if since is not None:
+        line = line.where(F.col("l_shipdate") >= since)
     flag = F.col("l_returnflag")
     supplier = F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))
     major = F.coalesce(*[F.when(flag == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()])
@@ -154,20 +167,24 @@ def last_week(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def recent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars of the 200 weeks up to the last one."""
-    return lookback(weekly_bars(spark, sf_dir), last_week(spark, sf_dir), LOOKBACK_WEEKS)
+    """The bars of the 200 weeks up to the last one; older line items are not read."""
+    since = F.max("l_shipdate").cast("date")
+    # weeks begin on Mondays, so the first one in the range begins a week after its limit
+    first = F.date_add(F.trunc(since, "week"), 7 - 7 * LOOKBACK_WEEKS).cast("timestamp_ntz")
+    start = load(spark, sf_dir, "lineitem").agg(first.alias("first")).scalar()
+    return lookback(weekly_bars(spark, sf_dir, start), last_week(spark, sf_dir), LOOKBACK_WEEKS)
 
 
 # --- documents ------------------------------------------------------------------------------------------
 
 
 def ohlc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One price document per asset. The lookback leaves at most 200 bars in each."""
-    bars = recent_bars(spark, sf_dir).withColumn("day", F.unix_date("ts").cast("bigint"))
+    """A price document per asset and year, which holds 53 weekly bars at most."""
+    bars = weekly_bars(spark, sf_dir).withColumn("day", F.unix_date("ts").cast("bigint"))
     seconds = (F.col("day") * 86400).cast("string")
     number = [F.col(c).cast("string") for c in ("open", "high", "low", "close", "close", "volume")]
     row = F.array(seconds, *number, F.col("trades").cast("string"))
-    rows = bars.select("asset", "day", row.alias("row")).groupBy("asset").agg(
+    rows = bars.select("asset", F.year("ts").alias("year"), "day", row.alias("row")).groupBy("asset", "year").agg(
         F.collect_list("row").alias("rows"), F.max("day").alias("last")
     )
     text = F.concat(

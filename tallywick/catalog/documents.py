@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallywick import adapters, schemas
+from tallywick.catalog.incidents import BUILT_SQL
 from tallywick.catalog.registry import YEARS, as_text, dollar_sql, query, sql
 from tallywick.domains import UNSOLVED
 from tallywick.operators import incidents as inc, market
@@ -33,8 +34,8 @@ def _(spark, sf):
     "ohlc_bars",
     sql(
         """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, CAST(ts - 1 AS VARCHAR) || ' 19:00:00' AS date_est,
-        open, high, low, close, close AS vwap, volume, trades FROM bars""",
-        "bars",
+        open, high, low, close, close AS vwap, volume, trades FROM all_bars""",
+        "all_bars",
     ),
 )
 def _(spark, sf):
@@ -46,20 +47,22 @@ def _(spark, sf):
     return as_text(documents.listings(adapters.listing_documents(spark, sf)), "date_added", "last_updated")
 
 
-_MARKET_SQL = """SELECT coin, ticker, price, round(volume_24h, 2) AS volume_24h, percent_change_24h AS volume_change_24h,
+# fewer than there are at the smallest scale, so that the limit cuts
+SHOWN = 40
+_MARKET_SQL = f"""SELECT coin, ticker, price, round(volume_24h, 2) AS volume_24h, percent_change_24h AS volume_change_24h,
   percent_change_1h AS pct_change_1h, percent_change_24h AS pct_change_24h, percent_change_7d AS pct_change_7d,
   percent_change_30d AS pct_change_30d, round(market_cap, 2) AS market_cap, market_cap_dominance
-FROM (SELECT * FROM coins ORDER BY market_cap DESC, id LIMIT 100)"""
+FROM (SELECT * FROM coins ORDER BY market_cap DESC, id LIMIT {SHOWN})"""
 
 
 @query("market_table", sql(_MARKET_SQL, "coins"))
 def _(spark, sf):
-    return market.market_table(documents.listings(adapters.listing_documents(spark, sf)))
+    return market.market_table(documents.listings(adapters.listing_documents(spark, sf)), SHOWN)
 
 
 @query("price_display", sql(f"SELECT *, {dollar_sql('price', 4)} AS price_text FROM ({_MARKET_SQL})", "coins"))
 def _(spark, sf):
-    return market.price_display(market.market_table(documents.listings(adapters.listing_documents(spark, sf))))
+    return market.price_display(market.market_table(documents.listings(adapters.listing_documents(spark, sf)), SHOWN))
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------
@@ -68,7 +71,7 @@ def _(spark, sf):
 @query("cases_csv", sql("SELECT * EXCLUDE (county_fips) FROM incidents", "incidents"))
 def _(spark, sf):
     path = scratch_path(spark, "cases")
-    adapters.cases(spark, sf).write.csv(path, header=True)
+    adapters.cases(spark, sf).write.csv(path, header=True, escape='"', nullValue="NA")
     return tables.read_cases(spark, path)
 
 
@@ -76,7 +79,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "codes")
     adapters.shape(spark, sf, "codes").write.csv(
-        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     return tables.read_codes(spark, path)
 
@@ -95,7 +98,12 @@ def _(spark, sf):
     return tables.read_counties(spark, path)
 
 
-@query("incident_snapshot", sql("SELECT * FROM open_cases", "open_cases"))
+@query(
+    "incident_snapshot",
+    sql(
+        f"SELECT * FROM ({BUILT_SQL}) WHERE Solved = 'No' AND Year BETWEEN {YEARS[0]} AND {YEARS[1]}", "incidents", "codes"
+    ),
+)
 def _(spark, sf):
     """Built, saved by year, read back with a year filter that skips folders."""
     path = scratch_path(spark, "incidents")
@@ -111,7 +119,7 @@ def _(spark, sf):
     """Listing documents landed as files, one document each, to the market table."""
     path = scratch_path(spark, "listings")
     adapters.listing_documents(spark, sf).write.option("maxRecordsPerFile", 1).text(path)
-    return run_market(spark, path)
+    return run_market(spark, path, SHOWN)
 
 
 @query("pair_files", sql("SELECT * FROM pairs WHERE contains(altname, 'USD')", "pairs"))
@@ -125,8 +133,8 @@ def _(spark, sf):
 @query(
     "ohlc_files",
     sql(
-        """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, open, high, low, close FROM bars""",
-        "bars",
+        """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, open, high, low, close FROM all_bars""",
+        "all_bars",
     ),
 )
 def _(spark, sf):

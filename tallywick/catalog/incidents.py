@@ -8,7 +8,7 @@ from tallywick import adapters
 from tallywick.catalog.registry import YEARS, incidents, lookups, query, rounded, sql
 from tallywick.domains import AGE_RANGES, ALL, SOLVED, UNSOLVED
 from tallywick.operators import breaks, incidents as inc
-from tallywick.plans.county_map import MapRequest, map_table, run_map, year_limits
+from tallywick.plans.county_map import MapRequest, map_table, run_map
 
 HANDGUN, KNIFE, FIRE = "Handgun - pistol, revolver, etc", "Knife or cutting instrument", "Fire"
 VICTIM = {"sex": ["Female", "Male"], "race": ["White", "Black", "Unknown"], "age": ["<1", "10-19", "70+", "Unknown"]}
@@ -18,7 +18,11 @@ BY_AGE_IN_SQL = """CASE WHEN {age} = 0 THEN '<1' WHEN {age} BETWEEN 1 AND 9 THEN
   WHEN {age} BETWEEN 70 AND 554 THEN '70+' WHEN {age} = 999 THEN 'Unknown' END"""
 
 
-@query("build_incidents", sql("SELECT * FROM incidents", "incidents"))
+BUILT_SQL = """SELECT i.* REPLACE (c.county_fips AS county_fips) FROM incidents i
+  LEFT JOIN (SELECT ID, replace(CNTYFIPS, ' ', '') AS county_fips FROM codes) c ON c.ID = i.ID"""
+
+
+@query("build_incidents", sql(BUILT_SQL, "incidents", "codes"))
 def _(spark, sf):
     return inc.build_incidents(adapters.cases(spark, sf), adapters.shape(spark, sf, "codes"))
 
@@ -119,7 +123,7 @@ def _(spark, sf):
 @query(
     "map_labels",
     sql(
-        f"SELECT *, CNTYFIPS || ', ' || county_total AS label FROM ({_MAP_SQL})",
+        f"SELECT *, coalesce(CNTYFIPS, 'NA') || ', ' || county_total AS label FROM ({_MAP_SQL})",
         "open_cases", "counties", "states", totals=_TOTALS_SQL,
     ),
 )
@@ -130,10 +134,10 @@ def _(spark, sf):
 @query(
     "map_request",
     sql(
-        f"""SELECT *, CNTYFIPS || ', ' || county_total AS label,
+        f"""SELECT *, coalesce(CNTYFIPS, 'NA') || ', ' || county_total AS label,
         round((county_total - lo) / nullif(hi - lo, 0), 6) AS position
         FROM ({_MAP_SQL}), (SELECT min(county_total) AS lo, max(county_total) AS hi FROM ({_MAP_SQL}))""".replace(
-            "SELECT *, CNTYFIPS", "SELECT State_Name, CNTYFIPS, GEOID, county_total, geometry, CNTYFIPS", 1
+            "SELECT *, coalesce", "SELECT State_Name, CNTYFIPS, GEOID, county_total, geometry, coalesce", 1
         ),
         "people", "counties", "states",
         open_cases=f"SELECT * FROM people WHERE Weapon IN ('{HANDGUN}', '{KNIFE}') AND {person_sql('Vic', VICTIM)}",
@@ -142,11 +146,23 @@ def _(spark, sf):
 )
 def _(spark, sf):
     request = MapRequest(YEARS, ALL, weapon=[HANDGUN, KNIFE], victim=VICTIM)
-    cases = incidents(spark, sf)
-    table = run_map(cases, *lookups(spark, sf), request, year_limits(cases))
+    table = run_map(incidents(spark, sf), *lookups(spark, sf), request)
     return rounded(table, "position", digits=6)
 
 
+@query(
+    "map_request_outside",
+    sql(
+        f"""SELECT *, coalesce(CNTYFIPS, 'NA') || ', ' || county_total AS label, CAST(0 AS DOUBLE) AS position FROM ({_MAP_SQL})
+        WHERE (SELECT max(Year) FROM incidents) >= {YEARS[1] + 100}""",
+        "open_cases", "counties", "states", totals=_TOTALS_SQL,
+    ),
+)
+def _(spark, sf):
+    """A request whose years reach beyond the data has an empty map."""
+    return run_map(incidents(spark, sf), *lookups(spark, sf), MapRequest((YEARS[0], YEARS[1] + 100), UNSOLVED))
+
+
 # --- legend breaks ----------------------------------------------------------------------------------------
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywick import adapters
 from tallywick.catalog.registry import as_text, dollar_sql, query, sql
+from tallywick.functions.times import in_zone
 from tallywick.operators import prices
 from tallywick.plans.averages import run_averages
-from tallywick.session import materialize
+from tallywick.sources.tables import printed_average_table
 
 
-def _stored_bars(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """The recent bars as a table of their own, for jobs that go through them more than once."""
-    return materialize(adapters.recent_bars(spark, sf).select(*columns), "bars")
+def _closes(bars: DataFrame) -> DataFrame:
+    return bars.select("asset", "ts", "close")
 
 
 @query("lookback", sql("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM bars", "bars"))
@@ -21,9 +21,9 @@ def _(spark, sf):
     return as_text(adapters.recent_bars(spark, sf), "ts")
 
 
-@query("week_numbers", sql("SELECT asset, CAST(ts AS VARCHAR) AS ts, close, week_number, week_count FROM numbered", "numbered"))
+@query("week_numbers", sql("SELECT asset, CAST(ts AS VARCHAR) AS ts, close, week_number, week_count FROM all_numbered", "all_numbered"))
 def _(spark, sf):
-    return as_text(prices.week_numbers(_stored_bars(spark, sf, "asset", "ts", "close")), "ts")
+    return as_text(prices.week_numbers(_closes(adapters.weekly_bars(spark, sf))), "ts")
 
 
 @query(
@@ -51,7 +51,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return as_text(prices.trailing_averages(_stored_bars(spark, sf, "asset", "ts", "close")), "ts")
+    return as_text(prices.trailing_averages(_closes(adapters.recent_bars(spark, sf))), "ts")
 
 
 @query(
@@ -67,9 +67,13 @@ def _(spark, sf):
     return as_text(averages, "first_ts")
 
 
-@query("history_tier", sql("SELECT tier, count(*) AS assets, min(week_count) AS fewest, max(week_count) AS most FROM averages GROUP BY tier", "averages"))
+_TIERS_SQL = """SELECT asset, count(*) AS week_count, CASE WHEN count(*) >= 200 THEN '200' WHEN count(*) >= 100 THEN '100'
+  WHEN count(*) >= 75 THEN '50' ELSE 'overall' END AS tier FROM all_bars GROUP BY asset"""
+
+
+@query("history_tier", sql("SELECT tier, count(*) AS assets, min(week_count) AS fewest, max(week_count) AS most FROM tiers GROUP BY tier", "all_bars", tiers=_TIERS_SQL))
 def _(spark, sf):
-    lengths = adapters.recent_bars(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("weeks"))
+    lengths = adapters.weekly_bars(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("weeks"))
     return lengths.groupBy(prices.history_tier(F.col("weeks")).alias("tier")).agg(
         F.count(F.lit(1)).alias("assets"), F.min("weeks").alias("fewest"), F.max("weeks").alias("most")
     )
@@ -85,7 +89,7 @@ def _(spark, sf):
         FROM averages a
         LEFT JOIN (SELECT DISTINCT asset_tick, CASE base WHEN 'XXBT' THEN 'BTC' WHEN 'XETH' THEN 'ETH' ELSE base END AS base
           FROM pairs) p ON p.asset_tick = a.asset
-        LEFT JOIN (SELECT ticker, round(price, 4) AS price FROM quotes ORDER BY market_cap DESC, id LIMIT 200) l ON l.ticker = p.base
+        LEFT JOIN (SELECT ticker, round(price, 4) AS price FROM quotes) l ON l.ticker = p.base
         WHERE a.tier IS NOT NULL""",
         "averages", "pairs", "quotes",
     ),
@@ -96,6 +100,34 @@ def _(spark, sf):
     return run_averages(bars, pairs, adapters.listings(spark, sf), as_of)["average_table"]
 
 
+@query(
+    "printed_averages",
+    sql(
+        """SELECT CASE p.base WHEN 'XETH' THEN 'ETH' ELSE p.base END AS "Asset", l.price AS "Current Price",
+        a.avg_50 AS "50 Week Average", a.avg_100 AS "100 Week Average", a.avg_overall AS "200 Week Average"
+        FROM averages a JOIN pairs p ON p.asset_tick = a.asset
+        LEFT JOIN (SELECT ticker, round(price, 4) AS price FROM quotes) l ON l.ticker = 'ETH'
+        WHERE a.asset = 'XETHZUSD' AND contains(p.altname, 'USD')""",
+        "averages", "pairs", "quotes",
+    ),
+)
+def _(spark, sf):
+    """One asset's table as printed; its tier and weeks name the columns, so its row is looked up first."""
+    bars, as_of = adapters.weekly_bars(spark, sf), adapters.last_week(spark, sf)
+    pairs = adapters.shape(spark, sf, "pairs").filter(F.col("altname").contains("USD"))
+    table = run_averages(bars.filter("asset = 'XETHZUSD'"), pairs, adapters.listings(spark, sf), as_of)["average_table"]
+    return printed_average_table(table, "XETHZUSD")
+
+
+@query(
+    "in_zone",
+    "SELECT event_id, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS VARCHAR) AS shown FROM events",
+)
+def _(spark, sf):
+    events = adapters.load(spark, sf, "events")
+    return events.select("event_id", in_zone(F.col("ts"), "America/New_York").cast("string").alias("shown"))
+
+
 @query(
     "average_chart_series",
     sql(
@@ -107,7 +139,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    bars = _stored_bars(spark, sf, "asset", "ts", "close")
+    bars = _closes(adapters.recent_bars(spark, sf))
     series = prices.average_chart_series(bars, prices.latest_averages(bars))
     return as_text(series, "ts")
 

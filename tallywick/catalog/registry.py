@@ -40,9 +40,10 @@ SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS week_number
 _CTE["averages"] = """
 SELECT asset, count(*) AS week_count, avg(close) AS avg_overall, min(ts) AS first_ts,
   avg(close) FILTER (WHERE week_number <= 50) AS avg_50, avg(close) FILTER (WHERE week_number <= 99) AS avg_100,
-  CASE WHEN count(*) = 200 THEN '200' WHEN count(*) BETWEEN 101 AND 199 THEN '100'
-    WHEN count(*) BETWEEN 76 AND 99 THEN '50' WHEN count(*) < 75 THEN 'overall' END AS tier
+  CASE WHEN count(*) >= 200 THEN '200' WHEN count(*) >= 100 THEN '100' WHEN count(*) >= 75 THEN '50'
+    ELSE 'overall' END AS tier
 FROM numbered GROUP BY asset"""
+_CTE["all_numbered"] = _CTE["numbered"].replace("FROM bars", "FROM all_bars")
 _CTE["coins"] = """
 SELECT id, coin, ticker, slug, max_supply, circulating_supply, total_supply, round(price, 4) AS price, volume_24h,
   round(percent_change_1h / 100, 4) AS percent_change_1h, round(percent_change_24h / 100, 4) AS percent_change_24h,
@@ -57,6 +58,7 @@ _NEEDS = {
     "recent_open": ("incidents",),
     "bars": ("all_bars",),
     "numbered": ("bars",),
+    "all_numbered": ("all_bars",),
     "averages": ("numbered",),
     "coins": ("quotes",),
 }

@@ -10,7 +10,7 @@ from tallywick.catalog.registry import MAX_YEAR, YEARS, incidents, lookups, quer
 from tallywick.domains import CHART_RACE, RACES, RECENT_CHART_RACE, SEXES, WEAPONS
 from tallywick.operators import incidents as inc, report
 from tallywick.plans.state_report import facts, run_report
-from tallywick.session import materialize, scratch_path
+from tallywick.session import scratch_path
 
 
 @query("report_states", sql("SELECT State FROM incidents WHERE State NOT IN ('District of Columbia', 'PAPSP8') GROUP BY State", "incidents"))
@@ -34,14 +34,11 @@ def _(spark, sf):
     return report.case_overview(incidents(spark, sf), YEARS)
 
 
-@query(
-    "outcome_long",
-    sql(
-        """SELECT State, CASE Solved WHEN 'No' THEN 'Unsolved' ELSE 'Solved' END AS case_outcome, count(*) AS total,
-        'Homicide Cases' AS x FROM people WHERE Solved IN ('No', 'Yes') GROUP BY State, Solved""",
-        "people",
-    ),
-)
+_OUTCOME_SQL = """SELECT State, CASE Solved WHEN 'No' THEN 'Unsolved' ELSE 'Solved' END AS case_outcome, count(*) AS total,
+  'Homicide Cases' AS x FROM people WHERE Solved IN ('No', 'Yes') GROUP BY State, Solved"""
+
+
+@query("outcome_long", sql(_OUTCOME_SQL, "people"))
 def _(spark, sf):
     return report.outcome_long(report.case_overview(incidents(spark, sf), YEARS))
 
@@ -51,12 +48,13 @@ def _sex_sql(column: str) -> str:
     return sql(f"SELECT State, {counts} FROM people GROUP BY State", "people")
 
 
-def _sex_long_sql(column: str, key: str, unknown: str) -> str:
-    return sql(
-        f"""SELECT State, CASE {column} WHEN 'Unknown' THEN '{unknown}' ELSE {column} END AS {key}, count(*) AS total
-        FROM people WHERE {column} IN ('Male', 'Female', 'Unknown') GROUP BY State, {column}""",
-        "people",
-    )
+def _sex_long_body(column: str, key: str, unknown: str) -> str:
+    return f"""SELECT State, CASE {column} WHEN 'Unknown' THEN '{unknown}' ELSE {column} END AS {key}, count(*) AS total
+    FROM people WHERE {column} IN ('Male', 'Female', 'Unknown') GROUP BY State, {column}"""
+
+
+_VICTIM_SEX_SQL = _sex_long_body("VicSex", "victim_sex", "Unknown")
+_OFFENDER_SEX_SQL = _sex_long_body("OffSex", "offender_sex", "Sex Unknown")
 
 
 @query("victim_sex_counts", _sex_sql("VicSex"))
@@ -64,7 +62,7 @@ def _(spark, sf):
     return report.victim_sex_counts(incidents(spark, sf), YEARS)
 
 
-@query("victim_sex_long", _sex_long_sql("VicSex", "victim_sex", "Unknown"))
+@query("victim_sex_long", sql(_VICTIM_SEX_SQL, "people"))
 def _(spark, sf):
     return report.victim_sex_long(report.victim_sex_counts(incidents(spark, sf), YEARS))
 
@@ -74,25 +72,22 @@ def _(spark, sf):
     return report.offender_sex_counts(incidents(spark, sf), YEARS)
 
 
-@query("offender_sex_long", _sex_long_sql("OffSex", "offender_sex", "Sex Unknown"))
+@query("offender_sex_long", sql(_OFFENDER_SEX_SQL, "people"))
 def _(spark, sf):
     return report.offender_sex_long(report.offender_sex_counts(incidents(spark, sf), YEARS))
 
 
-@query(
-    "solve_rate_by_race",
-    sql(
-        """SELECT State, VicRace, unsolved, solved, round(solved / nullif(unsolved + solved, 0) * 100, 2) AS solve_rate
-        FROM (SELECT State, VicRace, count(*) FILTER (WHERE Solved = 'No') AS unsolved,
-          count(*) FILTER (WHERE Solved = 'Yes') AS solved FROM people GROUP BY State, VicRace)""",
-        "people",
-    ),
-)
+_SOLVE_RATE_SQL = """SELECT State, VicRace, unsolved, solved, round(solved / nullif(unsolved + solved, 0) * 100, 2) AS solve_rate
+FROM (SELECT State, VicRace, count(*) FILTER (WHERE Solved = 'No') AS unsolved,
+  count(*) FILTER (WHERE Solved = 'Yes') AS solved FROM people GROUP BY State, VicRace)"""
+
+
+@query("solve_rate_by_race", sql(_SOLVE_RATE_SQL, "people"))
 def _(spark, sf):
     return report.solve_rate_by_race(incidents(spark, sf), YEARS)
 
 
-def _unsolved_counts_sql(source: str) -> str:
+def _unsolved_counts_body(source: str) -> str:
     tests = {"female": "VicSex = 'Female'", "male": "VicSex = 'Male'", "unknown": "VicRace = 'Unknown'"}
     for race in RACES:
         tests[report.RACE_KEY[race]] = f"VicRace = '{race}'"
@@ -101,15 +96,15 @@ def _unsolved_counts_sql(source: str) -> str:
     for weapon in WEAPONS:
         tests[report.WEAPON_KEY[weapon]] = f"Weapon = '{weapon}'"
     counts = ", ".join(f"count(*) FILTER (WHERE {test}) AS {name}" for name, test in tests.items())
-    return sql(f"SELECT State, count(*) AS unsolved, {counts} FROM {source} GROUP BY State", source)
+    return f"SELECT State, count(*) AS unsolved, {counts} FROM {source} GROUP BY State"
 
 
-@query("unsolved_counts", _unsolved_counts_sql("open_cases"))
+@query("unsolved_counts", sql(_unsolved_counts_body("open_cases"), "open_cases"))
 def _(spark, sf):
     return report.unsolved_counts(incidents(spark, sf), YEARS)
 
 
-@query("recent_unsolved_counts", _unsolved_counts_sql("recent_open"))
+@query("recent_unsolved_counts", sql(_unsolved_counts_body("recent_open"), "recent_open"))
 def _(spark, sf):
     return report.recent_unsolved_counts(incidents(spark, sf), MAX_YEAR)
 
@@ -183,9 +178,14 @@ FROM (SELECT State, count(*) AS n FROM open_cases GROUP BY State) s CROSS JOIN (
 GROUP BY s.State, s.n, w.title"""
 
 
-@query("unsolved_weapons", sql(_WEAPONS_SQL, "open_cases"))
+def _placed_sql(table: str, first: str, second: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY State ORDER BY {first} DESC, {second} NULLS LAST) AS place FROM {table}"
+
+
+@query("unsolved_weapons", sql(_placed_sql("weapons", "pct_of_unsolved", "weapon"), "open_cases", weapons=_WEAPONS_SQL))
 def _(spark, sf):
-    return report.unsolved_weapons(report.unsolved_counts(incidents(spark, sf), YEARS))
+    weapons = report.unsolved_weapons(report.unsolved_counts(incidents(spark, sf), YEARS))
+    return report.with_place(weapons, "weapons")
 
 
 _TOP_WEAPON_SQL = "SELECT State, weapon, count FROM weapons w WHERE count = (SELECT max(count) FROM weapons m WHERE m.State = w.State)"
@@ -215,36 +215,39 @@ def _(spark, sf):
     return report.county_unsolved_map(incidents(spark, sf), *lookups(spark, sf), YEARS)
 
 
+_TOP_COUNTIES_SQL = """SELECT * FROM (SELECT State, county, unsolved,
+  row_number() OVER (PARTITION BY State ORDER BY unsolved DESC, county NULLS LAST) AS place FROM by_county)
+WHERE place <= 10 AND county IS NOT NULL"""
+
+
+@query("top_counties", sql(_TOP_COUNTIES_SQL, "open_cases", by_county=_BY_COUNTY_SQL))
+def _(spark, sf):
+    return report.top_counties(report.county_unsolved(incidents(spark, sf), YEARS))
+
+
 @query(
-    "top_counties",
+    "all_counties_table",
     sql(
-        """SELECT * FROM (SELECT State, county, unsolved,
-        row_number() OVER (PARTITION BY State ORDER BY unsolved DESC, county NULLS LAST) AS place FROM by_county)
-        WHERE place <= 10 AND county IS NOT NULL""",
+        _placed_sql("(SELECT State, county, unsolved FROM by_county)", "unsolved", "county"),
         "open_cases", by_county=_BY_COUNTY_SQL,
     ),
 )
 def _(spark, sf):
-    return report.top_counties(report.county_unsolved(incidents(spark, sf), YEARS))
-
-
-@query("all_counties_table", sql("SELECT State, county, unsolved FROM by_county", "open_cases", by_county=_BY_COUNTY_SQL))
-def _(spark, sf):
-    return report.all_counties_table(report.county_unsolved(incidents(spark, sf), YEARS))
+    counties = report.all_counties_table(report.county_unsolved(incidents(spark, sf), YEARS))
+    return report.with_place(counties, "all_counties")
 
 
-# the last year of the data, up to which the county table runs, is 2001 at every scale
+# the last year of the data, up to which the county table runs, is the same at every scale
+LAST_YEAR = 2001
 _BY_YEAR_SQL = "SELECT State, CNTYFIPS AS county, " + ", ".join(
-    f"count(*) FILTER (WHERE Year = {y}) AS y{y}" for y in range(MAX_YEAR - 3, 2002)
+    f"count(*) FILTER (WHERE Year = {y}) AS y{y}" for y in range(MAX_YEAR - 3, LAST_YEAR + 1)
 ) + ", count(*) AS unsolved_total FROM recent_open GROUP BY State, CNTYFIPS"
 
 
-@query("county_by_year", sql(_BY_YEAR_SQL, "recent_open"))
+@query("county_by_year", sql(_placed_sql("by_year", "unsolved_total", "county"), "recent_open", by_year=_BY_YEAR_SQL))
 def _(spark, sf):
-    # counted first, because the last year is looked up before the table is laid out
     recent = report.recent_rows(incidents(spark, sf), MAX_YEAR)
-    places = materialize(report.place_cells(recent), "places")
-    return report.county_by_year(places, MAX_YEAR)
+    return report.with_place(report.county_by_year(recent, MAX_YEAR, LAST_YEAR), "county_by_year")
 
 
 @query("county_year_counts", sql("SELECT State, CNTYFIPS AS county, Year, count(*) AS unsolved FROM recent_open GROUP BY ALL", "recent_open"))
@@ -252,62 +255,77 @@ def _(spark, sf):
     return report.county_year_counts(incidents(spark, sf), MAX_YEAR)
 
 
-@query(
-    "report_facts",
-    sql(
-        f"""SELECT o.State, o.homi_count, o.unsolved, o.clear_rate, {YEARS[0]} AS min_year, {YEARS[1]} AS max_year,
-        r.name AS top_race_name, r.n AS top_race_count, x.name AS top_sex_name, x.n AS top_sex_count,
-        w.name AS top_weapon_name, w.n AS top_weapon_count
-        FROM overview o
-        LEFT JOIN (SELECT State, string_agg(race, ', ' ORDER BY race) AS name, max(total) AS n FROM top_r GROUP BY State) r ON r.State = o.State
-        LEFT JOIN (SELECT State, string_agg(sex, ', ' ORDER BY sex) AS name, max(total) AS n FROM top_s GROUP BY State) x ON x.State = o.State
-        LEFT JOIN (SELECT State, string_agg(weapon, ', ' ORDER BY weapon) AS name, max(count) AS n FROM top_w GROUP BY State) w ON w.State = o.State""",
-        "open_cases", overview=_OVERVIEW_SQL, race_sex=_RACE_SEX_SQL, weapons=_WEAPONS_SQL,
-        top_r=_TOP_RACE_SQL, top_s=_TOP_SEX_SQL, top_w=_TOP_WEAPON_SQL,
-    ),
-)
+_FACTS_SQL = f"""SELECT o.State, o.homi_count, o.unsolved, o.clear_rate, {YEARS[0]} AS min_year, {YEARS[1]} AS max_year,
+  r.name AS top_race_name, r.n AS top_race_count, x.name AS top_sex_name, x.n AS top_sex_count,
+  w.name AS top_weapon_name, w.n AS top_weapon_count
+  FROM overview o
+  LEFT JOIN (SELECT State, string_agg(race, ', ' ORDER BY race) AS name, max(total) AS n FROM top_r GROUP BY State) r ON r.State = o.State
+  LEFT JOIN (SELECT State, string_agg(sex, ', ' ORDER BY sex) AS name, max(total) AS n FROM top_s GROUP BY State) x ON x.State = o.State
+  LEFT JOIN (SELECT State, string_agg(weapon, ', ' ORDER BY weapon) AS name, max(count) AS n FROM top_w GROUP BY State) w ON w.State = o.State"""
+_FACTS_PARTS = {
+    "overview": _OVERVIEW_SQL, "race_sex": _RACE_SEX_SQL, "weapons": _WEAPONS_SQL,
+    "top_r": _TOP_RACE_SQL, "top_s": _TOP_SEX_SQL, "top_w": _TOP_WEAPON_SQL,
+}
+
+
+@query("report_facts", sql(_FACTS_SQL, "open_cases", **_FACTS_PARTS))
 def _(spark, sf):
-    people = materialize(report.people_cells(report.in_years(incidents(spark, sf), YEARS), YEARS), "people")
+    people = report.people_cells(report.in_years(incidents(spark, sf), YEARS), YEARS)
     return facts(people, report.case_overview(people, YEARS), report.unsolved_counts(people, YEARS), YEARS)
 
 
-_RUN_REPORT_SQL = {
-    "facts": "SELECT State, 1 AS n FROM people GROUP BY State",
-    "case_overview": "SELECT State, 1 AS n FROM people GROUP BY State",
-    "case_outcome": "SELECT State, 2 AS n FROM people GROUP BY State",
-    "victim_sex": "SELECT State, 3 AS n FROM people GROUP BY State",
-    "offender_sex": "SELECT State, 3 AS n FROM people GROUP BY State",
-    "race_sex": "SELECT State, 18 AS n FROM open_cases GROUP BY State",
-    "race_sex_table": "SELECT State, 6 AS n FROM open_cases GROUP BY State",
-    "solve_rate_by_race": "SELECT State, count(DISTINCT VicRace) AS n FROM people GROUP BY State",
-    "weapons": "SELECT State, 17 AS n FROM open_cases GROUP BY State",
-    "county_map": "SELECT State_Name AS State, count(*) AS n FROM counties JOIN states ON STATEFP = st_fips GROUP BY ALL",
-    "top_counties": "SELECT State, least(10, count(DISTINCT CNTYFIPS)) AS n FROM open_cases GROUP BY State",
-    "all_counties": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM open_cases GROUP BY State",
-    "recent_race_sex": "SELECT State, 18 AS n FROM recent_open GROUP BY State",
-    "recent_race_sex_table": "SELECT State, 6 AS n FROM recent_open GROUP BY State",
-    "unsolved_counts": "SELECT State, 1 AS n FROM open_cases GROUP BY State",
-    "recent_counts": "SELECT State, 1 AS n FROM recent_open GROUP BY State",
-    "county_by_year": "SELECT State, count(DISTINCT CNTYFIPS) AS n FROM recent_open GROUP BY State",
-}
+# of each written table: its SQL, what tells its rows apart within a state, and its other columns
+_COUNTED = ["unsolved", "female", "male", "unknown", *report.RACE_KEY.values(), *report.PERSON_KEY.values(), *report.WEAPON_KEY.values()]
+_WIDE = ["female", "male", "unknown", "total", "pct_of_unsolved"]
+_WRITTEN: dict[str, tuple[str, list[str], list[str]]] = {
+    "facts": (_FACTS_SQL, [], [
+        "homi_count", "unsolved", "clear_rate", "min_year", "max_year", "top_race_name", "top_race_count",
+        "top_sex_name", "top_sex_count", "top_weapon_name", "top_weapon_count",
+    ]),
+    "case_overview": (_OVERVIEW_SQL, [], ["unsolved", "solved", "homicide_total", "homi_count", "clear_rate"]),
+    "case_outcome": (_OUTCOME_SQL, ["case_outcome"], ["total", "x"]),
+    "victim_sex": (_VICTIM_SEX_SQL, ["victim_sex"], ["total"]),
+    "offender_sex": (_OFFENDER_SEX_SQL, ["offender_sex"], ["total"]),
+    "unsolved_counts": (_unsolved_counts_body("open_cases"), [], _COUNTED),
+    "race_sex": (_RACE_SEX_SQL, ["race", "sex"], ["chart_race", "count"]),
+    "race_sex_table": (_WIDE_SQL, ["race"], _WIDE),
+    "solve_rate_by_race": (_SOLVE_RATE_SQL, ["VicRace"], ["unsolved", "solved", "solve_rate"]),
+    "weapons": (_WEAPONS_SQL, ["weapon"], ["count", "pct_of_unsolved"]),
+    "county_map": (f"SELECT State_Name AS State, * FROM ({_UNSOLVED_MAP_SQL})", ["GEOID"], ["unsolved", "geometry"]),
+    "top_counties": (_TOP_COUNTIES_SQL, ["place"], ["county", "unsolved"]),
+    "all_counties": ("SELECT * FROM by_county", ["county"], ["unsolved"]),
+    "recent_counts": (_unsolved_counts_body("recent_open"), [], _COUNTED),
+    "recent_race_sex": ("SELECT * FROM recent_race_sex", ["race", "sex"], ["chart_race", "count"]),
+    "recent_race_sex_table": (_WIDE_SQL.replace("race_sex", "recent_race_sex"), ["race"], _WIDE),
+    "county_by_year": (_BY_YEAR_SQL, ["county"], [*(f"y{y}" for y in range(MAX_YEAR - 3, LAST_YEAR + 1)), "unsolved_total"]),
+}
+
+
+def _spread_sql(name: str, body: str, keys: list[str], values: list[str]) -> str:
+    row = " || '/' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) or "''"
+    fields = ", ".join(f"{{'field': '{v}', 'value': CAST({v} AS VARCHAR)}}" for v in values)
+    return f"""SELECT '{name}' AS report_table, State, row_name, cell.field AS field, cell.value AS value
+    FROM (SELECT State, {row} AS row_name, unnest([{fields}]) AS cell FROM ({body}))"""
+
+
+def _spread(table: DataFrame, name: str, keys: list[str], values: list[str]) -> DataFrame:
+    """A row per value of the table."""
+    row = F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)) if keys else F.lit("")
+    fields = F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).cast("string").alias("value")) for v in values))
+    return table.select(F.lit(name).alias("report_table"), "State", row.alias("row_name"), F.inline(fields))
 
 
 @query(
     "run_report",
     sql(
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS report_table, State, CAST(n AS BIGINT) AS n FROM ({text})"
-            for name, text in _RUN_REPORT_SQL.items()
-        ),
+        " UNION ALL ".join(_spread_sql(name, *parts) for name, parts in _WRITTEN.items()),
         "open_cases", "recent_open", "counties", "states",
+        **_FACTS_PARTS, by_county=_BY_COUNTY_SQL, recent_race_sex=_race_sex_body("recent_open", RECENT_CHART_RACE),
     ),
 )
 def _(spark, sf):
-    """Writes all report tables and counts the rows read back per table and state."""
+    """Writes all report tables and reads every value back."""
     path = scratch_path(spark, "report")
     written = run_report(incidents(spark, sf), *lookups(spark, sf), path, YEARS)
-    rows = [
-        spark.read.schema(table.schema).parquet(f"{path}/{name}").select(F.lit(name).alias("report_table"), "State")
-        for name, table in written.items()
-    ]
-    return reduce(DataFrame.union, rows).groupBy("report_table", "State").agg(F.count(F.lit(1)).alias("n"))
+    back = {name: spark.read.schema(table.schema).parquet(f"{path}/{name}") for name, table in written.items()}
+    return reduce(DataFrame.union, (_spread(table, name, *_WRITTEN[name][1:]) for name, table in back.items()))

@@ -72,7 +72,6 @@ LEGACY_TICKER = {"XXBT": "BTC", "XETH": "ETH"}
 LOOKBACK_WEEKS = 200
 FIRST_OLDER_WEEK_50 = 51
 FIRST_OLDER_WEEK_100 = 100
-LISTINGS_FOR_AVERAGES = 200
 LISTINGS_FOR_MARKET = 100
 EST_OFFSET_SECONDS = -5 * 3600
 
@@ -104,7 +103,7 @@ TITLES = {
     "top_counties": {"county": "County", "unsolved": "Unsolved Homicide Count"},
     "all_counties": {"county": "County", "unsolved": "Unsolved Homicide Count"},
     "county_by_year": {"county": "County", "unsolved_total": "Unsolved Total"},
-    "county_map": {"county_total": "County Total"},
+    "county_map": {"county_total": "County Total", "unsolved": "County Unsolved"},
     "average_table": {
         "asset": "Asset",
         "current_price": "Current Price",

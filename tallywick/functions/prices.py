@@ -7,11 +7,11 @@ from pyspark.sql import Column, functions as F
 from tallywick.domains import LEGACY_TICKER
 
 
-def history_tier(weeks: Column, strict: bool = True) -> Column:
+def history_tier(weeks: Column, strict: bool = False) -> Column:
     """Which averages a history of ``weeks`` bars gets: ``200``, ``100``, ``50`` or ``overall``.
 
-    By default the limits are strict, so 75, 100 and more than 200 bars get no table at all;
-    ``strict=False`` closes those gaps downwards.
+    Every history has a tier. With ``strict`` the limits are exclusive, as published: histories of exactly 75, 100
+    and more than 200 bars then have none.
     """
     if strict:
         return (

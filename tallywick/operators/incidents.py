@@ -14,31 +14,15 @@ from tallywick.functions.text import without_blanks
 
 LABEL_COLUMNS = ("Weapon", "VicSex", "VicRace", "OffSex", "OffRace")
 
-# copies of a row are put back in two steps, so that no array holds more than this many entries
-_CHUNK = 10_000
-
 
 def build_incidents(cases: DataFrame, codes: DataFrame) -> DataFrame:
     """Cases with the county code of the same ``ID``, blanks removed from the code.
 
-    A left join: a case without a code stays, a case with several codes is repeated once per code row.
-    Code rows are first counted per ``(ID, code)``. Copies of one row, however many, are then combined
-    before the shuffle instead of meeting in one join task, and are put back after it. A hot ``ID`` on the
-    case side is left to the adaptive skew join, which may split the left side of a left join.
+    A left join: a case without a code stays, a case with several codes is repeated once per code row. Both sides
+    move once; an ``ID`` with very many cases is left to the adaptive skew join, which may split the left side.
     """
-    counted = codes.groupBy("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips")).agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    joined = cases.join(counted, "ID", "left").fillna(1, ["_copies"])
-    return _repeat_rows(joined, "_copies").select(*cases.columns, "county_fips")
-
-
-def _repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Every row as often as its (positive) column ``times`` says."""
-    last_chunk = F.floor((F.col(times) - 1) / _CHUNK)
-    chunked = df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("_chunk"))
-    in_chunk = F.least(F.lit(_CHUNK).cast("bigint"), F.col(times) - F.col("_chunk") * _CHUNK)
-    return chunked.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), in_chunk)).alias("_copy"))
+    named = codes.select("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips"))
+    return cases.join(named, "ID", "left").select(*cases.columns, "county_fips")
 
 
 def with_age_ranges(incidents: DataFrame) -> DataFrame:

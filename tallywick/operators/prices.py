@@ -45,12 +45,11 @@ def week_numbers(bars: DataFrame, newest_first: bool = True) -> DataFrame:
         F.coalesce(F.sum("_bars").over(before), F.lit(0)).alias("_start"),
         F.sum("_bars").over(asset).alias("week_count"),
     )
-    # joined by hash on the window's own keys: the bars move once for both
-    starts = starts.hint("shuffle_hash")
+    # numbered before they are joined, so that join and window share one partitioning
     within = Window.partitionBy("asset", "_year").orderBy(*_time_order(bars, in_order))
-    number = F.col("_start") + F.row_number().over(within)
-    return dated.join(starts, ["asset", "_year"]).select(
-        *bars.columns, number.alias("week_number"), "week_count"
+    numbered = dated.withColumn("_number", F.row_number().over(within))
+    return numbered.join(starts, ["asset", "_year"]).select(
+        *bars.columns, (F.col("_start") + F.col("_number")).alias("week_number"), "week_count"
     )
 
 
@@ -85,7 +84,7 @@ def trailing_averages(bars: DataFrame) -> DataFrame:
     return joined.select(*flags.columns, "avg_overall", "avg_50", "avg_100")
 
 
-def latest_averages(bars: DataFrame, strict: bool = True) -> DataFrame:
+def latest_averages(bars: DataFrame, strict: bool = False) -> DataFrame:
     """One row per asset: history length, tier and the averages a report shows.
 
     The latest 99 bars are picked by a ranked window, which Spark cuts down to 99 per asset and task before

@@ -9,6 +9,7 @@ rows than there are labels or counties.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -182,12 +183,11 @@ def top_sex(long: DataFrame) -> DataFrame:
 
 
 def unsolved_weapons(counts: DataFrame) -> DataFrame:
-    """The 17 weapon counts as rows with their share of the unsolved cases, most frequent first."""
+    """The 17 weapon counts as rows with their share of the unsolved cases."""
     values = ", ".join(f"{quoted(WEAPONS[label])}, {key}" for label, key in WEAPON_KEY.items())
     long = counts.selectExpr("State", "unsolved", f"stack({len(WEAPON_KEY)}, {values}) AS (weapon, count)")
     share = percent(F.col("count"), F.col("unsolved"))
-    rows = long.select("State", "weapon", "count", share.alias("pct_of_unsolved"))
-    return rows.orderBy("State", F.col("pct_of_unsolved").desc(), "weapon")
+    return long.select("State", "weapon", "count", share.alias("pct_of_unsolved"))
 
 
 def top_weapon(weapons: DataFrame) -> DataFrame:
@@ -236,10 +236,8 @@ def top_counties(by_county: DataFrame, k: int = 10) -> DataFrame:
 
 
 def all_counties_table(by_county: DataFrame) -> DataFrame:
-    """Every county, most unsolved cases first within its state."""
-    return by_county.select("State", "county", "unsolved").orderBy(
-        "State", F.col("unsolved").desc(), F.col("county").asc_nulls_last()
-    )
+    """Every county and its unsolved cases."""
+    return by_county.select("State", "county", "unsolved")
 
 
 def county_year_counts(df: DataFrame, max_year: int | None = None) -> DataFrame:
@@ -272,33 +270,53 @@ def county_by_year(
     wide = counts.groupBy("State", "county").agg(*columns, F.sum("unsolved").alias("unsolved_total"))
     if missing_county is not None:
         wide = wide.fillna(missing_county, ["county"])
-    return wide.orderBy("State", F.col("unsolved_total").desc(), F.col("county").asc_nulls_last())
+    return wide
+
+
+# --- printed order ----------------------------------------------------------------------------------------
+
+
+def printed_order(table: str) -> list[Column]:
+    """How a table's rows follow each other within a state; nothing for tables in no particular order."""
+    by_name = F.col("county").asc_nulls_last() if table != "weapons" else F.col("weapon")
+    first = {
+        "weapons": F.col("pct_of_unsolved").desc(),
+        "all_counties": F.col("unsolved").desc(),
+        "county_by_year": F.col("unsolved_total").desc(),
+        "top_counties": F.col("place"),
+    }
+    return [first[table], by_name] if table in first else []
+
+
+def with_place(df: DataFrame, table: str) -> DataFrame:
+    """The row's place in the printed order, from 1 in each state; a state has a row per label or county."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("State").orderBy(*printed_order(table))))
 
 
 # --- narrative --------------------------------------------------------------------------------------------
 
 
-def _joined_names(leaders: DataFrame, name: str, count: str, prefix: str) -> DataFrame:
-    names = F.array_join(F.sort_array(F.collect_list(name)), ", ")
-    return leaders.groupBy("State").agg(names.alias(f"{prefix}_name"), F.max(count).alias(f"{prefix}_count"))
+def _leading(totals: dict[str, Column], prefix: str) -> list[Column]:
+    """The names with the largest total, by name and joined by a comma, and that total."""
+    most = F.greatest(*totals.values())
+    names = [F.when(total == most, F.lit(name)) for name, total in sorted(totals.items())]
+    return [F.array_join(F.array(*names), ", ").alias(f"{prefix}_name"), most.alias(f"{prefix}_count")]
 
 
 def report_facts(overview: DataFrame, counts: DataFrame) -> DataFrame:
     """The figures quoted in a report's text, one row per state.
 
     Cases, unsolved cases and clearance rate from :func:`case_overview`; the race, sex and weapon with the
-    most unsolved cases from :func:`unsolved_counts` (ties joined by a comma, at most one name per label).
+    most unsolved cases from the one row a state has in :func:`unsolved_counts` (ties joined by a comma).
     """
-    race_sex = unsolved_race_sex(counts)
-    parts = [
-        _joined_names(top_race(unsolved_race_sex_wide(race_sex)), "race", "total", "top_race"),
-        _joined_names(top_sex(race_sex), "sex", "total", "top_sex"),
-        _joined_names(top_weapon(unsolved_weapons(counts)), "weapon", "count", "top_weapon"),
-    ]
-    facts = overview.select("State", "homi_count", "unsolved", "clear_rate")
-    for part in parts:
-        facts = facts.join(part, "State", "left")
-    return facts
+    total = lambda keys: reduce(lambda a, b: a + b, (F.col(key) for key in keys))
+    races = {race: total(PERSON_KEY[sex, race] for sex in SEXES) for race in RACES}
+    sexes = {sex: total(PERSON_KEY[sex, race] for race in RACES) for sex in SEXES}
+    weapons = {WEAPONS[label]: F.col(key) for label, key in WEAPON_KEY.items()}
+    leaders = counts.select(
+        "State", *_leading(races, "top_race"), *_leading(sexes, "top_sex"), *_leading(weapons, "top_weapon")
+    )
+    return overview.select("State", "homi_count", "unsolved", "clear_rate").join(leaders, "State", "left")
 
 
 def with_year_limits(df: DataFrame, facts: DataFrame, years: Years = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from tallywick.domains import LISTINGS_FOR_AVERAGES
 from tallywick.operators.market import latest_listings
 from tallywick.operators.prices import (
     average_chart_labels,
@@ -16,17 +15,16 @@ from tallywick.operators.prices import (
 
 
 def run_averages(
-    bars: DataFrame, pairs: DataFrame, listings: DataFrame, as_of: Column, strict: bool = True
+    bars: DataFrame, pairs: DataFrame, listings: DataFrame, as_of: Column, strict: bool = False, listed: int | None = None
 ) -> dict[str, DataFrame]:
     """Average table, chart series and chart labels of every asset, as of one moment.
 
-    Each result goes through ``bars`` about twice: when they are still to be computed, write them out first
-    (``session.materialize``).
+    Prices come from all listings, or from the ``listed`` largest if a number is given.
     """
     history = lookback(bars, as_of)
     averages = latest_averages(history, strict)
     return {
-        "average_table": average_table(averages, pairs, latest_listings(listings, LISTINGS_FOR_AVERAGES)),
+        "average_table": average_table(averages, pairs, listings if listed is None else latest_listings(listings, listed)),
         "chart_series": average_chart_series(history, averages),
         "chart_labels": average_chart_labels(averages),
     }

@@ -34,11 +34,16 @@ def year_limits(incidents: DataFrame) -> tuple[int, int]:
     return found["first"], found["last"]
 
 
+def is_complete(request: MapRequest) -> bool:
+    """Years in order, and something chosen in a weapon or state filter that is on."""
+    first, last = request.years
+    return first <= last and all(choice is None or any(choice) for choice in (request.weapon, request.state))
+
+
 def is_valid(request: MapRequest, limits: tuple[int, int]) -> bool:
-    """Years in order and inside the data, and something chosen in a weapon or state filter that is on."""
+    """A complete request whose years lie inside the data."""
     first, last = request.years
-    chosen = all(choice is None or any(choice) for choice in (request.weapon, request.state))
-    return chosen and limits[0] <= first <= last <= limits[1]
+    return is_complete(request) and limits[0] <= first and last <= limits[1]
 
 
 def map_table(incidents: DataFrame, counties: DataFrame, states: DataFrame, request: MapRequest) -> DataFrame:
@@ -52,11 +57,18 @@ def run_map(
     counties: DataFrame,
     states: DataFrame,
     request: MapRequest,
-    limits: tuple[int, int],
+    limits: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Map table with label and colour position; empty, and without reading anything, for an invalid request.
+    """Map table with label and colour position; empty for an invalid request.
 
-    ``limits`` are the data's first and last year (see :func:`year_limits`).
+    ``limits`` are the data's first and last year (see :func:`year_limits`); an invalid request then reads nothing.
+    Without them the limits are a subquery of the same job.
     """
     table = map_labels(color_position(map_table(incidents, counties, states, request), "county_total"))
-    return table if is_valid(request, limits) else table.limit(0)
+    if limits is not None:
+        return table if is_valid(request, limits) else table.limit(0)
+    if not is_complete(request):
+        return table.limit(0)
+    first, last = request.years
+    inside = (F.min("Year") <= first) & (F.max("Year") >= last)
+    return table.filter(incidents.agg(inside.alias("inside")).scalar())

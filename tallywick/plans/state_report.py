@@ -66,22 +66,25 @@ def run_report(
     format: str = "parquet",
     titles: bool = False,
 ) -> dict[str, DataFrame]:
-    """Writes every report table below ``path``, one folder per table and state.
+    """Writes every report table below ``path``, one folder per table and state, rows in printed order.
+
+    A run replaces what an earlier one wrote there, or with ``only_states`` these states' folders only, also of
+    tables in which a state now has no rows.
 
     The incidents of the years in question are read twice, each time with the columns of one cell table
     only. The cells are written to the shared folder, so all tables start from small files, also after the
     loss of an executor.
     """
     if only_states is None:
-        reported = ~F.col("State").isin(*NOT_REPORTED)
+        wanted = incidents.filter(~F.col("State").isin(*NOT_REPORTED))
+        states = states.filter(~F.col("State_Name").isin(*NOT_REPORTED))
     else:
-        reported = F.col("State").isin(*only_states)
+        wanted = incidents.filter(F.col("State").isin(*only_states))
         states = states.filter(F.col("State_Name").isin(*only_states))
-    wanted = incidents.filter(reported)
     if years is not None:
         # nothing in a report is older than its range or its recent years
         wanted = wanted.filter(F.col("Year") >= min(years[0], years[1] - r.RECENT_YEARS))
     cells = materialize_all({"people": r.people_cells(wanted, years), "places": r.place_cells(wanted)})
     tables = report_tables(cells["people"], cells["places"], counties, states, years)
-    write_report_tables(tables, path, format, titles)
+    write_report_tables(tables, path, format, titles, only_states)
     return tables

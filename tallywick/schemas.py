@@ -10,11 +10,6 @@ CODES = "ID string, CNTYFIPS string"
 INCIDENTS = CASES + ", county_fips string"
 COUNTIES = "GEOID string, STATEFP string, geometry binary"
 STATES = "State_Name string, st_fips string, Abbrev string"
-BARS = (
-    "asset string, ts timestamp, open double, high double, low double, close double, "
-    "vwap double, volume double, trades bigint"
-)
-
 # --- JSON documents ---------------------------------------------------------------------------------
 PAIR_DOCUMENT = "struct<error:array<string>,result:map<string,struct<altname:string,base:string>>>"
 # the result object mixes price arrays with one plain number, so its values stay JSON text at first

@@ -25,24 +25,23 @@ DEFAULTS = {
 _MB = 1024**2
 # per shuffle partition, before the adaptive merge of small ones
 _SHUFFLE_TARGET = 512 * _MB
-_MOST_PARTITIONS = 50_000
+# per scan task
+_SCAN_TARGET = 256 * _MB
 
 
 def scale_settings(input_bytes: int) -> dict[str, str]:
     """Partition settings for inputs of this size.
 
     Shuffles start with one partition per 512 MB, which adaptive execution merges where less data arrives;
-    it never splits an evenly large one, so too few would be the costlier mistake. Scan tasks of large
-    inputs read 512 MB instead of 128 MB, which keeps the number of tasks within the scheduler's reach.
+    it never splits an evenly large one, so too few would be the costlier mistake. The same rule holds at every
+    size: 100 TB mean some 200,000 partitions, and twice as many scan tasks of 256 MB.
     """
-    partitions = min(max(200, input_bytes // _SHUFFLE_TARGET), _MOST_PARTITIONS)
-    settings = {
+    partitions = max(200, -(-input_bytes // _SHUFFLE_TARGET))
+    return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(_SCAN_TARGET),
     }
-    if input_bytes >= 1024**4:
-        settings["spark.sql.files.maxPartitionBytes"] = str(512 * _MB)
-    return settings
 
 
 def build_session(

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywick import schemas
 from tallywick.domains import TITLES
+from tallywick.operators.report import printed_order
 from tallywick.session import side_by_side
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Case list from CSV with a header line."""
-    return _read_text_table(spark, path, schemas.CASES, ",")
+def read_cases(spark: SparkSession, path: str, multi_line: bool = False, problems: str | None = None) -> DataFrame:
+    """Case list from CSV with a header line.
+
+    Quotes inside quotes are doubled, empty fields and ``NA`` are missing, blanks around values are dropped. Values
+    that are no numbers become null; ``problems`` names a further column that holds the line of such a row (and of one
+    with too many or too few fields), else null. ``multi_line`` allows line breaks in quotes; a file is then read by
+    one task, so it should be left off for large files.
+    """
+    return _read_text_table(spark, path, schemas.CASES, ",", multi_line, problems, trim=True)
 
 
-def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """County codes per case from the exported survey file (CSV with a header line)."""
-    return _read_text_table(spark, path, schemas.CODES, ",")
+def read_codes(spark: SparkSession, path: str, multi_line: bool = False, problems: str | None = None) -> DataFrame:
+    """County codes per case from the exported survey file (CSV with a header line), blanks kept."""
+    return _read_text_table(spark, path, schemas.CODES, ",", multi_line, problems)
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +40,31 @@ def read_counties(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("GEOID", "STATEFP", "geometry")
 
 
-def _read_text_table(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
+def _read_text_table(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    sep: str,
+    multi_line: bool = False,
+    problems: str | None = None,
+    trim: bool = False,
+) -> DataFrame:
     # columns are found by position in the schema, so a file with another header is an error, not a mix-up
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=False)
+    rows = spark.read.csv(
+        path,
+        schema=schema if problems is None else f"{schema}, {problems} string",
+        sep=sep,
+        header=True,
+        enforceSchema=False,
+        escape='"',
+        nullValue="NA",
+        multiLine=multi_line,
+        ignoreLeadingWhiteSpace=trim,
+        ignoreTrailingWhiteSpace=trim,
+        columnNameOfCorruptRecord=problems,
+    )
+    texts = [name for name, kind in rows.dtypes if kind == "string" and name != problems]
+    return rows.withColumns({name: F.nullif(F.col(name), F.lit("")) for name in texts})
 
 
 def save_incidents(incidents: DataFrame, path: str) -> None:
@@ -62,23 +91,38 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def write_report_tables(
-    tables: Mapping[str, DataFrame], path: str, format: str = "parquet", titles: bool = False
+    tables: Mapping[str, DataFrame],
+    path: str,
+    format: str = "parquet",
+    titles: bool = False,
+    only_states: Sequence[str] | None = None,
 ) -> None:
-    """Each table to its own folder, split by state, with the printed titles if wanted.
+    """Each table to its own folder, split by state, in printed order, with the printed titles if wanted.
 
-    Writing again replaces the states written and leaves others as they are.
+    Writing again replaces the tables, or with ``only_states`` the folders of these states and no others.
     """
 
     def write(name: str) -> None:
         table = tables[name] if format == "parquet" else _as_text(tables[name])
-        rows = (with_titles(table, name) if titles else table).repartition("State")
-        rows.write.format(format).mode("overwrite").option("header", True).option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("State").save(f"{path}/{name}")
+        ordered = table.repartition("State").sortWithinPartitions("State", *printed_order(name))
+        rows = with_titles(ordered, name) if titles else ordered
+        if only_states is not None:
+            _remove_states(table.sparkSession, f"{path}/{name}", only_states)
+        writer = rows.write.format(format).mode("overwrite" if only_states is None else "append")
+        writer.option("header", True).option("partitionOverwriteMode", "static").partitionBy("State").save(f"{path}/{name}")
 
     side_by_side({name: partial(write, name) for name in tables})
 
 
+def _remove_states(spark: SparkSession, path: str, states: Sequence[str]) -> None:
+    """Deletes these states' folders, wherever the path's file system is."""
+    jvm = spark._jvm
+    for state in states:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(state)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/State={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _as_text(df: DataFrame) -> DataFrame:
     """Binary columns in base64, for formats that hold text only."""
     binary = [name for name, kind in df.dtypes if kind == "binary"]

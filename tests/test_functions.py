@@ -41,9 +41,9 @@ def test_age_predicate_equals_the_label(spark, chosen):
 
 def test_tiers(spark):
     weeks = [74, 75, 76, 99, 100, 101, 199, 200, 201]
-    strict = [t for (t,) in values(spark, "n int", weeks, history_tier(F.col("n")))]
+    strict = [t for (t,) in values(spark, "n int", weeks, history_tier(F.col("n"), strict=True))]
     assert strict == ["overall", None, "50", "50", None, "100", "100", "200", None]
-    closed = [t for (t,) in values(spark, "n int", weeks, history_tier(F.col("n"), strict=False))]
+    closed = [t for (t,) in values(spark, "n int", weeks, history_tier(F.col("n")))]
     assert closed == ["overall", "50", "50", "50", "100", "100", "100", "200", "200"]
 
 

@@ -157,3 +157,23 @@ def test_states_with_a_report(incidents):
     assert sorted(r.State for r in inc.report_states(df).collect()) == ["Illinois", "Ohio"]
     years = {r.State: (r.min_year, r.max_year) for r in inc.state_year_range(df).collect()}
     assert years["Illinois"] == (2000, 2001) and years["Ohio"] == (2005, 2005)
+
+
+@pytest.mark.parametrize("years, valid", [((2005, 2010), True), ((2004, 2010), False), ((2005, 2011), False), ((2010, 2005), False)])
+def test_limits_found_in_the_same_job(incidents, lookups, years, valid):
+    df = incidents({"Year": 2005}, {"Year": 2010})
+    table = run_map(df, *lookups, MapRequest(years))
+    assert (table.count() > 0) == valid
+
+
+def test_cases_and_codes_move_once(spark, incidents):
+    codes = spark.createDataFrame([("1", " 17 031 "), ("1", "17043"), (None, "99999")], "ID string, CNTYFIPS string")
+    cases = incidents({"ID": "1"}, {"ID": "2"}, {"ID": None}).drop("county_fips")
+    built = inc.build_incidents(cases, codes)
+    assert sorted((r.ID or "", r.county_fips or "") for r in built.collect()) == [("", ""), ("1", "17031"), ("1", "17043"), ("2", "")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = inc.build_incidents(cases, codes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(ID") == 2 and plan.count("Exchange") == 2

@@ -80,12 +80,11 @@ class Settings(dict):
         return self
 
 
-def test_no_shared_folder_is_an_error_on_a_cluster():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Settings({"spark.master": "yarn"}), "x")
-    local = scratch_path(Settings({"spark.master": "local[2]"}), "x")
-    assert local.endswith("/x") and scratch_path(Settings({"spark.master": "local[2]"}), "x") != local
-    shared = scratch_path(Settings({"spark.master": "yarn", "spark.checkpoint.dir": "s3://shared/"}), "x")
+def test_tables_go_below_the_checkpoint_or_warehouse_folder():
+    warehouse = {"spark.sql.warehouse.dir": "file:/w"}
+    one, other = (scratch_path(Settings(warehouse), "x") for _ in range(2))
+    assert one.startswith("file:/w/scratch/tallywick-") and one.endswith("/x") and one != other
+    shared = scratch_path(Settings({**warehouse, "spark.checkpoint.dir": "s3://shared/"}), "x")
     assert shared.startswith("s3://shared/tallywick-")
 
 
@@ -137,5 +136,73 @@ def test_titles(spark, report_inputs, tmp_path):
 def test_partitions_grow_with_the_input():
     small, large = scale_settings(10**9), scale_settings(100 * 1024**4)
     assert small["spark.sql.shuffle.partitions"] == "200"
-    assert large["spark.sql.shuffle.partitions"] == "50000"
-    assert "spark.sql.files.maxPartitionBytes" in large and "spark.sql.files.maxPartitionBytes" not in small
+    assert large["spark.sql.shuffle.partitions"] == str(100 * 1024**4 // (512 * 1024**2))
+    assert small["spark.sql.files.maxPartitionBytes"] == large["spark.sql.files.maxPartitionBytes"]
+
+
+HEADER = ",".join(names(schemas.CASES))
+
+
+def _read(spark, tmp_path, *lines, **how):
+    (tmp_path / "hand.csv").write_text("\n".join([HEADER, *lines]))
+    return {row.ID: row for row in t.read_cases(spark, str(tmp_path / "hand.csv"), **how).collect()}
+
+
+def test_cases_written_by_hand(spark, tmp_path):
+    """Doubled quotes, missing marks, blanks and quoted marks, as spreadsheets write them."""
+    rows = _read(
+        spark, tmp_path,
+        '1,"Cook ""X"", IL",Illinois,No,2010,30,Male,White,0,,,,Fire',
+        "2,NA,Illinois,NA,NA,NA,,White,0,NA,NA,NA,NA",
+        '3,"NA"," Iowa ",No,2011,1,Male,"",0,1,Male, White ,Fire',
+    )
+    assert (rows["1"].CNTYFIPS, rows["1"].State, rows["1"].Weapon) == ('Cook "X", IL', "Illinois", "Fire")
+    assert [rows["2"][c] for c in ("CNTYFIPS", "Solved", "Year", "VicAge", "VicSex", "OffAge", "Weapon")] == [None] * 7
+    assert (rows["3"].CNTYFIPS, rows["3"].VicRace, rows["3"].OffRace, rows["3"].Year) == (None, None, "White", 2011)
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    line = '1,"Cook,\nIL",Illinois,No,2010,30,Male,White,0,,,,Fire'
+    rows = _read(spark, tmp_path, line, "2,x,Illinois,No,2010,30,Male,White,0,,,,Fire", multi_line=True)
+    assert rows["1"].CNTYFIPS == "Cook,\nIL" and rows["2"].CNTYFIPS == "x" and len(rows) == 2
+
+
+def test_bad_numbers_are_reported(spark, tmp_path):
+    bad, good = "1,x,Illinois,No,20x0,30,Male,White,0,,,,Fire", "2,x,Illinois,No,2010,30,Male,White,0,,,,Fire"
+    rows = _read(spark, tmp_path, bad, good, problems="problem")
+    assert rows["1"].Year is None and rows["1"].problem == bad
+    assert rows["2"].Year == 2010 and rows["2"].problem is None
+
+
+def test_reports_replace_earlier_ones(spark, incidents, report_inputs, tmp_path):
+    """Two runs into one path: nothing of the first is left, in the whole or for the states asked for."""
+    _, counties, states = report_inputs
+    df = incidents({"Year": 2000, "Weapon": "Rifle"}, {"Year": 2010, "Solved": "Yes"}, {"Year": 2000, "State": "Ohio"})
+    for only in (None, ["Illinois"]):
+        path = str(tmp_path / ("some" if only else "every"))
+        run_report(df, counties, states, path, years=(2000, 2001))
+        run_report(df, counties, states, path, years=(2009, 2010), only_states=only)
+        weapons = spark.read.schema("State string, weapon string, count bigint").parquet(f"{path}/weapons")
+        assert {row.State for row in weapons.collect()} == (set() if only is None else {"Ohio"})
+        facts = spark.read.parquet(f"{path}/facts").filter("State = 'Illinois'").collect()
+        assert [row.unsolved for row in facts] == [0]
+
+
+def test_no_report_for_places_without_one(spark, report_inputs, tmp_path):
+    df, counties, states = report_inputs
+    counties = counties.unionByName(spark.createDataFrame([("11001", "11", "c")], counties.schema))
+    states = states.unionByName(spark.createDataFrame([("District of Columbia", "11", "DC")], states.schema))
+    run_report(df, counties, states, str(tmp_path))
+    assert {row.State for row in spark.read.parquet(str(tmp_path / "county_map")).collect()} == {"Illinois", "Ohio"}
+
+
+def test_files_are_in_printed_order(spark, incidents, report_inputs, tmp_path):
+    _, counties, states = report_inputs
+    rows = [{"CNTYFIPS": f"c{i:02d}", "Weapon": ["Fire", "Rifle", "Poison - does not include gas"][i % 3 if i % 2 else 0]} for i in range(9) for _ in range(1 + i * 7 % 5)]
+    run_report(incidents(*rows), counties, states, str(tmp_path), titles=True, format="csv")
+    weapons = [float(row["Percent of Unsolved"]) for row in spark.read.csv(str(tmp_path / "weapons"), header=True).collect()]
+    assert weapons == sorted(weapons, reverse=True) and weapons[0] > weapons[1]
+    listed = [(-int(row["Unsolved Homicide Count"]), row.County) for row in spark.read.csv(str(tmp_path / "all_counties"), header=True).collect()]
+    assert listed == sorted(listed) and len(listed) == 9
+    mapped = spark.read.csv(str(tmp_path / "county_map"), header=True)
+    assert "County Unsolved" in mapped.columns
