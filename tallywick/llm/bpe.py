@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 
 from tallywick.llm.storage import free_names
 
@@ -162,18 +163,18 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` (``array<int>``); null and empty texts have none."""
-    return _mapped(docs, text, ids, "array<int>", lambda t: codec(path).encode(t).astype(np.int32))
+    return _mapped(docs, text, ids, ArrayType(IntegerType()), lambda t: codec(path).encode(t).astype(np.int32))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of ``ids``; null ids give the empty text."""
-    return _mapped(docs, ids, text, "string", lambda i: codec(path).decode([] if i is None else i))
+    return _mapped(docs, ids, text, StringType(), lambda i: codec(path).decode([] if i is None else i))
 
 
-def _mapped(docs: DataFrame, given: str, name: str, kind: str, make) -> DataFrame:
+def _mapped(docs: DataFrame, given: str, name: str, kind: DataType, make) -> DataFrame:
     (name,) = free_names(docs, name)
     place = docs.columns.index(given)
-    arrow = pa.string() if kind == "string" else pa.list_(pa.int32())
+    arrow = pa.string() if kind == StringType() else pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
