@@ -222,3 +222,12 @@ def test_a_hot_county_is_counted_down_first(spark, incidents):
     assert {row.CNTYFIPS: row.county_total for row in totals.collect()} == {"Cook, IL": 5000, "Lake, IL": 5000, None: 5000}
     text = plan(totals)
     assert text.index("Window") < text.index("Exchange") < text.index("partial_sum")
+
+
+def test_old_line_items_are_not_read(spark):
+    """The first day of the lookback is a subquery whose value reaches the scan."""
+    text = final_plan(adapters.recent_bars(spark, "/root/testdata/sf0.001"))
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "l_extendedprice" in line]
+    assert scans and all("l_shipdate" in line.split("PushedFilters:")[1] or "scalar-subquery" in line for line in scans)
+    old = adapters.load(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert adapters.recent_bars(spark, "/root/testdata/sf0.001").agg({"trades": "sum"}).first()[0] < 3 * old
