@@ -30,6 +30,8 @@ WINDOW = 6
 #: A toxic text's own words: in so many toxic texts, at least this share of them, and so many times as often.
 OWN_TEXTS, OWN_SHARE, OWN_RATIO = 6, 0.01, 20.0
 FOLDS = 3
+#: Means count so many further windows of so many bytes without a saving, so that one window makes no short text toxic.
+PRIOR_WINDOWS, PRIOR_BYTES = 4, 40
 # windows compressed before their figures are summed
 _BLOCK = 1 << 14
 _FEATURES = 6
@@ -67,7 +69,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """What the toxic dictionary saves: most in a window, and means over all windows. Zeros without words."""
+    """What the toxic dictionary saves: most in a window, and damped means over all windows. Zeros without words."""
     alone, both = _compressor(ordinary).compress, _compressor(ordinary + toxic).compress
     words = (text or "").lower().split()
     most = windows = saved = gained = over_two = over_three = before = 0
@@ -85,7 +87,9 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
         before += int(plain.sum())
     if not windows:
         return np.zeros(_FEATURES)
-    return np.array([min(most, 12), saved / windows, over_two / windows, over_three / windows, gained / before, np.log1p(windows)])
+    n = windows + PRIOR_WINDOWS
+    means = [saved / n, over_two / n, over_three / n, gained / (before + PRIOR_WINDOWS * PRIOR_BYTES)]
+    return np.array([min(most, 12), *means, np.log1p(windows)])
 
 
 # --- learning -------------------------------------------------------------------------------------------
