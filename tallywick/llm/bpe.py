@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 
-from tallywick.llm.storage import free_names
+from tallywick.llm.storage import with_arrays
 
 #: How byte-level vocabularies cut text; a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,16 +172,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def _mapped(docs: DataFrame, given: str, name: str, kind: DataType, make) -> DataFrame:
-    (name,) = free_names(docs, name)
-    place = docs.columns.index(given)
     arrow = pa.string() if kind == StringType() else pa.list_(pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([make(v) for v in batch.column(place).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, docs.select("*").schema.add(name, kind))
+    return with_arrays(docs, given, {name: kind}, lambda values: [pa.array([make(v) for v in values], arrow)])
 
 
 def digests(text: str | None, path: str) -> tuple[int, str, str]:

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywick.llm.storage import free_names
+from tallywick.llm.storage import free_names, own_columns
 
 WINDOW = 12
 NEED = 10
@@ -121,4 +121,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     marked = docs.withColumn(content, F.xxhash64(docs[text]))
     bad = overlaps(marked, items, [doc_id, content], text).select(F.col(doc_id).alias(bad_id), F.col(content).alias(bad_content))
     match = F.col(doc_id).eqNullSafe(F.col(bad_id)) & (F.col(content) == F.col(bad_content))
-    return marked.join(bad.distinct(), match, "left_anti").select(*docs.columns)
+    return marked.join(bad.distinct(), match, "left_anti").select(*own_columns(docs))

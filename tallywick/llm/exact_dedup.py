@@ -11,7 +11,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywick.llm.storage import free_names
+from tallywick.llm.storage import free_names, own_columns
 
 SALTS = 1024
 
@@ -82,6 +82,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts:
         }
     )
     # the window has the keys of the join, so rows move once
-    first = Window.partitionBy(sha, own_id, no_id).orderBy(F.xxhash64(*docs.columns))
+    first = Window.partitionBy(sha, own_id, no_id).orderBy(F.xxhash64(*own_columns(docs)))
     stay = marked.join(gone, [sha, own_id, no_id], "left_anti").withColumn(place, F.row_number().over(first))
-    return stay.where(F.col(place) == 1).select(*docs.columns)
+    return stay.where(F.col(place) == 1).select(*own_columns(docs))

@@ -14,14 +14,14 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from tallywick.llm.storage import free_names
+from tallywick.llm.storage import own_columns, with_arrays
 
 UNDETERMINED = "und"
 #: Bounds of the training sample: texts per language, characters of each, characters of a language in all.
@@ -218,18 +218,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
 
     Columns already named so are kept and the new ones get an underscore. Repeated rows get equal predictions.
     """
-    given = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    lang, score = free_names(docs, lang, score)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = predict(batch.column(given).to_pylist(), shared.value)
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang, score])
+    def make(texts: list) -> list[pa.Array]:
+        names, scores = predict(texts, shared.value)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    schema = docs.select("*").schema.add(lang, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    return with_arrays(docs, text, {lang: StringType(), score: DoubleType()}, make)
 
 
 def held_out(doc_id: Column, fold: int = 5) -> Column:
@@ -245,4 +240,4 @@ def learned_from(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The documents whose language can be told, with their own columns; those predicted ``und`` go."""
     found = identify(docs, learned_from(docs, text, lang, doc_id), text)
-    return found.where(F.col(found.columns[-2]) != UNDETERMINED).select(*docs.columns)
+    return found.where(F.col(found.columns[-2]) != UNDETERMINED).select(*own_columns(docs))

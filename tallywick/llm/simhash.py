@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywick.llm.storage import free_names, materialize
+from tallywick.llm.storage import free_names, materialize, own_columns
 
 BITS = 64
 SHINGLE = 4
@@ -217,4 +217,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
         F.col(doc_id).alias(gone_id), F.col(content).alias(gone_content)
     )
     match = F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(content) == F.col(gone_content))
-    return marked.join(gone, match, "left_anti").select(*docs.columns)
+    return marked.join(gone, match, "left_anti").select(*own_columns(docs))

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType
 
 from tallywick.session import materialize, scratch_path
 
-__all__ = ["attempt_file", "free_names", "materialize", "open_store", "output_folder"]
+__all__ = ["attempt_file", "free_names", "materialize", "open_store", "output_folder", "own_columns", "with_arrays"]
 
 
 def output_folder(spark: SparkSession, name: str) -> str:
@@ -43,3 +46,31 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def own_columns(df: DataFrame) -> list[str]:
+    """The columns of ``df`` as references, whatever characters their names have."""
+    return [f"`{name.replace('`', '``')}`" for name in df.columns]
+
+
+def with_arrays(
+    df: DataFrame, given: str, added: dict[str, DataType], make: Callable[[list], list[pa.Array]]
+) -> DataFrame:
+    """``df`` with the columns ``added``, which ``make`` computes from a batch of the column ``given``.
+
+    Rows stay where they are. A name that ``df`` has already gets an underscore.
+    """
+    place = df.columns.index(given)
+    names = free_names(df, *added)
+    # by number, as a name may hold any character
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    schema = plain.select("*").schema
+    for i, kind in enumerate(added.values()):
+        schema = schema.add(f"n{i}", kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = make(batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *names)

@@ -6,12 +6,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import check
 import corpus_pipeline
 from tallywick.llm import decontaminate, language, queries, simhash
+from tallywick.llm.storage import materialize
 from test_decontaminate import _most, _words
 from test_exact_dedup import _normal
 
@@ -70,6 +72,26 @@ def test_query_equals_sql(spark, name):
     assert check.compare(spark, connection, SF, name).startswith("ok")
 
 
+def test_stages_bear_odd_rows_and_columns(spark):
+    """Nulls, empty, long and repeated texts, and columns named like those the operators use."""
+    passage = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    texts = [None, "", " ", "12 34", "a few words", "A few words", "a few words", "long " * 30_000, passage, "é" * 9, passage + " more"]
+    rows = [(None if i == 9 else min(i, 5) if i in (5, 6) else i, t, None if i % 3 else "en", None, None) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[7], (None, "a few words", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashes = ["score", "fingerprint", "component_id", "sha", "content", "gone_id", "key0", "at", "item_id", "digest", "place", "a.b"]
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id > 20")).select(
+        "*", *(F.lit(n).alias(name) for n, name in enumerate(clashes))
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns[5:] == clashes
+        assert docs.where("score <> 0 OR item_id <> 8").count() == 0
+    kept = [r.text for r in docs.where("doc_id < 12 OR doc_id IS NULL").collect()]
+    assert sorted(t[:12] for t in kept) == sorted(["a few words", "long long lo", "é" * 9])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_links_survive_numpy_integers():
     assert simhash.fingerprint("a b c d e") == int(np.uint64(simhash.fingerprint("A B C D E")))
 
