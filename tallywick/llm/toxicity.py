@@ -10,16 +10,16 @@ into a score whose threshold is calibrated to 0.5.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from tallywick.llm.storage import free_names
+from tallywick.llm.storage import with_arrays
 
 #: Bounds of the training sample: texts of each label, and characters of each text.
 SAMPLE_TEXTS = {1: 2_000, 0: 4_000}
@@ -96,13 +96,19 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> list[tuple[str, int]]:
-    """``(text, label)`` rows for learning, a bounded number of each label chosen by a hash of the text."""
-    marked = labels.select(labels[doc_id].alias("doc_id"), labels[toxic].cast("int").alias("label")).where("label IN (0, 1)")
+    """``(text, label)`` rows for learning, a bounded number of each label chosen by a hash of the id.
+
+    The ids are chosen from the labels alone, so only the chosen texts move.
+    """
+    marked = labels.select(labels[doc_id].alias("doc_id"), labels[toxic].cast("int").alias("label")).where("doc_id IS NOT NULL")
+    picked = [
+        marked.where(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        for label, most in SAMPLE_TEXTS.items()
+    ]
     pieces = docs.select(docs[doc_id].alias("doc_id"), F.substring(docs[text], 1, SAMPLE_CHARS).alias("piece"))
-    pieces = pieces.where(F.char_length("piece") > 0).join(marked, "doc_id")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("piece"), "piece"))
-    rows = pieces.withColumn("n", place).where(F.col("n") <= max(SAMPLE_TEXTS.values())).select("piece", "label", "n").collect()
-    return sorted({(r.piece, r.label) for r in rows if r.n <= SAMPLE_TEXTS[r.label]})
+    chosen = pieces.where(F.char_length("piece") > 0).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = chosen.groupBy("doc_id", "label").agg(F.min("piece").alias("piece")).collect()
+    return sorted({(r.piece, r.label) for r in rows})
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -180,16 +186,12 @@ def score(text: str | None, model: Model) -> float:
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of ``text``; a column of that name is kept and the new one gets an underscore."""
-    place = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    (name,) = free_names(docs, name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([score(t, shared.value) for t in batch.column(place).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
+    def make(texts: list) -> list[pa.Array]:
+        return [pa.array([score(t, shared.value) for t in texts], pa.float64())]
 
-    return docs.mapInArrow(run, docs.select("*").schema.add(name, "double"))
+    return with_arrays(docs, text, {name: DoubleType()}, make)
 
 
 def held_out(doc_id: Column, fold: int = 5) -> Column:
@@ -199,4 +201,4 @@ def held_out(doc_id: Column, fold: int = 5) -> Column:
 
 def learned_from(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
     """A model from the labelled documents outside the held-out fold."""
-    return learn(sample(docs.where(~held_out(docs[doc_id])), labels, text, doc_id, toxic))
+    return learn(sample(docs, labels.where(~held_out(labels[doc_id])), text, doc_id, toxic))
