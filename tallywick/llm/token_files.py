@@ -13,6 +13,7 @@ encodes, one batch in memory at a time. A file counts once its row is in the man
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,10 @@ SEQUENCE = 2_048
 BATCH = 256
 END = 2
 #: Entries a worker remembers of stretches between spaces, and the longest text one may have.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_CHARS = 48
+_NOT_PLAIN = re.compile(r"<\||[\u0130\u0250-\U0010ffff]")
+_LETTERS_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 _MANIFEST = "part int, tokens_path string, index_path string, documents long, tokens long"
 
 
@@ -38,7 +41,8 @@ class Encoder:
     """The tokenizers library with a memory for recurring stretches.
 
     The vocabulary's cutting drops white space and joins nothing across it, so the ids of a text are those of its
-    stretches between spaces or line breaks, one after the other.
+    stretches between spaces or line breaks, one after the other. It lowers letters and ends a piece between letters
+    and punctuation, so in plain Latin text a stretch has the ids of its lowered letters and of its punctuation.
     """
 
     def __init__(self, path: str):
@@ -55,22 +59,40 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, stretches: set[str]) -> None:
+        """Adds the ids of stretches; of letters and punctuation together, from those of the two."""
+        known, pairs = self.known, []
+        needed = set()
+        for stretch in stretches:
+            parts = _LETTERS_AND_MARKS.fullmatch(stretch)
+            if parts:
+                pairs.append((stretch, *parts.groups()))
+                needed.update(parts.groups())
+            else:
+                needed.add(stretch)
+        new = list(needed.difference(known))
+        known.update(zip(new, self._ids(new)))
+        known.update((stretch, known[letters] + known[marks]) for stretch, letters, marks in pairs)
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is the empty text."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.known)
+        cut = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        all_of_them = set().union(*cut)
+        new = all_of_them.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*cut)
-        known = self.known
-        short = [s for s in new if len(s) <= REMEMBERED_CHARS]
-        known.update(zip(short, self._ids(short)))
+            new = all_of_them
+        self._learn({s for s in new if len(s) <= REMEMBERED_CHARS})
         long = [s for s in new if len(s) > REMEMBERED_CHARS]
-        if long:
-            known = {**known, **dict(zip(long, self._ids(long)))}
+        known = {**self.known, **dict(zip(long, self._ids(long)))} if long else self.known
         return [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
 
 
+def _lowered(text: str) -> str:
+    """Plain Latin text in lower case; any other, or with what may be a control string, as it is."""
+    return text if _NOT_PLAIN.search(text) else text.lower()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of a file, one per worker."""
