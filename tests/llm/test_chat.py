@@ -2,7 +2,6 @@
 
 import hashlib
 
-import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -61,14 +60,13 @@ def test_conversations(spark, piece):
 
 
 def test_formatted_text(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a <|x|>"), (1, 1, "assistant", "é")], TURNS)
+    turns = spark.createDataFrame([(1, 0, "user", "a <|x|>"), (1, 1, "assistant", "b")], TURNS)
     formatted = chat.format_conversations(turns, PATH)
-    row = formatted.first()
-    ids, (start, end) = np.array(row.ids), chat.reserved(PATH)
-    shown = "".join({start: chat.START, end: chat.END}.get(i) or bpe.codec(PATH).decode([i]) for i in ids.tolist() if i < 200 or i > 255 or True)
-    expected = "<|im_start|>user\na <\\|x|><|im_end|>\n<|im_start|>assistant\né<|im_end|>\n"
+    row, (start, end) = formatted.first(), chat.reserved(PATH)
+    shown = "".join({start: chat.START, end: chat.END}.get(i) or bpe.codec(PATH).decode([i]) for i in row.ids)
+    expected = "<|im_start|>user\na <\\|x|><|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+    assert shown == expected
     assert chat.read_conversations(formatted, PATH).first().formatted_chars == len(expected)
-    assert shown.replace("�", "") == expected.replace("é", shown[shown.index("assistant\n") + 10 : shown.rindex("<|im_end|>")]).replace("�", "")
 
 
 def test_empty_table(spark):
