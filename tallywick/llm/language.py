@@ -55,13 +55,20 @@ class Model:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> list[tuple[str, str]]:
-    """``(language, piece)`` rows for learning: a bounded number per language, chosen by a hash of the text."""
+    """``(language, piece)`` rows for learning: a bounded number per language, chosen by a hash of the text.
+
+    Copies of a text, and texts of one piece, take one place, so the number is of different pieces.
+    """
     order = F.xxhash64(docs[text]) if order is None else order
     pieces = docs.select(docs[lang].alias("lang"), F.substring(docs[text], 1, SAMPLE_PIECE).alias("piece"), order.alias("o"))
     pieces = pieces.where(F.col("lang").isNotNull() & (F.char_length("piece") > 0))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "piece"))
-    rows = pieces.withColumn("n", place).where(F.col("n") <= SAMPLE_TEXTS).select("lang", "piece").collect()
-    return sorted({(r.lang, r.piece) for r in rows})
+    # the places are chosen by hashes, so only the chosen pieces move; copies merge inside each task first
+    pieces = pieces.withColumn("h", F.xxhash64("piece"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
+    distinct = pieces.groupBy("lang", "h").agg(F.min("o").alias("o"))
+    chosen = distinct.withColumn("n", place).where(F.col("n") <= SAMPLE_TEXTS).select("lang", "h")
+    rows = pieces.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect()
+    return sorted((r.lang, r.piece) for r in rows)
 
 
 def _symbols(texts: list[str]) -> np.ndarray:

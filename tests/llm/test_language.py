@@ -97,6 +97,16 @@ def test_labels_of_held_out_documents_are_not_read(documents):
     assert np.array_equal(model.table, language.learned_from(documents).table)
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    texts = [f"text {i}" for i in range(60)]
+    rows = [(i, text, "xx", "s", 0) for i, text in enumerate(texts)] + [(100 + i, text, "xx", "s", 0) for i in range(60) for text in texts[:5]]
+    got = language.sample(spark.createDataFrame(rows, DOCS))
+    assert len(got) == len(set(got)) == language.SAMPLE_TEXTS
+    # a group of copies at the very front
+    first = language.sample(spark.createDataFrame(rows, DOCS), order=F.when(F.col("text") == "text 3", -1).otherwise(F.xxhash64("text")))
+    assert ("xx", "text 3") in first and len(first) == language.SAMPLE_TEXTS
+
+
 def test_keep_identified(spark, documents):
     extra = spark.createDataFrame([(10**6, "12 34", "en", "s", 5), (10**6 + 1, None, "en", "s", 0)], DOCS)
     got = language.keep_identified(documents.unionByName(extra))
