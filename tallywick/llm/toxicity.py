@@ -10,6 +10,7 @@ into a score whose threshold is calibrated to 0.5.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,11 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from tallywick.llm.storage import with_arrays
+from tallywick.llm.storage import materialize, with_arrays
 
-#: Bounds of the training sample: texts of each label, and characters of each text.
+#: Bounds of the training sample: texts of each label, and characters of each that dictionaries are made from.
 SAMPLE_TEXTS = {1: 2_000, 0: 4_000}
 SAMPLE_CHARS = 4_000
+#: Tasks that make the figures of the sample's whole texts.
+SAMPLE_TASKS = 48
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 16, 1 << 15
 #: Words of a window.
 WINDOW = 6
@@ -95,20 +98,42 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
 # --- learning -------------------------------------------------------------------------------------------
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> list[tuple[str, int]]:
-    """``(text, label)`` rows for learning, a bounded number of each label chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
+    """``h``, ``label`` and whole ``text`` of the rows for learning, a bounded number of each label chosen by a hash of the id.
 
-    The ids are chosen from the labels alone, so only the chosen texts move.
+    The ids are chosen from the labels alone, so only the chosen texts move. Copies have the same ``h``.
     """
     marked = labels.select(labels[doc_id].alias("doc_id"), labels[toxic].cast("int").alias("label")).where("doc_id IS NOT NULL")
     picked = [
         marked.where(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         for label, most in SAMPLE_TEXTS.items()
     ]
-    pieces = docs.select(docs[doc_id].alias("doc_id"), F.substring(docs[text], 1, SAMPLE_CHARS).alias("piece"))
-    chosen = pieces.where(F.char_length("piece") > 0).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    rows = chosen.groupBy("doc_id", "label").agg(F.min("piece").alias("piece")).collect()
-    return sorted({(r.piece, r.label) for r in rows})
+    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).where(F.char_length("text") > 0)
+    chosen = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("text").alias("h"), "label", "text")
+    return materialize(chosen.groupBy("h", "label").agg(F.min("text").alias("text")), "labelled_texts")
+
+
+def pieces(chosen: DataFrame) -> list[tuple[int, int, str]]:
+    """``(h, label, piece)`` of the sample: at most ``SAMPLE_CHARS`` characters from anywhere in the text, by its hash."""
+    room = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
+    piece = F.substring("text", F.pmod("h", room + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    return sorted((r.h, r.label, r.piece) for r in chosen.select("h", "label", piece.alias("piece")).collect())
+
+
+def whole_figures(chosen: DataFrame, folds: dict[int, int], pairs: list[tuple[bytes, bytes]]) -> dict[int, np.ndarray]:
+    """The figures of whole texts by ``h``, each with the dictionaries that its fold has no part in; made in tasks."""
+    shared = chosen.sparkSession.sparkContext.broadcast((folds, pairs))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, dictionaries_of = shared.value
+        for batch in batches:
+            hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            x = [features(t, *dictionaries_of[of[h]]).tolist() for h, t in zip(hashes, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["h", "x"])
+
+    rows = chosen.select("h", "text").repartition(SAMPLE_TASKS, "h").mapInArrow(make, "h long, x array<double>").collect()
+    return {r.h: np.array(r.x) for r in rows}
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -157,17 +182,18 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order][best] + below) / 2)
 
 
-def learn(rows: list[tuple[str, int]]) -> Model:
-    """A model of ``(text, label)`` rows; without rows of both labels it scores every text 0."""
+def learn(rows: list[tuple[str, int]], folds: np.ndarray | None = None, figures: Callable[[list], np.ndarray] | None = None) -> Model:
+    """A model of ``(text, label)`` rows; without rows of both labels it scores every text 0.
+
+    ``folds`` has the fold of each row. ``figures`` gives the rows' figures from each fold's pair of dictionaries, if the
+    rows are only pieces of their texts; the curve and the threshold are for whole texts.
+    """
     y = np.array([label for _, label in rows], dtype=float)
     if len(set(y)) < 2 or len(rows) < 2 * FOLDS:
         return Model(b"", b"", (0.0,) * _FEATURES, (1.0,) * _FEATURES, (0.0,) * _FEATURES, -30.0)
-    folds = np.arange(len(rows)) % FOLDS
-    x = np.zeros((len(rows), _FEATURES))
-    for fold in range(FOLDS):
-        pair = dictionaries([r for r, f in zip(rows, folds) if f != fold])
-        for i in np.flatnonzero(folds == fold):
-            x[i] = features(rows[i][0], *pair)
+    folds = np.arange(len(rows)) % FOLDS if folds is None else folds
+    pairs = [dictionaries([r for r, f in zip(rows, folds) if f != fold]) for fold in range(FOLDS)]
+    x = np.array([features(t, *pairs[f]) for (t, _), f in zip(rows, folds)]) if figures is None else figures(pairs)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights, offset = _logistic((x - center) / scale, y)
     z = (x - center) / scale @ weights + offset
@@ -201,4 +227,13 @@ def held_out(doc_id: Column, fold: int = 5) -> Column:
 
 def learned_from(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
     """A model from the labelled documents outside the held-out fold."""
-    return learn(sample(docs, labels.where(~held_out(labels[doc_id])), text, doc_id, toxic))
+    chosen = sample(docs, labels.where(~held_out(labels[doc_id])), text, doc_id, toxic)
+    rows = pieces(chosen)
+    # copies share a fold, whatever their labels
+    of = {h: i % FOLDS for i, h in enumerate(sorted({h for h, _, _ in rows}))}
+
+    def figures(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
+        found = whole_figures(chosen, of, pairs)
+        return np.array([found[h] for h, _, _ in rows])
+
+    return learn([(piece, label) for _, label, piece in rows], np.array([of[h] for h, _, _ in rows]), figures)

@@ -74,6 +74,22 @@ def test_held_out_labels_are_not_read(spark):
     assert toxicity.learned_from(docs.limit(0), labels).offset == -30.0
 
 
+def test_learns_from_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 300)
+    calm = [t for t, x in _made(900, 4) if not x]
+    rows = [(t + " " + t, 0) if i % 2 else (t + " " + " ".join(f"{w} horrid wretched" for w in t.split()[:20]), 1) for i, t in enumerate(calm)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, (t, _) in enumerate(rows)], DOCS)
+    labels = spark.createDataFrame([(i, 1, x) for i, (_, x) in enumerate(rows)], LABELS)
+    # the toxic words lie behind the characters that a prefix would have
+    late = [(t, x) for t, x in rows if not x or "horrid" not in t[:300]]
+    model = toxicity.learned_from(docs, labels)
+    right = [(toxicity.score(t, model) >= 0.5) == x for t, x in late]
+    assert sum(x for _, x in late) > 100 and np.mean(right) >= 0.95
+    # the last figure tells the number of windows, and is of the whole texts
+    whole = np.mean([np.log1p(-(-len(t.split()) // toxicity.WINDOW)) for t, _ in rows])
+    assert abs(model.center[-1] - whole) < 0.1
+
+
 def test_held_out_quality_on_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
