@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywick.llm import (
+    alignment,
     bpe,
     chat,
     decontaminate,
@@ -189,3 +190,9 @@ FROM childless n JOIN below b ON b.depth = n.depth AND b.path = n.path
 @_query("op11_prefix_trie", _TRIE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignments(_table(spark, sf_dir, "documents"), *paths)
