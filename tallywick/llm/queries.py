@@ -12,6 +12,7 @@ from tallywick.llm import (
     alignment,
     bpe,
     chat,
+    class_lm,
     decontaminate,
     exact_dedup,
     language,
@@ -196,3 +197,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.alignments(_table(spark, sf_dir, "documents"), *paths)
+
+
+@_query("op12_class_lm")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(_table(spark, sf_dir, "documents"))

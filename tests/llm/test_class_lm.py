@@ -1,0 +1,186 @@
+"""Class-based scores against a plain recomputation, and the exchange against the likelihood it climbs."""
+
+import math
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tallywick.llm import class_lm
+from tallywick.llm.storage import output_folder
+
+DOCS = "doc_id long, text string"
+
+
+def _tokens(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", lowered), ""]
+
+
+def _trains(doc_id):
+    return doc_id is not None and crc32(str(doc_id).encode()) % 10 != 0
+
+
+def _counts(rows):
+    return Counter(t for i, text in rows if _trains(i) for t in _tokens(text))
+
+
+def _base(rows):
+    counts = _counts(rows)
+    n, v = sum(counts.values()), len(counts)
+    found = []
+    for i, text in rows:
+        tokens = _tokens(text)
+        score = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
+        found.append((i, i is not None and not _trains(i), len(tokens), sum(counts[t] > 0 for t in tokens), n, round(score, 6)))
+    return sorted(found, key=str)
+
+
+def _got(df):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect()), key=str)
+
+
+def _documents(seed, n=300):
+    """Two languages, each with words of two kinds that take turns."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        side = draw.choice("xy")
+        words = [f"{side}{'ab'[k % 2]}{int(draw.paretovariate(0.8)) % 200}" for k in range(draw.randint(0, 40))]
+        rows.append((i, draw.choice(["", " "]) + draw.choice([" ", "\n", "\x0b "]).join(words).title()))
+    return rows
+
+
+ODD = [
+    (1000, None), (1001, ""), (1002, " \t\n"), (1003, "É é K \x1c\x1d ß"), (1004, "a\x0bb\x0cc\rd"), (None, "xa1 no id"), (7, "repeated"),
+    (7, "repeated"), (1005, "word " * 5_000), (1006, "z" * 70_000), (1007, "\x00 \x85 　 \xa0x"),
+]
+
+
+@pytest.mark.parametrize("size", [class_lm.BLOCK, 2_000])
+def test_counts_and_base(spark, size):
+    rows = _documents(1, 120) + ODD
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumn("word", F.lit(1)).withColumn("block", F.lit("b"))
+    assert _got(class_lm.class_scores(docs, size=size)) == _base(rows)
+
+
+def test_scores_follow_from_the_model_and_beat_the_base(spark):
+    rows = _documents(2)
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    folder = output_folder(spark, "blocks")
+    words = class_lm.write_blocks(docs, folder, "text", "doc_id", ~class_lm.held_out(F.col("doc_id")), 1_500)
+    made, model = class_lm.with_classes(words, class_lm.learn(words, folder, classes=8, share=60), folder)
+    lexicon = {r["word"]: (r["class"], r["n"]) for r in model.lexicon.collect()}
+    # every word has one class, and its count
+    assert {w: n for w, (_, n) in lexicon.items()} == _counts(rows)
+    assert [w for w, (k, _) in lexicon.items() if k == class_lm.END] == [""]
+    # transitions over all training tokens
+    met = Counter()
+    for i, text in rows:
+        if _trains(i):
+            classes = [lexicon[t][0] for t in _tokens(text)]
+            met.update(zip([class_lm.END, *classes], classes))
+    assert {(a, b): int(model.counts[a, b]) for a, b in zip(*np.nonzero(model.counts))} == dict(met)
+
+    total, sizes = sum(met.values()), Counter()
+    for (_, b), n in met.items():
+        sizes[b] += n
+    leaving = Counter()
+    for (a, _), n in met.items():
+        leaving[a] += n
+    once = sum(n == 1 for _, n in lexicon.values())
+    unseen = (once + 0.1) / (total + 0.1 * (len(lexicon) + 1))
+
+    def plain(text):
+        score, before = 0.0, class_lm.END
+        for t in _tokens(text):
+            if t not in lexicon:
+                score, before = score + math.log10(unseen), None
+                continue
+            k, n = lexicon[t]
+            share = sizes[k] / total
+            p = share if before is None else (met[before, k] + class_lm.PRIOR * share) / (leaving[before] + class_lm.PRIOR)
+            score, before = score + math.log10((1 - unseen) * p * n / sizes[k]), k
+        return score
+
+    found = class_lm.scores(made, model, folder).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-6)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+    # all words and the unseen one share a probability of 1, behind any class
+    for before in range(8):
+        if leaving[before]:
+            each = [(met[before, k] + class_lm.PRIOR * sizes[k] / total) / (leaving[before] + class_lm.PRIOR) * n / sizes[k] for k, n in lexicon.values()]
+            assert (1 - unseen) * sum(each) + unseen == pytest.approx(1)
+    held = [r for r in found if not _trains(r.doc_id)]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # the turns of the two kinds of words are told from their neighbours
+    kinds = Counter((w[:2], k) for w, (k, n) in lexicon.items() if w and n > 3)
+    purest = sum(max(n for (_, c), n in kinds.items() if c == k) for k in {k for _, k in kinds})
+    assert purest / sum(kinds.values()) > 0.8
+
+
+def test_nothing_learned_and_nothing_at_all(spark):
+    held = next(i for i in range(100) if not _trains(i))
+    only = class_lm.class_scores(spark.createDataFrame([(held, "a b a"), (None, "c")], DOCS)).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in only) == [(2, 0, 0, 0.0, 0.0), (4, 0, 0, 0.0, 0.0)]
+    assert class_lm.class_scores(spark.createDataFrame([], DOCS)).collect() == []
+    empty = class_lm.class_scores(spark.createDataFrame([(1, None), (2, "")], DOCS)).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in empty} == {(1, 1, 2)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=5, max_size=120), st.integers(3, 6))
+def test_exchange_only_gains(tokens, classes):
+    tokens = [0, *tokens]
+    beside = np.zeros((10, 10))
+    for a, b in zip([*tokens[-1:], *tokens], tokens):
+        beside[a, b] += 1
+    begun = np.array([0, 1, *[2 + i % (classes - 2) for i in range(8)]])
+
+    def value(own):
+        one = np.eye(classes)[own]
+        return class_lm.likelihood(one.T @ beside @ one)
+
+    found = class_lm.exchange(beside, begun, 2)
+    assert value(found) >= value(begun) - 1e-6
+    assert found[0] == 0 and found[1] == 1 and (found[2:] > 0).all()
+    # no single move is left that gains
+    for w in range(2, 10):
+        for k in range(1, int(begun.max()) + 1):
+            moved = found.copy()
+            moved[w] = k
+            assert value(moved) <= value(found) + 1e-6
+
+
+def test_rarer_words_gain_most(spark):
+    """The class of a word against the likelihood of its neighbours with every class, on counts without corners."""
+    draw = np.random.default_rng(3)
+    counts = draw.integers(50, 500, (5, 5)).astype(float)
+    near = {f"w{i}": {int(k): int(n) for k, n in zip(draw.permutation(10)[:4], draw.integers(1, 40, 4))} for i in range(40)}
+    rows = [(w, [n * 10 + k]) for w, each in near.items() for k, n in each.items()]
+    df = spark.createDataFrame(rows, "word string, near array<long>").repartition(3)
+    got = {r["word"]: (r["class"], r["n"]) for r in class_lm._assigned(df, counts).collect()}
+
+    def f(x):
+        return x * math.log(x) if x > 0 else 0.0
+
+    for w, each in near.items():
+        n = sum(t for k, t in each.items() if k < 5)
+        gains = {}
+        for k in range(1, 5):
+            gain = 0.0
+            for at, t in each.items():
+                cell = counts[k, at] if at < 5 else counts[at - 5, k]
+                gain += f(cell) - f(cell - t) if k == class_lm.REST else f(cell + t) - f(cell)
+            total = counts[k].sum()
+            gains[k] = gain - 2 * (f(total) - f(total - n) if k == class_lm.REST else f(total + n) - f(total))
+        assert got[w][1] == n
+        assert gains[got[w][0]] == pytest.approx(max(gains.values()))
