@@ -21,24 +21,22 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallywick.llm.bpe import byte_symbols
+from tallywick.llm.bpe import PIECES, byte_symbols
 from tallywick.llm.storage import materialize, open_store, output_folder
 
 #: Bytes of text aligned at once, and bytes whose pairs share a list and a file (one text at least).
-CHUNK, BLOCK = 4 << 20, 16 << 20
-#: Stretches whose ids a worker remembers, and the longest text one may have.
-REMEMBERED = 300_000
-REMEMBERED_CHARS = 48
-
-#: A place where neither vocabulary joins what stands on both sides: before a space between two other characters.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_DOUBLE = re.compile(r"\s\s|\x00")
+CHUNK, BLOCK = 2 << 20, 16 << 20
+#: Texts with a longer word or gap are encoded by a queue of merges, whose time grows in proportion.
+LONG_PIECE = 400
+
+_GAP = re.compile(rf"\s{{{LONG_PIECE}}}")
 _SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -54,59 +52,39 @@ class Pair:
     def __init__(self, byte_level: str, pieces: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.library = Tokenizer.from_file(byte_level)
+        self.library.encode_special_tokens = True
+        self.library.no_truncation()
+        self.library.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         with open(byte_level, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        byte_of = {s: b for b, s in enumerate(byte_symbols())}
+            model = json.load(file)["model"]
+        vocabulary, symbols = model["vocab"], byte_symbols()
+        byte_of = {s: b for b, s in enumerate(symbols)}
         strings = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             strings[i] = bytes(map(byte_of.__getitem__, token))
         self.a_bytes = pa.array(strings, pa.binary())
         self.b_bytes = pa.array([_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())], pa.binary())
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # ids in the order of their merges are ranks, for which there is a faster encoder
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ranked = all(vocabulary[token] == i for i, token in enumerate(made, len(symbols)))
+        ranks = {string: i for i, string in enumerate(strings)}
+        self.a = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranked else None
 
-    def _both(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of stretches that begin with a space; the piece vocabulary puts it there itself."""
-        a = self.a.encode_batch_fast(stretches, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        return [(np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for x, y in zip(a, b)]
+    def _by_a(self, text: str) -> np.ndarray:
+        if self.a is None or _GAP.search(text) or max(map(len, text.split()), default=0) >= LONG_PIECE:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.a.encode_to_numpy(text, disallowed_special=())
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The ids of both vocabularies for each text, a space before it; an empty text has none."""
-        cut = [_stretches(" " + t) if t else [] for t in texts]
-        met = set().union(*cut)
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = met
-        short = [s for s in new if len(s) <= REMEMBERED_CHARS]
-        long = [s for s in new if len(s) > REMEMBERED_CHARS]
-        self.known.update(zip(short, self._both(short)))
-        once = dict(zip(long, self._both(long)))
-        known = self.known.__getitem__
-
-        def ids(stretch):
-            return once.get(stretch) or known(stretch)
-
-        found = [list(map(ids if once else known, stretches)) for stretches in cut]
-        return tuple(_lists([b"".join([pair[side] for pair in pairs]) for pairs in found]) for side in (0, 1))
-
-
-def _stretches(text: str) -> list[str]:
-    if _SPACE in text:  # a character that the pieces write for a space may join one
-        return [text]
-    if _DOUBLE.search(text):
-        return _CUT.split(text)
-    parts = text[1:].split(" ")
-    if len(parts) > 1 and not parts[-1]:  # a space at the end stays with what stands before it
-        parts[-2:] = [parts[-2] + " "]
-    return [" " + part for part in parts]
+        a = [self._by_a(" " + t) if t else np.empty(0, np.uint32) for t in texts]
+        b = self.b.encode(texts, num_threads=1)
+        return _lists(a, np.concatenate(a)), _lists(b, np.fromiter(chain.from_iterable(b), np.int32))
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -114,10 +92,10 @@ def _piece_bytes(piece: str) -> bytes:
     return bytes([int(byte[1], 16)]) if byte else piece.replace(_SPACE, " ").encode()
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
+def _lists(ids: list, flat: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+    np.cumsum([len(i) for i in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
 @lru_cache(maxsize=2)
