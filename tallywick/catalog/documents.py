@@ -5,11 +5,11 @@ from __future__ import annotations
 from tallywick import adapters, schemas
 from tallywick.catalog.incidents import BUILT_SQL
 from tallywick.catalog.registry import YEARS, as_text, dollar_sql, query, sql
-from tallywick.domains import UNSOLVED
+from tallywick.domains import RACES, SEXES, UNSOLVED, WEAPONS
 from tallywick.operators import incidents as inc, market
 from tallywick.plans.market import run_market
 from tallywick.session import scratch_path
-from tallywick.sources import documents, tables
+from tallywick.sources import documents, survey, tables
 
 
 @query("pair_catalog", sql("SELECT * FROM pairs WHERE contains(altname, 'USD')", "pairs"))
@@ -75,6 +75,29 @@ def _(spark, sf):
     return tables.read_cases(spark, path)
 
 
+#: Value labels of the survey files; the generated cases have one weapon beyond the listed ones.
+_LABELS = {
+    "Solved": ["Yes", "No", "Unknown"], "VicSex": SEXES, "OffSex": SEXES, "VicRace": RACES, "OffRace": RACES,
+    "Weapon": [*WEAPONS, "Unlisted"],
+}
+
+
+@query("survey_cases", sql("SELECT * EXCLUDE (county_fips) FROM incidents", "incidents"))
+def _(spark, sf):
+    """Cases written as survey files with value labels, and read back in ranges."""
+    path = scratch_path(spark, "survey")
+    survey.write_survey(adapters.cases(spark, sf), path, _LABELS)
+    return tables.read_survey_cases(spark, path)
+
+
+@query("survey_incidents", sql(BUILT_SQL, "incidents", "codes"))
+def _(spark, sf):
+    """Cases with the county codes of the survey files."""
+    path = scratch_path(spark, "codes")
+    survey.write_survey(adapters.shape(spark, sf, "codes"), path)
+    return inc.build_incidents(adapters.cases(spark, sf), tables.read_survey_codes(spark, path))
+
+
 @query("codes_csv", sql("SELECT * FROM codes", "codes"))
 def _(spark, sf):
     path = scratch_path(spark, "codes")

@@ -12,6 +12,7 @@ from tallywick import schemas
 from tallywick.domains import TITLES
 from tallywick.operators.report import printed_order
 from tallywick.session import side_by_side
+from tallywick.sources.survey import read_survey
 
 
 def read_cases(spark: SparkSession, path: str, multi_line: bool = False, problems: str | None = None) -> DataFrame:
@@ -30,6 +31,16 @@ def read_codes(spark: SparkSession, path: str, multi_line: bool = False, problem
     return _read_text_table(spark, path, schemas.CODES, ",", multi_line, problems)
 
 
+def read_survey_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Case list from survey files, whose value labels are the labels of the exported list."""
+    return read_survey(spark, path, schemas.CASES)
+
+
+def read_survey_codes(spark: SparkSession, path: str) -> DataFrame:
+    """County codes per case from survey files; blanks before and within a code are kept."""
+    return read_survey(spark, path, schemas.CODES)
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """State lookup from a tab-separated file with a header line; every column is text."""
     return _read_text_table(spark, path, schemas.STATES, "\t")
