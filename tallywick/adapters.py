@@ -11,10 +11,13 @@ from the same rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywick.domains import LOOKBACK_WEEKS
 from tallywick.operators.prices import lookback
+from tallywick.sources.boundaries import to_binary
 
 SQL = {
     "incidents": """
@@ -175,6 +178,30 @@ def recent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookback(weekly_bars(spark, sf_dir, start), last_week(spark, sf_dir), LOOKBACK_WEEKS)
 
 
+def boundary_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A county boundary per customer: a square, for every third with a hole, for every seventh with an island."""
+    customers = load(spark, sf_dir, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("GEOID"),
+        F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("STATEFP"),
+        F.col("c_custkey").alias("key"),
+    )
+
+    def square(x: float, side: float) -> np.ndarray:
+        return np.array([(x, 0), (x, side), (x + side, side), (x + side, 0), (x, 0)], float)
+
+    def shape_of(key: int) -> bytes:
+        side = 3 + key % 5
+        outline = [square(key, side)] + ([square(key + 1, 1)[::-1] + [0, 1]] if key % 3 == 0 else [])
+        return to_binary([outline] + ([[square(key + 20, 2)]] if key % 7 == 0 else []))
+
+    def run(batches):
+        for batch in batches:
+            shapes = pa.array(map(shape_of, batch.column(2).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], shapes], names=["GEOID", "STATEFP", "geometry"])
+
+    return customers.mapInArrow(run, "GEOID string, STATEFP string, geometry binary")
+
+
 # --- documents ------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from tallywick.domains import RACES, SEXES, UNSOLVED, WEAPONS
 from tallywick.operators import incidents as inc, market
 from tallywick.plans.market import run_market
 from tallywick.session import scratch_path
-from tallywick.sources import documents, survey, tables
+from tallywick.sources import boundaries, documents, survey, tables
 
 
 @query("pair_catalog", sql("SELECT * FROM pairs WHERE contains(altname, 'USD')", "pairs"))
@@ -98,6 +98,22 @@ def _(spark, sf):
     return inc.build_incidents(adapters.cases(spark, sf), tables.read_survey_codes(spark, path))
 
 
+@query(
+    "boundary_files",
+    """SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS GEOID, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS STATEFP,
+      CAST(CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS INT) AS parts,
+      CAST(5 + CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 0 END AS INT) AS vertices,
+      CAST((3 + c_custkey % 5) * (3 + c_custkey % 5) - CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END
+        + CASE WHEN c_custkey % 7 = 0 THEN 4 ELSE 0 END AS DOUBLE) AS area
+    FROM customer""",
+)
+def _(spark, sf):
+    """Polygons written as boundary files and read back in ranges, with what their rings measure."""
+    path = scratch_path(spark, "boundaries")
+    boundaries.write_boundaries(adapters.boundary_shapes(spark, sf), path)
+    return boundaries.with_measures(boundaries.read_boundaries(spark, path)).drop("geometry")
+
+
 @query("codes_csv", sql("SELECT * FROM codes", "codes"))
 def _(spark, sf):
     path = scratch_path(spark, "codes")

@@ -1,0 +1,102 @@
+"""Boundary files: one made by hand, ranges of any size, and rings against plain geometry."""
+
+import math
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from tallywick.sources import boundaries as b
+
+
+def _square(x, y, side, clockwise=True):
+    ring = [(x, y), (x, y + side), (x + side, y + side), (x + side, y), (x, y)]
+    return np.array(ring if clockwise else ring[::-1], float)
+
+
+def _by_hand(folder):
+    """A square of 4 with a hole of 1, an empty shape, and a deleted row, byte by byte."""
+    points = np.concatenate([_square(0, 0, 4), _square(1, 1, 1, False)])
+    shape = struct.pack("<i4d2i2i", 5, 0, 0, 4, 4, 2, 10, 0, 5) + points.astype("<f8").tobytes()
+    contents, at, body, index = [shape, struct.pack("<i", 0), shape], 100, b"", b""
+    for i, content in enumerate(contents, 1):
+        index += struct.pack(">2i", at // 2, len(content) // 2)
+        body += struct.pack(">2i", i, len(content) // 2) + content
+        at += 8 + len(content)
+
+    def head(size):
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, 5, 0, 0, 4, 4, 0, 0, 0, 0)
+
+    (folder / "x.shp").write_bytes(head(100 + len(body)) + body)
+    (folder / "x.shx").write_bytes(head(100 + len(index)) + index)
+    fields = b"STATEFP".ljust(11, b"\0") + b"C" + bytes(4) + b"\x02\0" + bytes(14) + b"GEOID".ljust(11, b"\0") + b"C" + bytes(4) + b"\x05\0" + bytes(14)
+    table = struct.pack("<4BIHH20x", 3, 95, 1, 1, 3, 33 + 64, 8) + fields + b"\r" + b" 0101001" + b" 02     " + b"*0303003" + b"\x1a"
+    (folder / "x.dbf").write_bytes(table)
+
+
+def test_files_made_by_hand(spark, tmp_path):
+    _by_hand(tmp_path)
+    got = b.with_measures(b.read_boundaries(spark, str(tmp_path), ["GEOID", "STATEFP", "NAME"], split=1)).collect()
+    rows = sorted((r.GEOID, r.STATEFP, r.NAME, r.parts, r.vertices, r.area) for r in got if r.GEOID)
+    assert rows == [("01001", "01", None, 1, 10, 15.0)]
+    assert [(r.STATEFP, r.geometry, r.area) for r in got if not r.GEOID] == [("02", None, None)]
+    whole = next(r.geometry for r in got if r.GEOID)
+    assert whole[:9] == struct.pack("<BII", 1, 3, 2) and len(whole) == 9 + 2 * 4 + 10 * 16
+
+
+SHAPES = [
+    [[_square(0, 0, 9)]],
+    [[_square(0, 0, 9), _square(1, 1, 2, False), _square(5, 5, 2, False)]],
+    [[_square(0, 0, 9), _square(1, 1, 7, False)], [_square(2, 2, 4), _square(3, 3, 1, False)]],  # an island in a lake
+    [[_square(-20, 0, 3)], [_square(1e6, 1e6, 0.5)]],
+]
+
+
+@pytest.mark.parametrize("split", [1, 500, b.SPLIT_BYTES])
+def test_written_and_read_in_ranges(spark, tmp_path, split):
+    rows = [(f"{i:05d}", f"é{i % 3}" if i % 5 else None, b.to_binary(SHAPES[i % 4]) if i % 7 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "GEOID string, STATEFP string, geometry binary").repartition(3)
+    b.write_boundaries(df, str(tmp_path / "s"))
+    assert {p.suffix for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")} == {".shp", ".shx", ".dbf"}
+    got = b.read_boundaries(spark, str(tmp_path / "s"), split=split).collect()
+    assert sorted((r.GEOID, r.STATEFP, r.geometry and bytes(r.geometry)) for r in got) == [tuple(r) for r in rows]
+
+
+def test_outlines_are_turned_when_written(spark, tmp_path):
+    wrong = b.to_binary([[_square(0, 0, 9, False), _square(1, 1, 2)]])
+    df = spark.createDataFrame([("1", "2", wrong)], "GEOID string, STATEFP string, geometry binary")
+    b.write_boundaries(df, str(tmp_path / "s"))
+    got = b.with_measures(b.read_boundaries(spark, str(tmp_path / "s"))).first()
+    assert (got.parts, got.vertices, got.area) == (1, 10, 77.0)
+
+
+def test_no_rows(spark, tmp_path):
+    empty = spark.createDataFrame([], "GEOID string, STATEFP string, geometry binary")
+    b.write_boundaries(empty, str(tmp_path / "s"))
+    assert b.with_measures(b.read_boundaries(spark, str(tmp_path / "s"))).collect() == []
+
+
+def test_other_shapes_are_refused(spark, tmp_path):
+    _by_hand(tmp_path)
+    data = bytearray((tmp_path / "x.shp").read_bytes())
+    data[108] = 3
+    (tmp_path / "x.shp").write_bytes(data)
+    with pytest.raises(Exception, match="no polygons"):
+        b.read_boundaries(spark, str(tmp_path)).collect()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(3, 12), st.floats(0.1, 50), st.floats(-1e6, 1e6))
+def test_area_of_regular_polygons(n, radius, shift):
+    angles = np.arange(n + 1) % n * 2 * math.pi / n
+    ring = np.stack([np.cos(angles), np.sin(angles)], axis=1) * radius + shift
+    assert b.turn(ring) / 2 == pytest.approx(n / 2 * radius**2 * math.sin(2 * math.pi / n), rel=1e-6)
+    assert b._inside(np.array([shift, shift]), ring)
+    assert not b._inside(np.array([shift + 2 * radius, shift]), ring)
+
+
+def test_either_byte_order():
+    ring = _square(0, 0, 1)
+    big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I", 5) + ring.astype(">f8").tobytes()
+    assert np.array_equal(b.from_binary(big)[0][0], ring)
