@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallywick import adapters, schemas
 from tallywick.catalog.incidents import BUILT_SQL
 from tallywick.catalog.registry import YEARS, as_text, dollar_sql, query, sql
@@ -75,6 +77,20 @@ def _(spark, sf):
     return tables.read_cases(spark, path)
 
 
+@query(
+    "cases_csv_broken_lines",
+    sql(
+        "SELECT * EXCLUDE (county_fips) REPLACE (replace(CNTYFIPS, ', ', ',' || chr(10)) AS CNTYFIPS) FROM incidents", "incidents"
+    ),
+)
+def _(spark, sf):
+    """Cases whose county names hold a line break, read in parallel within their files."""
+    path = scratch_path(spark, "cases")
+    broken = adapters.cases(spark, sf).withColumn("CNTYFIPS", F.replace("CNTYFIPS", F.lit(", "), F.lit(",\n")))
+    broken.write.csv(path, header=True, escape='"', nullValue="NA")
+    return tables.read_cases(spark, path, multi_line=True)
+
+
 #: Value labels of the survey files; the generated cases have one weapon beyond the listed ones.
 _LABELS = {
     "Solved": ["Yes", "No", "Unknown"], "VicSex": SEXES, "OffSex": SEXES, "VicRace": RACES, "OffRace": RACES,

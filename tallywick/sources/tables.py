@@ -12,6 +12,7 @@ from tallywick import schemas
 from tallywick.domains import TITLES
 from tallywick.operators.report import printed_order
 from tallywick.session import side_by_side
+from tallywick.sources.quoted import read_quoted
 from tallywick.sources.survey import read_survey
 
 
@@ -20,8 +21,8 @@ def read_cases(spark: SparkSession, path: str, multi_line: bool = False, problem
 
     Quotes inside quotes are doubled, empty fields and ``NA`` are missing, blanks around values are dropped. Values
     that are no numbers become null; ``problems`` names a further column that holds the line of such a row (and of one
-    with too many or too few fields), else null. ``multi_line`` allows line breaks in quotes; a file is then read by
-    one task, so it should be left off for large files.
+    with too many or too few fields), else null. ``multi_line`` allows line breaks in quotes, at the cost of a
+    second pass over the lines; files are still read in parallel (see :mod:`tallywick.sources.quoted`).
     """
     return _read_text_table(spark, path, schemas.CASES, ",", multi_line, problems, trim=True)
 
@@ -60,20 +61,25 @@ def _read_text_table(
     problems: str | None = None,
     trim: bool = False,
 ) -> DataFrame:
-    # columns are found by position in the schema, so a file with another header is an error, not a mix-up
-    rows = spark.read.csv(
-        path,
-        schema=schema if problems is None else f"{schema}, {problems} string",
-        sep=sep,
-        header=True,
-        enforceSchema=False,
-        escape='"',
-        nullValue="NA",
-        multiLine=multi_line,
-        ignoreLeadingWhiteSpace=trim,
-        ignoreTrailingWhiteSpace=trim,
-        columnNameOfCorruptRecord=problems,
-    )
+    if multi_line:
+        rows = read_quoted(
+            spark, path, schema, sep, problems, nullValue="NA",
+            ignoreLeadingWhiteSpace=str(trim).lower(), ignoreTrailingWhiteSpace=str(trim).lower(),
+        )
+    else:
+        # columns are found by position in the schema, so a file with another header is an error, not a mix-up
+        rows = spark.read.csv(
+            path,
+            schema=schema if problems is None else f"{schema}, {problems} string",
+            sep=sep,
+            header=True,
+            enforceSchema=False,
+            escape='"',
+            nullValue="NA",
+            ignoreLeadingWhiteSpace=trim,
+            ignoreTrailingWhiteSpace=trim,
+            columnNameOfCorruptRecord=problems,
+        )
     texts = [name for name, kind in rows.dtypes if kind == "string" and name != problems]
     return rows.withColumns({name: F.nullif(F.col(name), F.lit("")) for name in texts})
 
