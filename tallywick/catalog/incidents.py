@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywick import adapters
-from tallywick.catalog.registry import YEARS, incidents, lookups, query, rounded, sql
+from tallywick.catalog.registry import ORACLES, YEARS, incidents, lookups, query, rounded, sql
 from tallywick.domains import AGE_RANGES, ALL, SOLVED, UNSOLVED
 from tallywick.operators import breaks, incidents as inc
 from tallywick.plans.county_map import MapRequest, map_table, run_map
+from tallywick.plans.summary import add_cases, answer, count_cases, read_summary, update_summary
+from tallywick.session import scratch_path
+from tallywick.sources import tables
 
 HANDGUN, KNIFE, FIRE = "Handgun - pistol, revolver, etc", "Knife or cutting instrument", "Fire"
 VICTIM = {"sex": ["Female", "Male"], "race": ["White", "Black", "Unknown"], "age": ["<1", "10-19", "70+", "Unknown"]}
@@ -163,6 +166,48 @@ def _(spark, sf):
     return run_map(incidents(spark, sf), *lookups(spark, sf), MapRequest((YEARS[0], YEARS[1] + 100), UNSOLVED))
 
 
+def _summary(spark: SparkSession, sf: str) -> str:
+    """A snapshot's summary: two years are counted later than the others, and one of them is cut in two."""
+    snapshot, path = scratch_path(spark, "snapshot"), scratch_path(spark, "summary")
+    cases = incidents(spark, sf)
+    tables.save_incidents(cases.where(F.col("Year") < YEARS[1]), snapshot)
+    update_summary(spark, snapshot, path)
+    late = cases.where(F.col("Year") >= YEARS[1])
+    add_cases(late.where(F.col("Solved") == "Yes"), path)
+    add_cases(late.where(F.col("Solved") != "Yes"), path)
+    return path
+
+
+@query(
+    "summary_counts",
+    sql(
+        f"""SELECT Year, State, CNTYFIPS, county_fips, Solved, Weapon, VicSex, VicRace, {BY_AGE_IN_SQL.format(age='VicAge')} AS VicAgeRange,
+        OffSex, OffRace, {BY_AGE_IN_SQL.format(age='OffAge')} AS OffAgeRange, count(*) AS n_cases FROM incidents GROUP BY ALL""",
+        "incidents",
+    ),
+)
+def _(spark, sf):
+    """The counts of a summary that was brought up to date in steps, with the labels of its ages."""
+    counts = inc.with_age_ranges(count_cases(read_summary(spark, _summary(spark, sf))))
+    return counts.drop("VicAge", "OffAge")
+
+
+_REQUEST = MapRequest(YEARS, ALL, weapon=[HANDGUN, KNIFE], victim=VICTIM)
+
+
+@query("summary_request", ORACLES["map_request"])
+def _(spark, sf):
+    """The request of ``map_request``, answered from the summary."""
+    found = answer(spark, _summary(spark, sf), *lookups(spark, sf), _REQUEST)
+    return rounded(found, "position", digits=6)
+
+
+@query("summary_request_outside", ORACLES["map_request_outside"])
+def _(spark, sf):
+    """Years beyond the data: an empty map, without a job."""
+    return answer(spark, _summary(spark, sf), *lookups(spark, sf), MapRequest((YEARS[0], YEARS[1] + 100), UNSOLVED))
+
+
 # --- legend breaks ----------------------------------------------------------------------------------------
 
 

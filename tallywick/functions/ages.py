@@ -24,6 +24,12 @@ def age_range(age: Column) -> Column:
     return F.coalesce(*[F.when(test, F.lit(label)) for label, test in _bins(age).items()])
 
 
+def age_floor(age: Column) -> Column:
+    """The first age of an age's bin, which is in the same bin; null where :func:`age_range` is."""
+    floors = {"<1": 0, "1-9": 1, "70+": 70, "Unknown": AGE_UNKNOWN} | {f"{low}-{low + 9}": low for low in range(10, 70, 10)}
+    return F.coalesce(*[F.when(test, F.lit(floors[label])) for label, test in _bins(age).items()])
+
+
 def age_in(age: Column, labels: Iterable[str]) -> Column:
     """Same rows as ``age_range(age).isin(labels)``, but as ranges on the stored column.
 

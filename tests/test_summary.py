@@ -1,0 +1,138 @@
+"""Requests answered from the stored summary against the same requests over the cases."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywick.domains import ALL, SOLVED, UNSOLVED
+from tallywick.operators import incidents as inc
+from tallywick.plans import summary as s
+from tallywick.plans.county_map import MapRequest, run_map
+from tallywick.sources import tables
+from tallywick.sources.published import Published
+
+AGES = [0, 1, 9, 10, 19, 69, 70, 554, 555, 998, 999, -1, None]
+
+
+def _cases(incidents, n=400, years=(2000, 2001, 2002, None)):
+    draw = random.Random(7)
+    return incidents(*[
+        {
+            "Year": draw.choice(years), "Solved": draw.choice(["Yes", "No", "Unknown"]), "Weapon": draw.choice(["Rifle", "Fire", None]),
+            "State": draw.choice(["Illinois", "Ohio"]), "VicAge": draw.choice(AGES), "OffAge": draw.choice(AGES),
+            "VicSex": draw.choice(["Male", "Female"]), "CNTYFIPS": draw.choice(["Cook, IL", "Lake, OH", None]),
+            "county_fips": draw.choice(["17031", "39085"]),
+        }
+        for _ in range(n)
+    ])
+
+
+@pytest.fixture(scope="module")
+def lookups(spark):
+    counties = spark.createDataFrame([("17031", "17", "a"), ("39085", "39", "b")], "GEOID string, STATEFP string, geometry string")
+    return counties, spark.createDataFrame([("Illinois", "17", "IL"), ("Ohio", "39", "OH")], "State_Name string, st_fips string, Abbrev string")
+
+
+def _rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def test_every_filter_gives_the_same_totals(spark, incidents, lookups, tmp_path):
+    cases = _cases(incidents).cache()
+    tables.save_incidents(cases, str(tmp_path / "cases"))
+    path = str(tmp_path / "summary")
+    assert s.update_summary(spark, str(tmp_path / "cases"), path) == ["2000", "2001", "2002", "none"]
+    victim = {"sex": ["Male"], "race": ["White"], "age": ["<1", "10-19", "70+", "Unknown"]}
+    offender = {"sex": ["Male"], "race": ["White"], "age": ["1-9", "60-69"]}
+    chosen = list(itertools.product((SOLVED, UNSOLVED, ALL), (None, ["Rifle"]), (None, ["Ohio"]), (None, victim), (None, offender)))
+    chosen = random.Random(2).sample(chosen, 8)  # of 48
+    counts = s.read_summary(spark, path, (2000, 2001)).cache()
+    names = ("solved", "weapon", "state", "victim", "offender")
+    for one in chosen:
+        filters = dict(zip(names, one))
+        want = inc.county_totals(inc.filter_incidents(cases, (2000, 2001), **filters))
+        assert _rows(inc.county_totals(inc.filter_incidents(counts, (2000, 2001), **filters))) == _rows(want)
+    request = MapRequest((2000, 2002), SOLVED, offender=offender)
+    assert _rows(s.answer(spark, path, *lookups, request)) == _rows(run_map(cases, *lookups, request))
+
+
+def test_no_case_is_read(spark, incidents, lookups, tmp_path):
+    tables.save_incidents(_cases(incidents), str(tmp_path / "cases"))
+    path = str(tmp_path / "summary")
+    s.update_summary(spark, str(tmp_path / "cases"), path)
+    found = s.answer(spark, path, *lookups, MapRequest((2001, 2001), UNSOLVED))
+    files = found.inputFiles()
+    assert files and all("/summary/runs/" in f and "Year=2001" in f for f in files)
+    outside = s.answer(spark, path, *lookups, MapRequest((1990, 2001), UNSOLVED))
+    assert outside.collect() == [] and outside.inputFiles() == []
+    assert s.answer(spark, str(tmp_path / "nothing"), *lookups, MapRequest((2001, 2001))).collect() == []
+
+
+def test_only_changed_years_are_counted(spark, incidents, tmp_path):
+    snapshot, path = str(tmp_path / "cases"), str(tmp_path / "summary")
+    cases = _cases(incidents, years=(2000, 2001)).cache()
+    tables.save_incidents(cases, snapshot)
+    assert s.update_summary(spark, snapshot, path) == ["2000", "2001"]
+    assert s.update_summary(spark, snapshot, path) == []
+    before = {part: entry["runs"] for part, entry in Published(path).parts().items()}
+    more = _cases(incidents, 30, (2001, 2003)).cache()
+    more.write.mode("append").partitionBy("Year").parquet(snapshot)
+    assert s.update_summary(spark, snapshot, path) == ["2001", "2003"]
+    after = {part: entry["runs"] for part, entry in Published(path).parts().items()}
+    assert after["2000"] == before["2000"] and after["2001"] != before["2001"]
+    assert _rows(s.count_cases(s.read_summary(spark, path))) == _rows(s.count_cases(cases.unionByName(more)))
+    # a year whose folder is gone is no longer answered
+    for folder in (tmp_path / "cases").glob("Year=2003"):
+        folder.rename(tmp_path / "gone")
+    assert s.update_summary(spark, snapshot, path) == []
+    assert s.covered_years(path) == (2000, 2001)
+
+
+def test_new_cases_add_to_the_counts(spark, incidents, tmp_path):
+    path = str(tmp_path / "summary")
+    parts = [_cases(incidents, n, years).cache() for n, years in ((40, (2000, None)), (30, (2000, 2001)), (1, (2005,)))]
+    for part in parts:
+        s.add_cases(part, path)
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert _rows(s.count_cases(s.read_summary(spark, path))) == _rows(s.count_cases(whole))
+    assert s.count_cases(whole).agg(F.sum("n_cases")).first()[0] == 71
+
+
+def test_an_update_that_stops_changes_nothing(spark, incidents, tmp_path, monkeypatch):
+    snapshot, path = str(tmp_path / "cases"), str(tmp_path / "summary")
+    tables.save_incidents(_cases(incidents, 50, (2000,)), snapshot)
+    s.update_summary(spark, snapshot, path)
+    before = _rows(s.read_summary(spark, path))
+    _cases(incidents, 9, (2000,)).write.mode("append").partitionBy("Year").parquet(snapshot)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Published, "commit", stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            s.update_summary(spark, snapshot, path)
+    assert _rows(s.read_summary(spark, path)) == before
+    assert len(Published(path).unused()) == 1
+
+
+def test_pointers(tmp_path):
+    store = Published(str(tmp_path))
+    assert store.parts() == {} and store.unused() == []
+    store.commit({"a": {"runs": ["1"]}, "b": {"runs": ["2"]}})
+    store.add({"a": {"runs": ["3"]}})
+    assert store.parts()["a"]["runs"] == ["1", "3"]
+    store.commit({"b": None})
+    assert set(store.parts()) == {"a"}
+    store.commit({"c": {"runs": ["4"]}}, replace=True)
+    assert set(store.parts()) == {"c"}
+    # a number is taken once
+    from tallywick.sources import published
+
+    folder, newest = str(tmp_path / "_pointers"), store._newest()[0]
+    fs = store._folder()[0]
+    assert published._claimed(fs, f"{folder}/_claim-{newest + 1:012d}", "x")
+    assert not published._add(fs, folder, newest + 1, b"{}")
+    assert not published._add(fs, folder, newest, b"{}")
