@@ -57,10 +57,13 @@ class Model:
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> list[tuple[str, str]]:
     """``(language, piece)`` rows for learning: a bounded number per language, chosen by a hash of the text.
 
-    Copies of a text, and texts of one piece, take one place, so the number is of different pieces.
+    Copies of a text, and texts of one piece, take one place, so the number is of different pieces. A piece is from
+    anywhere in its text; where, the text's hash says.
     """
     order = F.xxhash64(docs[text]) if order is None else order
-    pieces = docs.select(docs[lang].alias("lang"), F.substring(docs[text], 1, SAMPLE_PIECE).alias("piece"), order.alias("o"))
+    start = F.pmod(F.xxhash64(F.lit("start"), docs[text]), F.greatest(F.char_length(docs[text]) - SAMPLE_PIECE + 1, F.lit(1)))
+    piece = F.substring(docs[text], (start + 1).cast("int"), F.lit(SAMPLE_PIECE))
+    pieces = docs.select(docs[lang].alias("lang"), piece.alias("piece"), order.alias("o"))
     pieces = pieces.where(F.col("lang").isNotNull() & (F.char_length("piece") > 0))
     # the places are chosen by hashes, so only the chosen pieces move; copies merge inside each task first
     pieces = pieces.withColumn("h", F.xxhash64("piece"))
@@ -245,6 +248,12 @@ def learned_from(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose language can be told, with their own columns; those predicted ``und`` go."""
-    found = identify(docs, learned_from(docs, text, lang, doc_id), text)
+    """The documents whose language can be told, with their own columns; null texts and those without a letter go.
+
+    So do no others if nothing could be learned, as without a labelled text.
+    """
+    model = learned_from(docs, text, lang, doc_id)
+    if not model.languages:
+        return docs.where(docs[text].rlike(r"\p{L}"))
+    found = identify(docs, model, text)
     return found.where(F.col(found.columns[-2]) != UNDETERMINED).select(*own_columns(docs))

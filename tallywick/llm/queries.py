@@ -82,22 +82,21 @@ _WORDS = r"string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^
 @_query(
     "op8_benchmark_decontamination",
     f"""
-WITH doc_words AS (
-  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place
-  FROM (SELECT doc_id, {_WORDS} AS words FROM documents) d WHERE len(words) >= {decontaminate.NEED}),
+WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+doc_words AS (SELECT doc_id, len(words) AS doc_size, unnest(words) AS word, unnest(range(len(words))) AS place FROM docs),
 items AS (
-  SELECT min(item_id) AS item_id, words FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) b
-  WHERE len(words) >= {decontaminate.NEED} GROUP BY words),
-item_words AS (SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM items),
+  SELECT min(item_id) AS item_id, words, least(len(words), {decontaminate.NEED}) AS need
+  FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) b WHERE words <> [''] GROUP BY words),
+item_words AS (SELECT item_id, need, unnest(words) AS word, unnest(range(len(words))) AS place FROM items),
 agree AS (
-  SELECT doc_id, item_id, d.place - i.place AS shift, i.place AS place
-  FROM doc_words d JOIN item_words i ON d.word = i.word),
+  SELECT doc_id, item_id, need, d.place - i.place AS shift, i.place AS place
+  FROM doc_words d JOIN item_words i ON d.word = i.word WHERE need >= {decontaminate.SHORTEST} OR need = doc_size),
 windows AS (
-  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place
+  SELECT doc_id, item_id, need, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place
     RANGE BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS n
   FROM (SELECT DISTINCT * FROM agree) a)
 SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS agreeing FROM windows
-WHERE n >= {decontaminate.NEED} GROUP BY doc_id, item_id""",
+WHERE n >= need GROUP BY doc_id, item_id""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

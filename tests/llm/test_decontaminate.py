@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallywick.llm import decontaminate as d
@@ -37,7 +38,7 @@ def _tables(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [text(n) for n in (9, 10, 12, 14, 20, 40, 60, 15)]
+    items = [text(n) for n in (9, 10, 12, 14, 20, 40, 60, 15, 5, 7, 4, 2, 1)]
     docs = [text(rng.randint(0, 120)) for _ in range(30)]
     for k in range(60):
         item = list(rng.choice(items))
@@ -46,10 +47,14 @@ def _tables(spark):
         for i in rng.sample(range(len(part)), rng.randint(0, len(part) // 4)):
             part[i] = "substituted"
         docs.append(text(rng.randint(0, 30)) + part + text(rng.randint(0, 30)))
+    docs += [items[8], ["x", *items[9], "y"], items[9][:-1], items[10], items[10] + ["more"], items[11], items[12]]
     return items, docs
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("block", [d.BLOCK_WORDS, 10])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_WORDS", block)
+    monkeypatch.setattr(d, "BITS", 1 << 10)
     items, docs = _tables(spark)
     doc_rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(docs)]
     doc_rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "... !!", "en", "s", 0)]
@@ -59,7 +64,7 @@ def test_against_brute_force(spark):
     expected = {}
     for i, doc in enumerate(docs):
         for j, item in enumerate(items):
-            if len(item) >= d.NEED and len(doc) >= d.NEED and (most := _most(doc, item)) >= d.NEED:
+            if (most := _most(doc, item)) >= min(d.NEED, len(item)) and (len(item) >= d.SHORTEST or len(doc) == len(item)):
                 expected[i, j] = most
     assert len(expected) > 20 and found == expected
 
@@ -84,6 +89,21 @@ def test_keep_clean(spark):
     assert sorted((r.text or "" for r in got.collect())) == sorted(t or "" for i, t in rows if passage not in (t or ""))
 
 
+def test_repetitive_texts_need_bounded_memory(spark):
+    """Every word of the one meets every word of the other: 80 million hits, 24,000 ways to lie over each other."""
+    docs = spark.createDataFrame([(1, "ab " * 20_000), (2, "ab cd " * 3_000), (3, "cd")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ab " * 4_096), (2, "cd ab " * 6)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.agreeing for r in d.overlaps(docs, items).collect()}
+    assert found == {(1, 1): 12, (2, 2): 12}
+
+
+def test_place_is_where_the_item_begins(spark):
+    words = [f"q{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(words)), (2, " ".join(words[2:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.place, r.agreeing) for r in d.overlaps(docs, items).collect()} == {(1, 3, 12), (2, 0, 10)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", "en", "s", 0)], DOCS)

@@ -112,3 +112,18 @@ def test_keep_identified(spark, documents):
     got = language.keep_identified(documents.unionByName(extra))
     assert got.columns == documents.columns and got.count() == documents.count()
     assert language.keep_identified(documents.limit(0)).count() == 0
+
+
+def test_texts_stay_if_nothing_was_learned(spark):
+    rows = [(i, f"plain english words number {i}", None, "s", 0) for i in range(20)] + [(90, None, None, "s", 0), (91, "12 34", None, "s", 0)]
+    got = language.keep_identified(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+
+
+def test_sampled_pieces_come_from_anywhere(spark):
+    long = "".join(f"{i:07d}" for i in range(20_000))
+    rows = [(i, long[i * 1_000 :], "xx", "s", 0) for i in range(40)]
+    pieces = [piece for _, piece in language.sample(spark.createDataFrame(rows, DOCS))]
+    assert all(len(p) == language.SAMPLE_PIECE and p in long for p in pieces)
+    starts = [p not in {r[1][: language.SAMPLE_PIECE] for r in rows} for p in pieces]
+    assert sum(starts) > 30

@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "bpe"]
-    assert len(queries.QUERIES) == 10 and {*queries.QUERIES, "pipeline"} <= set(entry.queries())
+    assert len(queries.QUERIES) == 13 and {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
 def test_against_memory(spark):
@@ -67,7 +67,7 @@ def test_stages_return_the_documents_columns(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert check.compare(spark, connection, SF, name).startswith("ok")
 
