@@ -11,6 +11,7 @@ from tallywick.domains import CHART_RACE, RACES, RECENT_CHART_RACE, SEXES, WEAPO
 from tallywick.operators import incidents as inc, report
 from tallywick.plans.state_report import facts, run_report
 from tallywick.session import scratch_path
+from tallywick.sources import tables
 
 
 @query("report_states", sql("SELECT State FROM incidents WHERE State NOT IN ('District of Columbia', 'PAPSP8') GROUP BY State", "incidents"))
@@ -324,8 +325,8 @@ def _spread(table: DataFrame, name: str, keys: list[str], values: list[str]) ->
     ),
 )
 def _(spark, sf):
-    """Writes all report tables and reads every value back."""
+    """Publishes all report tables and reads every value back."""
     path = scratch_path(spark, "report")
     written = run_report(incidents(spark, sf), *lookups(spark, sf), path, YEARS)
-    back = {name: spark.read.schema(table.schema).parquet(f"{path}/{name}") for name, table in written.items()}
+    back = {name: tables.read_report_table(spark, path, name) for name in written}
     return reduce(DataFrame.union, (_spread(table, name, *_WRITTEN[name][1:]) for name, table in back.items()))

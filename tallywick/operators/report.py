@@ -249,17 +249,22 @@ def county_year_counts(df: DataFrame, max_year: int | None = None) -> DataFrame:
 
 
 def county_by_year(
-    df: DataFrame, max_year: int | None = None, last_year: int | None = None, missing_county: str | None = None
+    df: DataFrame,
+    max_year: int | None = None,
+    last_year: int | None = None,
+    missing_county: str | None = None,
+    seen: tuple[int | None, int | None] | None = None,
 ) -> DataFrame:
     """:func:`county_year_counts` with one column per year (``y2017`` ...), absent years 0, and the row total.
 
-    There is no upper year limit, so the columns run to the last year of the data. Unless ``last_year`` is
-    given, one aggregate over ``df`` finds it first, so give cells rather than rows. ``missing_county`` names a county without a name.
+    There is no upper year limit, so the columns run to the last year of the data. Unless ``last_year`` or ``seen``, the
+    data's first and last year, is given, one aggregate over ``df`` finds them first, so give cells rather than rows.
+    ``missing_county`` names a county without a name.
     """
     if max_year is None or last_year is None:
-        seen = df.agg(F.min("Year").alias("lo"), F.max("Year").alias("hi")).first()
-        last_year = seen["hi"] if last_year is None else last_year
-        first_year = seen["lo"] if max_year is None else max_year - RECENT_YEARS
+        first, last = seen or df.agg(F.min("Year"), F.max("Year")).first()
+        last_year = last if last_year is None else last_year
+        first_year = first if max_year is None else max_year - RECENT_YEARS
     else:
         first_year = max_year - RECENT_YEARS
     counts = county_year_counts(df, max_year)

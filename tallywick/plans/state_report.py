@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tallywick.domains import NOT_REPORTED
 from tallywick.operators import report as r
 from tallywick.session import materialize_all
-from tallywick.sources.tables import write_report_tables
+from tallywick.sources.tables import publish_report
 
 
 def facts(people: DataFrame, overview: DataFrame, counts: DataFrame, years: r.Years = None) -> DataFrame:
@@ -16,9 +16,14 @@ def facts(people: DataFrame, overview: DataFrame, counts: DataFrame, years: r.Ye
 
 
 def report_tables(
-    people: DataFrame, places: DataFrame, counties: DataFrame, states: DataFrame, years: r.Years = None
+    people: DataFrame,
+    places: DataFrame,
+    counties: DataFrame,
+    states: DataFrame,
+    years: r.Years = None,
+    seen: tuple[int | None, int | None] | None = None,
 ) -> dict[str, DataFrame]:
-    """Every table of the report by name, from the two cell tables.
+    """Every table of the report by name, from the two cell tables; ``seen`` are the first and last year of ``places``.
 
     The few summaries that several tables start from, a row per state or county, are written out first.
     """
@@ -52,7 +57,7 @@ def report_tables(
         "recent_counts": shared["recent_counts"],
         "recent_race_sex": recent,
         "recent_race_sex_table": r.unsolved_race_sex_wide(recent),
-        "county_by_year": r.county_by_year(places, max_year),
+        "county_by_year": r.county_by_year(places, max_year, seen=seen),
     }
 
 
@@ -66,10 +71,11 @@ def run_report(
     format: str = "parquet",
     titles: bool = False,
 ) -> dict[str, DataFrame]:
-    """Writes every report table below ``path``, one folder per table and state, rows in printed order.
+    """Publishes every report table below ``path``, one folder per table and state, rows in printed order.
 
-    A run replaces what an earlier one wrote there, or with ``only_states`` these states' folders only, also of
-    tables in which a state now has no rows.
+    A run replaces what an earlier one published there, or with ``only_states`` these states' rows only, also of
+    tables in which a state now has no rows. A run that stops half-way replaces nothing; see ``publish_report`` and
+    ``read_report_table``.
 
     The incidents of the years in question are read twice, each time with the columns of one cell table
     only. The cells are written to the shared folder, so all tables start from small files, also after the
@@ -84,7 +90,11 @@ def run_report(
     if years is not None:
         # nothing in a report is older than its range or its recent years
         wanted = wanted.filter(F.col("Year") >= min(years[0], years[1] - r.RECENT_YEARS))
-    cells = materialize_all({"people": r.people_cells(wanted, years), "places": r.place_cells(wanted)})
-    tables = report_tables(cells["people"], cells["places"], counties, states, years)
-    write_report_tables(tables, path, format, titles, only_states)
+    # the years are seen while the cells are written
+    watch = Observation()
+    places = r.place_cells(wanted).observe(watch, F.min("Year").alias("first"), F.max("Year").alias("last"))
+    cells = materialize_all({"people": r.people_cells(wanted, years), "places": places})
+    seen = watch.get["first"], watch.get["last"]
+    tables = report_tables(cells["people"], cells["places"], counties, states, years, seen)
+    publish_report(tables, path, format, titles, only_states)
     return tables

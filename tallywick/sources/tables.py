@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallywick import schemas
 from tallywick.domains import TITLES
 from tallywick.operators.report import printed_order
 from tallywick.session import side_by_side
+from tallywick.sources.published import Published
 from tallywick.sources.quoted import read_quoted
+from tallywick.sources.ranges import NewFile, open_range
 from tallywick.sources.survey import read_survey
 
 
@@ -107,37 +111,62 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def write_report_tables(
+_REPORT = "_report.json"
+#: The part of a report that stands for all states without a part of their own.
+_OTHER_STATES = "*"
+
+
+def publish_report(
     tables: Mapping[str, DataFrame],
     path: str,
     format: str = "parquet",
     titles: bool = False,
     only_states: Sequence[str] | None = None,
 ) -> None:
-    """Each table to its own folder, split by state, in printed order, with the printed titles if wanted.
+    """Writes a run of all tables, split by state, in printed order, with the printed titles if wanted; then publishes it.
 
-    Writing again replaces the tables, or with ``only_states`` the folders of these states and no others.
+    Readers see the tables of before until every table is written, and those of now from then on: all of them, or with
+    ``only_states`` these states', also of tables in which a state now has no rows.
     """
+    store = Published(path)
+    run = store.new_run()
+    folder = store.run_folder(run)
 
-    def write(name: str) -> None:
+    def write(name: str) -> str:
         table = tables[name] if format == "parquet" else _as_text(tables[name])
         ordered = table.repartition("State").sortWithinPartitions("State", *printed_order(name))
         rows = with_titles(ordered, name) if titles else ordered
-        if only_states is not None:
-            _remove_states(table.sparkSession, f"{path}/{name}", only_states)
-        writer = rows.write.format(format).mode("overwrite" if only_states is None else "append")
-        writer.option("header", True).option("partitionOverwriteMode", "static").partitionBy("State").save(f"{path}/{name}")
-
-    side_by_side({name: partial(write, name) for name in tables})
-
-
-def _remove_states(spark: SparkSession, path: str, states: Sequence[str]) -> None:
-    """Deletes these states' folders, wherever the path's file system is."""
-    jvm = spark._jvm
-    for state in states:
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(state)
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/State={name}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        rows.write.format(format).option("header", True).partitionBy("State").save(f"{folder}/{name}")
+        return rows.schema.json()
+
+    schemas_of = side_by_side({name: partial(write, name) for name in tables})
+    about = NewFile(folder, _REPORT)
+    about.write(json.dumps({"format": format, "schemas": schemas_of}).encode())
+    about.close()
+    entry = {"runs": [run], "note": None}
+    store.commit({state: entry for state in only_states or [_OTHER_STATES]}, replace=only_states is None)
+
+
+def read_report_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the published report; each state from the run that last wrote it."""
+    store = Published(path)
+    runs: dict[str, list[str]] = {}
+    for state, entry in store.parts().items():
+        runs.setdefault(entry["runs"][0], []).append(state)
+    if not runs:
+        raise ValueError(f"no report is published in {path}")
+    named = [state for states in runs.values() for state in states if state != _OTHER_STATES]
+    found = []
+    for run, states in sorted(runs.items(), key=lambda r: _OTHER_STATES not in r[1]):
+        folder = store.run_folder(run)
+        with open_range(f"{folder}/{_REPORT}") as source:
+            about = json.loads(source.read().decode())
+        schema = StructType.fromJson(json.loads(about["schemas"][name]))
+        rows = spark.read.format(about["format"]).schema(schema).option("header", True).load(f"{folder}/{name}")
+        mine = F.col("State").isin(*states)
+        found.append(rows.where(mine | ~F.col("State").isin(*named) if _OTHER_STATES in states else mine))
+    # a county table has a column for each year of its run
+    return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), found)
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -155,12 +184,15 @@ def with_titles(df: DataFrame, table: str) -> DataFrame:
 def printed_average_table(table: DataFrame, asset_tick: str) -> DataFrame:
     """One asset's averages as printed: only the columns of its tier, the overall one named after its weeks.
 
-    Looks up the asset's row for these names; without one, as for an asset without a tier, the result is
-    empty.
+    One job finds the asset's rows, a row for each listing of its ticker, and with them these names; without one, as
+    for an asset without a tier, the result is empty.
     """
     one = table.filter(F.col("asset_tick") == asset_tick)
-    row = one.first()
-    shown = [name for name in ("avg_50", "avg_100") if row is not None and row[name] is not None]
-    overall = "avg_overall" if row is None else row["overall_title"]
-    named = one.select("asset", "current_price", *shown, F.col("avg_overall").alias(overall))
-    return with_titles(named, "average_table")
+    rows = one.collect()
+    first = rows[0] if rows else None
+    shown = [name for name in ("avg_50", "avg_100") if first is not None and first[name] is not None]
+    overall = "avg_overall" if first is None else first["overall_title"]
+    wanted = ["asset", "current_price", *shown, "avg_overall"]
+    schema = StructType([one.schema[name] for name in wanted])
+    found = table.sparkSession.createDataFrame([tuple(row[name] for name in wanted) for row in rows], schema)
+    return with_titles(found.withColumnRenamed("avg_overall", overall), "average_table")

@@ -102,9 +102,9 @@ def report_inputs(spark, incidents):
 def test_report_folders(spark, report_inputs, tmp_path):
     tables = run_report(*report_inputs, str(tmp_path / "all"))
     for name in tables:
-        states = {row.State for row in spark.read.parquet(str(tmp_path / "all" / name)).select("State").collect()}
+        states = {row.State for row in t.read_report_table(spark, str(tmp_path / "all"), name).select("State").collect()}
         assert states == {"Illinois", "Ohio"}, name
-    facts = {row.State: row for row in spark.read.parquet(str(tmp_path / "all" / "facts")).collect()}
+    facts = {row.State: row for row in t.read_report_table(spark, str(tmp_path / "all"), "facts").collect()}
     assert (facts["Illinois"].min_year, facts["Illinois"].max_year, facts["Illinois"].clear_rate) == (2010, 2012, 50.0)
 
 
@@ -115,11 +115,11 @@ def test_report_of_chosen_states_as_csv(spark, report_inputs, tmp_path):
     run_report(df, counties, states, path, years=(2009, 2011), format="csv")
     # a second run for one state replaces that state only
     run_report(df.filter("State <> 'Ohio'"), counties, states, path, years=(2009, 2011), only_states=["Illinois"], format="csv")
-    back = spark.read.csv(f"{path}/top_counties", header=True).collect()
+    back = t.read_report_table(spark, path, "top_counties").collect()
     assert sorted((row.State, row.county, row.unsolved) for row in back) == [
-        ("Illinois", "Cook, IL", "1"), ("Ohio", "Lake, OH", "1"),
+        ("Illinois", "Cook, IL", 1), ("Ohio", "Lake, OH", 1),
     ]
-    shapes = spark.read.csv(f"{path}/county_map", header=True).collect()
+    shapes = t.read_report_table(spark, path, "county_map").collect()
     assert {(row.State, row.geometry) for row in shapes} == {("Illinois", "YQ=="), ("Ohio", "Yg==")}
 
 
@@ -127,10 +127,13 @@ def test_titles(spark, report_inputs, tmp_path):
     table = r.all_counties_table(r.county_unsolved(report_inputs[0]))
     assert t.with_titles(table, "all_counties").columns == ["State", "County", "Unsolved Homicide Count"]
     run_report(*report_inputs, str(tmp_path / "titled"), years=(2009, 2011), format="csv", titles=True)
-    by_year = spark.read.csv(str(tmp_path / "titled" / "county_by_year"), header=True)
-    assert by_year.columns == ["County", "2008", "2009", "2010", "2011", "2012", "Unsolved Total", "State"]
-    weapons = spark.read.csv(str(tmp_path / "titled" / "weapons"), header=True)
-    assert weapons.columns == ["Murder Weapon", "Count", "Percent of Unsolved", "State"]
+    by_year = t.read_report_table(spark, str(tmp_path / "titled"), "county_by_year")
+    assert sorted(by_year.columns) == sorted(["County", "2008", "2009", "2010", "2011", "2012", "Unsolved Total", "State"])
+    weapons = t.read_report_table(spark, str(tmp_path / "titled"), "weapons")
+    assert sorted(weapons.columns) == sorted(["Murder Weapon", "Count", "Percent of Unsolved", "State"])
+    # each file has its titles
+    folder = next((tmp_path / "titled" / "runs").iterdir()) / "weapons"
+    assert spark.read.csv(str(folder), header=True).columns == ["Murder Weapon", "Count", "Percent of Unsolved", "State"]
 
 
 def test_partitions_grow_with_the_input():
@@ -182,27 +185,53 @@ def test_reports_replace_earlier_ones(spark, incidents, report_inputs, tmp_path)
         path = str(tmp_path / ("some" if only else "every"))
         run_report(df, counties, states, path, years=(2000, 2001))
         run_report(df, counties, states, path, years=(2009, 2010), only_states=only)
-        weapons = spark.read.schema("State string, weapon string, count bigint").parquet(f"{path}/weapons")
+        weapons = t.read_report_table(spark, path, "weapons")
         assert {row.State for row in weapons.collect()} == (set() if only is None else {"Ohio"})
-        facts = spark.read.parquet(f"{path}/facts").filter("State = 'Illinois'").collect()
+        facts = t.read_report_table(spark, path, "facts").filter("State = 'Illinois'").collect()
         assert [row.unsolved for row in facts] == [0]
 
 
+def test_a_run_that_stops_leaves_the_report_of_before(spark, incidents, report_inputs, tmp_path, monkeypatch):
+    _, counties, states = report_inputs
+    path = str(tmp_path / "report")
+    run_report(incidents({"Year": 2010}), counties, states, path)
+    before = t.read_report_table(spark, path, "facts").collect()
+    written = []
+
+    def stop(table):
+        written.append(table)
+        if len(written) > 5:
+            raise RuntimeError("stopped")
+        return []
+
+    with monkeypatch.context() as patched:
+        patched.setattr(t, "printed_order", stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run_report(incidents({"Year": 2010}, {"Year": 2011, "Solved": "Yes"}), counties, states, path)
+    assert t.read_report_table(spark, path, "facts").collect() == before
+    assert len(t.Published(path).unused()) == 1
+    run_report(incidents({"Year": 2012}), counties, states, path, only_states=["Illinois"])
+    after = t.read_report_table(spark, path, "county_by_year").collect()
+    assert [(row.y2012, row.unsolved_total) for row in after] == [(1, 1)]
+    with pytest.raises(ValueError, match="no report"):
+        t.read_report_table(spark, str(tmp_path / "nothing"), "facts")
+
+
 def test_no_report_for_places_without_one(spark, report_inputs, tmp_path):
     df, counties, states = report_inputs
     counties = counties.unionByName(spark.createDataFrame([("11001", "11", "c")], counties.schema))
     states = states.unionByName(spark.createDataFrame([("District of Columbia", "11", "DC")], states.schema))
     run_report(df, counties, states, str(tmp_path))
-    assert {row.State for row in spark.read.parquet(str(tmp_path / "county_map")).collect()} == {"Illinois", "Ohio"}
+    assert {row.State for row in t.read_report_table(spark, str(tmp_path), "county_map").collect()} == {"Illinois", "Ohio"}
 
 
 def test_files_are_in_printed_order(spark, incidents, report_inputs, tmp_path):
     _, counties, states = report_inputs
     rows = [{"CNTYFIPS": f"c{i:02d}", "Weapon": ["Fire", "Rifle", "Poison - does not include gas"][i % 3 if i % 2 else 0]} for i in range(9) for _ in range(1 + i * 7 % 5)]
     run_report(incidents(*rows), counties, states, str(tmp_path), titles=True, format="csv")
-    weapons = [float(row["Percent of Unsolved"]) for row in spark.read.csv(str(tmp_path / "weapons"), header=True).collect()]
+    weapons = [row["Percent of Unsolved"] for row in t.read_report_table(spark, str(tmp_path), "weapons").collect()]
     assert weapons == sorted(weapons, reverse=True) and weapons[0] > weapons[1]
-    listed = [(-int(row["Unsolved Homicide Count"]), row.County) for row in spark.read.csv(str(tmp_path / "all_counties"), header=True).collect()]
+    listed = [(-row["Unsolved Homicide Count"], row.County) for row in t.read_report_table(spark, str(tmp_path), "all_counties").collect()]
     assert listed == sorted(listed) and len(listed) == 9
-    mapped = spark.read.csv(str(tmp_path / "county_map"), header=True)
+    mapped = t.read_report_table(spark, str(tmp_path), "county_map")
     assert "County Unsolved" in mapped.columns
