@@ -163,6 +163,18 @@ def weekly_bars(spark: SparkSession, sf_dir: str, since: Column | None = None) -
     )
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a trade of one of three assets, which hold a third of them each."""
+    flag = F.col("l_returnflag")
+    return load(spark, sf_dir, "lineitem").select(
+        F.coalesce(*[F.when(flag == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()]).alias("asset"),
+        F.to_date("l_shipdate").alias("ts"),
+        F.col("l_extendedprice").alias("close"),
+        "l_orderkey",
+        "l_linenumber",
+    )
+
+
 def last_week(spark: SparkSession, sf_dir: str) -> Column:
     """The latest week of the line items, as a subquery."""
     week = F.trunc(F.to_date(F.max("l_shipdate")), "week")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallywick import adapters
-from tallywick.catalog.registry import as_text, dollar_sql, query, sql
+from tallywick.catalog.registry import as_text, dollar_sql, query, rounded, sql
 from tallywick.functions.times import in_zone
 from tallywick.operators import prices
+from tallywick.operators.quantiles import quantiles
 from tallywick.plans.averages import run_averages
 from tallywick.sources.tables import printed_average_table
 
 
+QUANTILES = (0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0)
+
+
 def _closes(bars: DataFrame) -> DataFrame:
     return bars.select("asset", "ts", "close")
 
@@ -39,6 +43,34 @@ def _(spark, sf):
     return as_text(prices.week_numbers(bars, newest_first=False), "ts")
 
 
+@query(
+    "trade_numbers",
+    sql(
+        """SELECT asset, CAST(ts AS VARCHAR) AS ts, close, l_orderkey, l_linenumber,
+        row_number() OVER (PARTITION BY asset ORDER BY ts DESC, close DESC, l_orderkey DESC, l_linenumber DESC) AS bar_number,
+        count(*) OVER (PARTITION BY asset) AS bar_count
+        FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'XXBTZUSD' WHEN 'N' THEN 'XETHZUSD' WHEN 'R' THEN 'XLTCZUSD' END AS asset,
+          CAST(l_shipdate AS DATE) AS ts, l_extendedprice AS close, l_orderkey, l_linenumber FROM lineitem) t"""
+    ),
+)
+def _(spark, sf):
+    """Every single trade numbered within its asset; three assets hold a third of all trades each."""
+    numbered = prices.bar_numbers(adapters.trades(spark, sf), ties=("l_orderkey", "l_linenumber"))
+    return as_text(numbered, "ts")
+
+
+@query(
+    "price_quantiles",
+    " UNION ALL ".join(
+        f"SELECT CAST({p} AS DOUBLE) AS prob, round(quantile_cont(l_extendedprice, {p}), 6) AS value FROM lineitem"
+        for p in QUANTILES
+    ),
+)
+def _(spark, sf):
+    """Exact quantiles over all line items."""
+    return rounded(quantiles(adapters.load(spark, sf, "lineitem"), "l_extendedprice", QUANTILES), "value", digits=6)
+
+
 @query(
     "trailing_averages",
     sql(

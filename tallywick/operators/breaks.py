@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallywick.operators.quantiles import quantiles
+
 # fixed values of the "pretty" rule: a step may overshoot the raw step by these factors
 _BIAS = 1.5
 _BIAS_5 = 0.5 + 1.5 * _BIAS
@@ -77,17 +79,12 @@ def legend_breaks_bin(df: DataFrame, cuts: str) -> DataFrame:
 def legend_breaks_quantile(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles at ``probs`` and halfway between neighbours, as rows ``(kind, prob, value)``.
 
-    Linear interpolation, nulls ignored. The exact quantile keeps one counter per distinct value, so feed
-    it counted data such as county totals.
+    Linear interpolation, nulls ignored; see :func:`quantiles` for columns of any size.
     """
     mids = [(a + b) / 2 for a, b in zip(probs, probs[1:])]
-    entries = [("cut", p) for p in probs] + [("mid", p) for p in mids]
-    values = df.agg(F.percentile(column, [p for _, p in entries]).alias("q"))
-    rows = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("prob"), F.col("q")[i].alias("value"))
-        for i, (kind, p) in enumerate(entries)
-    ])
-    return values.select(F.inline(rows))
+    entries = [("cut", float(p)) for p in probs] + [("mid", float(p)) for p in mids]
+    kinds = df.sparkSession.createDataFrame(entries, "kind string, prob double")
+    return kinds.join(quantiles(df, column, [p for _, p in entries]), "prob").select("kind", "prob", "value").orderBy("kind", "prob")
 
 
 def legend_breaks_factor(df: DataFrame, column: str, decreasing: bool = False) -> DataFrame:

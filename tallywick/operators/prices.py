@@ -14,6 +14,7 @@ from tallywick.domains import FIRST_OLDER_WEEK_50, FIRST_OLDER_WEEK_100, LOOKBAC
 from tallywick.functions.prices import current_ticker, history_tier, overall_title
 from tallywick.functions.text import dollars
 from tallywick.functions.times import weeks_before
+from tallywick.operators.numbering import numbered
 
 
 def lookback(bars: DataFrame, as_of: Column, weeks: int = LOOKBACK_WEEKS) -> DataFrame:
@@ -53,6 +54,17 @@ def week_numbers(bars: DataFrame, newest_first: bool = True) -> DataFrame:
     )
 
 
+def bar_numbers(bars: DataFrame, newest_first: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`week_numbers` for bars of any width, single trades among them: ``bar_number`` and ``bar_count``.
+
+    Bars are dealt to ranges of (asset, time) that hold about as many bars each, so an asset with a third of all
+    bars spreads over a third of the tasks. ``ties`` names further columns that order bars of the same time.
+    """
+    in_order = Column.desc_nulls_last if newest_first else Column.asc_nulls_last
+    order = _time_order(bars, in_order) + [in_order(F.col(name)) for name in ties]
+    return numbered(bars, ["asset"], order, "bar_number", "bar_count")
+
+
 def trailing_averages(bars: DataFrame) -> DataFrame:
     """Every bar with its number, flags and averages.
 

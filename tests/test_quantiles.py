@@ -1,0 +1,66 @@
+"""Exact quantiles against interpolation in memory."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywick.operators.prices import bar_numbers
+from tallywick.operators.quantiles import quantiles
+
+PROBS = [0.0, 0.1, 1 / 3, 0.5, 0.875, 1.0]
+
+
+def _expected(values, p):
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return None
+    at = p * (len(values) - 1)
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low if low == high else low + (high - low) * (at - math.floor(at))
+
+
+def _got(spark, values, parts=3):
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(parts)
+    return {r.prob: r.value for r in quantiles(df, "x", PROBS).collect()}
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [3.0], [None, None], [], [1.0, None, 2.0], [-0.0, 0.0, 5.0], [1.0, 2.0, 2.0, 2.0, 2.0, 2.0, 9.0],
+        [random.Random(1).gauss(0, 1e6) for _ in range(997)], [7.0] * 500 + [random.Random(2).random() for _ in range(1000)],
+    ],
+)
+def test_against_memory(spark, values):
+    got = _got(spark, values)
+    assert set(got) == {float(p) for p in PROBS}
+    for p in PROBS:
+        assert got[p] == pytest.approx(_expected(values, p))
+
+
+def test_no_task_has_all_values(spark):
+    """Different values spread over the ranges, and only ranges with a wanted rank are read again."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+        found = quantiles(df, "x", [0.5])
+        assert found.first().value == 9_999.5
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = [f for f in found.inputFiles() if "/values/" in f]
+    assert len(files) == 4
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+
+
+def test_bars_of_any_width(spark):
+    rows = [("hot", i // 3, float(i), i) for i in range(3_000)] + [("b", 5, 1.0, 1), ("b", None, 2.0, 2), ("c", 1, None, 3)]
+    bars = spark.createDataFrame(rows, "asset string, ts int, close double, id int").repartition(4)
+    got = {(r.asset, r.id): (r.bar_number, r.bar_count) for r in bar_numbers(bars, ties=("id",)).collect()}
+    assert all(got["hot", i] == (3_000 - i, 3_000) for i in range(3_000))
+    assert (got["b", 1], got["b", 2], got["c", 3]) == ((1, 2), (2, 2), (1, 1))
+    up = {(r.asset, r.id): r.bar_number for r in bar_numbers(bars, newest_first=False).collect()}
+    assert all(up["hot", i] == i + 1 for i in range(3_000))
