@@ -9,6 +9,7 @@ from tallywick.catalog.incidents import BUILT_SQL
 from tallywick.catalog.registry import YEARS, as_text, dollar_sql, query, sql
 from tallywick.domains import RACES, SEXES, UNSOLVED, WEAPONS
 from tallywick.operators import incidents as inc, market
+from tallywick.plans.intake import COINS, take_in, taken_rows
 from tallywick.plans.market import run_market
 from tallywick.session import scratch_path
 from tallywick.sources import boundaries, documents, survey, tables
@@ -198,3 +199,35 @@ def _(spark, sf):
     adapters.ohlc_documents(spark, sf).write.text(path)
     bars = documents.ohlc_bars(documents.read_documents(spark, path, one_per_line=True))
     return as_text(bars.select("asset", "ts", "open", "high", "low", "close"), "ts")
+
+
+@query(
+    "bars_taken_in",
+    sql(
+        """SELECT asset, CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, open, high, low, close, volume, trades FROM all_bars""",
+        "all_bars",
+    ),
+)
+def _(spark, sf):
+    """Price documents that land in two steps; the second brings later years, and better prices of one year."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "bars")
+    docs = adapters.ohlc_documents(spark, sf).withColumn("year", F.year(F.timestamp_seconds(F.get_json_object("value", "$.result.last").cast("long"))))
+    early = docs.where(F.col("year") <= YEARS[0])
+    rough = F.when(F.col("year") == YEARS[0], F.replace("value", F.lit('.0"'), F.lit('.5"'))).otherwise(F.col("value"))
+    early.select(rough.alias("value")).write.text(f"{landing}/1")
+    take_in(spark, landing, path, one_per_line=True)
+    docs.where(F.col("year") >= YEARS[0]).select("value").write.text(f"{landing}/2")
+    take_in(spark, landing, path, one_per_line=True)
+    bars = taken_rows(spark, path).select("asset", "ts", "open", "high", "low", "close", "volume", "trades")
+    return as_text(bars, "ts")
+
+
+@query("coins_taken_in", sql("SELECT * FROM coins", "coins"))
+def _(spark, sf):
+    """Listing pages that land in two steps, a file each."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "coins")
+    pages = adapters.listing_documents(spark, sf).withColumn("odd", F.xxhash64("value") % 2 == 0)
+    for step in (True, False):
+        pages.where(F.col("odd") == step).select("value").write.option("maxRecordsPerFile", 1).text(f"{landing}/{step}")
+        take_in(spark, landing, path, COINS)
+    return as_text(taken_rows(spark, path, COINS), "date_added", "last_updated")

@@ -6,6 +6,8 @@ expressions, so documents spread over tasks like any other rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywick import schemas
@@ -28,18 +30,18 @@ def pair_catalog(documents: DataFrame) -> DataFrame:
     return pairs.filter(F.col("pair.altname").contains("USD")).select("asset_tick", "pair.altname", "pair.base")
 
 
-def ohlc_bars(documents: DataFrame) -> DataFrame:
-    """Price bars ``(asset, ts, date_est, open, high, low, close, vwap, volume, trades)``.
+def ohlc_bars(documents: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Price bars ``(asset, ts, date_est, open, high, low, close, vwap, volume, trades)``, and what is ``carried`` along.
 
     Text prices become numbers, null where they are none. ``ts`` is the UTC wall clock and ``date_est`` the
     wall clock five hours behind it.
     """
-    series = documents.select(F.from_json("value", schemas.OHLC_DOCUMENT).alias("doc")).select(
-        F.explode("doc.result").alias("asset", "rows")
+    series = documents.select(*carried, F.from_json("value", schemas.OHLC_DOCUMENT).alias("doc")).select(
+        *carried, F.explode("doc.result").alias("asset", "rows")
     )
     # beside the pairs, the result holds the number ``last``
     rows = series.filter(F.col("asset") != "last").select(
-        "asset", F.explode(F.from_json("rows", schemas.OHLC_ROWS)).alias("row")
+        *carried, "asset", F.explode(F.from_json("rows", schemas.OHLC_ROWS)).alias("row")
     )
 
     def field(i: int, kind: str = "double") -> Column:
@@ -52,6 +54,7 @@ def ohlc_bars(documents: DataFrame) -> DataFrame:
         epoch_to_est(epoch).alias("date_est"),
         *[field(i).alias(name) for i, name in enumerate(("open", "high", "low", "close", "vwap", "volume"), 1)],
         field(7, "bigint").alias("trades"),
+        *carried,
     )
 
 
@@ -66,10 +69,13 @@ _SHARES = (
 )
 
 
-def listings(documents: DataFrame) -> DataFrame:
-    """Market listings, one row per coin; prices to four digits, percentages as fractions to four digits."""
-    coins = documents.select(F.from_json("value", schemas.LISTINGS_DOCUMENT).alias("doc")).select(
-        F.inline("doc.data")
+def listings(documents: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Market listings, one row per coin; prices to four digits, percentages as fractions to four digits.
+
+    Columns of the documents that are ``carried`` along come last.
+    """
+    coins = documents.select(*carried, F.from_json("value", schemas.LISTINGS_DOCUMENT).alias("doc")).select(
+        *carried, F.inline("doc.data")
     )
     usd = "quote.USD"
     return coins.select(
@@ -86,4 +92,5 @@ def listings(documents: DataFrame) -> DataFrame:
         *[F.round(F.col(f"{usd}.{share}") / 100, 4).alias(share) for share in _SHARES],
         F.col(f"{usd}.market_cap").alias("market_cap"),
         iso_timestamp(F.col(f"{usd}.last_updated")).alias("last_updated"),
+        *carried,
     )
