@@ -163,11 +163,12 @@ def _(spark, sf):
 @query(
     "average_chart_series",
     sql(
-        """SELECT b.asset, CAST(b.ts AS VARCHAR) AS ts, b.close, a.avg_overall,
-        CASE WHEN a.tier IN ('100', '200') THEN a.avg_100 END AS avg_100,
-        CASE WHEN a.tier <> 'overall' THEN a.avg_50 END AS avg_50
-        FROM bars b JOIN averages a ON a.asset = b.asset WHERE a.tier IS NOT NULL""",
-        "averages",
+        """SELECT asset, CAST(ts AS VARCHAR) AS ts, close, avg_overall, CASE WHEN week_count >= 100 THEN avg_100 END AS avg_100,
+        CASE WHEN week_count >= 75 THEN avg_50 END AS avg_50
+        FROM (SELECT *, avg(close) OVER whole AS avg_overall, avg(close) FILTER (WHERE week_number <= 99) OVER whole AS avg_100,
+            avg(close) FILTER (WHERE week_number <= 50) OVER whole AS avg_50
+          FROM numbered WINDOW whole AS (PARTITION BY asset)) n""",
+        "numbered",
     ),
 )
 def _(spark, sf):
