@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A file in Arrow's random-access format holds batches of two fixed-size lists: ``tokens`` (the smallest unsigned
-integer type that holds the vocabulary) and ``mask`` (whether a place holds a token). Sequences have no offsets and
+integer type that holds the vocabulary) and ``mask`` (1 where a place holds a token, a byte each). Sequences have no offsets and
 buffers are not compressed, so sequence ``i`` of a memory-mapped file is a slice of the file. Documents follow one
 another without gaps; only a file's last sequence is padded. A second file of the same format lists the documents:
 id, start in the file, number of tokens.
@@ -12,6 +12,7 @@ encodes, one batch in memory at a time. A file counts once its row is in the man
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,10 +30,13 @@ SEQUENCE = 2_048
 #: Sequences of a batch: 256 of 2,048 ids of two bytes are 1 MB.
 BATCH = 256
 END = 2
+#: Words of letters that are encoded as one text; their ids are told apart by the ids that end a word.
+JOINED = 64
 #: Entries a worker remembers of stretches between spaces, and the longest text one may have.
 REMEMBERED = 800_000
 REMEMBERED_CHARS = 48
 _NOT_PLAIN = re.compile(r"<\||[\u0130\u0250-\U0010ffff]")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _LETTERS_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 _MANIFEST = "part int, tokens_path string, index_path string, documents long, tokens long"
 
@@ -54,6 +58,24 @@ class Encoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, each of which ends with the only id of its that ends a word."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found = []
+        for group, coded in zip(groups, self.library.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                found += [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                found += self._ids(group)
+        return found
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,8 +92,11 @@ class Encoder:
                 needed.update(parts.groups())
             else:
                 needed.add(stretch)
-        new = list(needed.difference(known))
-        known.update(zip(new, self._ids(new)))
+        new = needed.difference(known)
+        words = list(filter(_LETTERS.fullmatch, new))
+        known.update(zip(words, self._word_ids(words)))
+        others = list(new.difference(words))
+        known.update(zip(others, self._ids(others)))
         known.update((stretch, known[letters] + known[marks]) for stretch, letters, marks in pairs)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -84,8 +109,11 @@ class Encoder:
             new = all_of_them
         self._learn({s for s in new if len(s) <= REMEMBERED_CHARS})
         long = [s for s in new if len(s) > REMEMBERED_CHARS]
-        known = {**self.known, **dict(zip(long, self._ids(long)))} if long else self.known
-        return [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
+        self.known.update(zip(long, self._ids(long)))
+        found = [b"".join(map(self.known.__getitem__, stretches)) for stretches in cut]
+        for stretch in long:
+            del self.known[stretch]
+        return found
 
 
 def _lowered(text: str) -> str:
@@ -110,7 +138,7 @@ class SequenceWriter:
         store, path = open_store(uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.kind, self.length, self.width = kind, length, length * BATCH
-        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = store.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.buffer = np.zeros(self.width, dtype=kind.to_pandas_dtype())
@@ -130,7 +158,7 @@ class SequenceWriter:
         used = rows * self.length
         self.buffer[self.held : used] = 0
         tokens = pa.FixedSizeListArray.from_arrays(pa.array(self.buffer[:used]), self.length)
-        mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(used) < self.held), self.length)
+        mask = pa.FixedSizeListArray.from_arrays(pa.array((np.arange(used) < self.held).view(np.uint8)), self.length)
         self.writer.write_batch(pa.RecordBatch.from_arrays([tokens, mask], schema=self.schema))
         self.held = 0
 
@@ -142,12 +170,12 @@ class SequenceWriter:
 
 
 def read_sequence(uri: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``number`` of a file and its mask, without reading others; zero-copy from a memory map."""
+    """Sequence ``number`` of a file and its mask, without reading others; both views of the file from a memory map."""
     store, path = open_store(uri)
     source = pa.memory_map(path) if store.type_name == "local" else store.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(number // BATCH)
     tokens, mask = (column[number % BATCH].values for column in batch.columns)
-    return tokens.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    return tokens.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True).view(bool)
 
 
 def _index_schema(kind: pa.DataType) -> pa.Schema:
@@ -218,7 +246,7 @@ def _stream(uri: str) -> Iterator[np.ndarray]:
         for i in range(reader.num_record_batches):
             batch = reader.get_batch(i)
             tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(bool)
             yield tokens if mask[-1] else tokens[mask]
 
 

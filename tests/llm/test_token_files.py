@@ -66,7 +66,7 @@ def test_files_hold_equal_sequences(spark):
             stream += tokens[mask].tolist()
         with pa.memory_map(file.tokens_path.removeprefix("file://")) as source:
             schema = pa.ipc.open_file(source).schema
-        assert schema.field("tokens").type == pa.list_(pa.uint16(), 64) and schema.field("mask").type == pa.list_(pa.bool_(), 64)
+        assert schema.field("tokens").type == pa.list_(pa.uint16(), 64) and schema.field("mask").type == pa.list_(pa.uint8(), 64)
     assert len(stream) == sum(r[2] for r in _expected()) and stream.count(2) >= len(ROWS)
 
 
@@ -79,6 +79,7 @@ def test_sequence_is_a_view_of_the_file(tmp_path):
     before = pa.total_allocated_bytes()
     tokens, mask = token_files.read_sequence(uri, token_files.BATCH)
     assert tokens.tolist() == list(range(8 * token_files.BATCH, 8 * token_files.BATCH + 8)) and mask.all()
+    assert not tokens.flags.owndata and not mask.flags.owndata and mask.dtype == bool
     assert pa.total_allocated_bytes() - before < 4_096
     tokens, mask = token_files.read_sequence(uri, token_files.BATCH + 2)
     assert mask.tolist() == [True] * 4 + [False] * 4 and not tokens[4:].any()
@@ -88,3 +89,11 @@ def test_sequence_is_a_view_of_the_file(tmp_path):
 def test_small_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [tuple(r)[:3] for r in token_files.tokens_and_back(docs, PATH).collect()] == [(1, 0, 1)] * len(rows)
+
+
+def test_words_encoded_together_are_told_apart():
+    coder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["a", "unimaginably", "straße", "zzzzqqqq", "é", "the"] * 50
+    assert coder._word_ids(words) == coder._ids(words)
+    coder.ends[:] = False  # a vocabulary without word ends
+    assert coder._word_ids(words[:3]) == coder._ids(words[:3])
