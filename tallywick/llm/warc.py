@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -93,11 +94,13 @@ def chunk_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
 
 def _record_id(page_id: str | None, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+    """The page's id, its reserved characters escaped, and the payload's digest; a null id is left out."""
+    return f"<urn:page{'' if page_id is None else ':' + quote(page_id, safe='')}:{digest}>"
 
 
 def _page_of(record_id: str) -> str | None:
-    return record_id.split(":")[2] or None
+    parts = record_id.split(":")
+    return unquote(parts[2]) if len(parts) == 4 else None
 
 
 def _headers(row: dict) -> bytes:

@@ -82,3 +82,10 @@ def test_a_cut_archive_is_an_error(cut):
 
 def test_empty_table(spark):
     assert warc.archive_and_back(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_ids_of_any_characters(spark):
+    ids = ["c", "c:d", "q:r>", "é /%3A", "", None]
+    pages = spark.createDataFrame([(i, "u", "x" * 1_000 if i and "c" in i else "small") for i in ids], "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_and_back(pages).collect()}
+    assert got == {("c", "revisit", "c:d"), *((i, "response", None) for i in ids if i != "c")}
