@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A file in Arrow's random-access format holds batches of two fixed-size lists: ``tokens`` (the smallest unsigned
-integer type that holds the vocabulary) and ``mask`` (1 where a place holds a token, a byte each). Sequences have no offsets and
+integer type that holds the vocabulary) and ``mask`` (whether a place holds a token, a bit each). Sequences have no offsets and
 buffers are not compressed, so sequence ``i`` of a memory-mapped file is a slice of the file. Documents follow one
 another without gaps; only a file's last sequence is padded. A second file of the same format lists the documents:
 id, start in the file, number of tokens.
@@ -138,7 +138,7 @@ class SequenceWriter:
         store, path = open_store(uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.kind, self.length, self.width = kind, length, length * BATCH
-        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = store.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.buffer = np.zeros(self.width, dtype=kind.to_pandas_dtype())
@@ -158,7 +158,7 @@ class SequenceWriter:
         used = rows * self.length
         self.buffer[self.held : used] = 0
         tokens = pa.FixedSizeListArray.from_arrays(pa.array(self.buffer[:used]), self.length)
-        mask = pa.FixedSizeListArray.from_arrays(pa.array((np.arange(used) < self.held).view(np.uint8)), self.length)
+        mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(used) < self.held), self.length)
         self.writer.write_batch(pa.RecordBatch.from_arrays([tokens, mask], schema=self.schema))
         self.held = 0
 
@@ -169,13 +169,19 @@ class SequenceWriter:
         self.sink.close()
 
 
-def read_sequence(uri: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``number`` of a file and its mask, without reading others; both views of the file from a memory map."""
+def sequence_slices(uri: str, number: int) -> tuple[pa.Array, pa.BooleanArray]:
+    """Sequence ``number`` of a file and its mask, without reading others; both slices of the file from a memory map."""
     store, path = open_store(uri)
     source = pa.memory_map(path) if store.type_name == "local" else store.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(number // BATCH)
     tokens, mask = (column[number % BATCH].values for column in batch.columns)
-    return tokens.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True).view(bool)
+    return tokens, mask
+
+
+def read_sequence(uri: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sequence_slices` for numpy: the tokens as a view, the mask's bits as bytes of their own."""
+    tokens, mask = sequence_slices(uri, number)
+    return tokens.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def _index_schema(kind: pa.DataType) -> pa.Schema:
@@ -246,7 +252,7 @@ def _stream(uri: str) -> Iterator[np.ndarray]:
         for i in range(reader.num_record_batches):
             batch = reader.get_batch(i)
             tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(bool)
+            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             yield tokens if mask[-1] else tokens[mask]
 
 
