@@ -34,7 +34,7 @@ ROUNDS = 30
 #: Weight, in tokens, of a class's overall share beside its counts after another class.
 PRIOR = 5.0
 #: Bytes of text in a block, one document at least.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 #: What the base adds to each count.
 ADDED = 0.1
 
