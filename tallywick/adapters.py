@@ -142,32 +142,59 @@ def weekly_bars(spark: SparkSession, sf_dir: str, since: Column | None = None) -
         line = line.where(F.col("l_shipdate") >= since)
     flag = F.col("l_returnflag")
     supplier = F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))
-    major = F.coalesce(*[F.when(flag == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()])
+    assets = F.array(_major_asset(), F.concat(supplier, F.lit("USD")), F.concat(supplier, flag, F.lit("USD")))
+    return _bars(_weekly(line, F.explode(assets).alias("asset")), "asset", "ts")
+
+
+def _major_asset() -> Column:
+    return F.coalesce(*[F.when(F.col("l_returnflag") == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()])
+
+
+def _weekly(line: DataFrame, *keys: Column) -> DataFrame:
+    """Line items with what :func:`_bars` takes, each as a week's only trade."""
     day, price = F.to_date("l_shipdate"), F.floor("l_extendedprice")
-    trades = line.select(
-        F.explode(
-            F.array(major, F.concat(supplier, F.lit("USD")), F.concat(supplier, flag, F.lit("USD")))
-        ).alias("asset"),
+    place = F.weekday(day) * F.lit(_DAY_STEP) + price
+    return line.select(
+        *keys,
         F.trunc(day, "week").alias("ts"),
-        price.alias("price"),
-        (F.weekday(day) * F.lit(_DAY_STEP) + price).alias("place"),
-        F.col("l_quantity").alias("quantity"),
+        place.alias("first"),
+        price.alias("most"),
+        price.alias("least"),
+        place.alias("last"),
+        F.col("l_quantity").alias("volume"),
+        F.lit(1).cast("bigint").alias("trades"),
     )
-    return trades.groupBy("asset", "ts").agg(
-        (F.min("place") % _DAY_STEP).cast("double").alias("open"),
-        F.max("price").cast("double").alias("high"),
-        F.min("price").cast("double").alias("low"),
-        (F.max("place") % _DAY_STEP).cast("double").alias("close"),
-        F.sum("quantity").alias("volume"),
-        F.count(F.lit(1)).alias("trades"),
+
+
+def _merged(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key of the rows of :func:`_weekly`, or of their merged rows."""
+    return rows.groupBy(*keys).agg(
+        F.min("first").alias("first"),
+        F.max("most").alias("most"),
+        F.min("least").alias("least"),
+        F.max("last").alias("last"),
+        F.sum("volume").alias("volume"),
+        F.sum("trades").alias("trades"),
+    )
+
+
+def _bars(rows: DataFrame, *keys: str) -> DataFrame:
+    """The bar of each key, of the rows of :func:`_weekly` or of their merged rows."""
+    return _merged(rows, *keys).select(
+        *keys,
+        (F.col("first") % _DAY_STEP).cast("double").alias("open"),
+        F.col("most").cast("double").alias("high"),
+        F.col("least").cast("double").alias("low"),
+        (F.col("last") % _DAY_STEP).cast("double").alias("close"),
+        "volume",
+        "trades",
     )
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a trade of one of three assets, which hold a third of them each."""
-    flag = F.col("l_returnflag")
     return load(spark, sf_dir, "lineitem").select(
-        F.coalesce(*[F.when(flag == f, F.lit(asset)) for f, asset in MAJOR_ASSET.items()]).alias("asset"),
+        _major_asset().alias("asset"),
         F.to_date("l_shipdate").alias("ts"),
         F.col("l_extendedprice").alias("close"),
         "l_orderkey",
@@ -219,18 +246,41 @@ def boundary_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ohlc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price document per asset and year, which holds 53 weekly bars at most."""
-    bars = weekly_bars(spark, sf_dir).withColumn("day", F.unix_date("ts").cast("bigint"))
-    seconds = (F.col("day") * 86400).cast("string")
-    number = [F.col(c).cast("string") for c in ("open", "high", "low", "close", "close", "volume")]
-    row = F.array(seconds, *number, F.col("trades").cast("string"))
-    rows = bars.select("asset", F.year("ts").alias("year"), "day", row.alias("row")).groupBy("asset", "year").agg(
-        F.collect_list("row").alias("rows"), F.max("day").alias("last")
-    )
+    return dated_ohlc_documents(spark, sf_dir).select("value")
+
+
+def dated_ohlc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`ohlc_documents` with the ``year`` of each; a filter by it reads only that year's line items.
+
+    Both assets of a supplier come from its line items, which move once, to the task that makes the supplier's
+    documents of a year; it adds them up as they come, so it holds 53 weeks of each flag, however many they are. The
+    three assets that hold most line items are added up before they move. (Suppliers' assets have names of their own,
+    as no return flag begins with a digit.) Line items without a supplier have no document.
+    """
+    line = load(spark, sf_dir, "lineitem")
+    week = F.year(F.trunc(F.to_date("l_shipdate"), "week")).alias("year")
+    sold = line.where(F.col("l_suppkey").isNotNull()).select("l_suppkey", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"), "l_extendedprice", "l_quantity", week)
+    dealt = sold.repartition("l_suppkey", "year")
+    # a row for the flag's asset, and one that the supplier's own asset adds up
+    both = _weekly(dealt, F.col("l_suppkey"), F.col("year"), F.explode(F.array("l_returnflag", F.lit(""))).alias("flag"))
+    asset = F.concat(F.lit("T"), F.col("l_suppkey").cast("string"), F.col("flag"), F.lit("USD"))
+    suppliers = _documents(_bars(both, "l_suppkey", "year", "flag", "ts"), "l_suppkey", "year", "flag", asset=asset)
+    major = _bars(_weekly(line, _major_asset().alias("asset")), "asset", "ts").withColumn("year", F.year("ts"))
+    return suppliers.unionByName(_documents(major, "asset", "year", asset=F.col("asset")))
+
+
+def _documents(bars: DataFrame, *keys: str, asset: Column) -> DataFrame:
+    """``year, value``: a document per key, of the asset that the key tells."""
+    # numbers until they are collected, as texts take several times their room
+    figures = ("open", "high", "low", "close", "close", "volume", "trades")
+    bar = F.struct((F.unix_date("ts").cast("bigint") * 86400).alias("second"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(figures)])
+    collected = bars.groupBy(*keys).agg(F.collect_list(bar).alias("bars"), (F.max(F.unix_date("ts").cast("bigint")) * 86400).alias("last"))
+    names = ("second", *(f"f{i}" for i in range(len(figures))))
+    rows = F.to_json(F.transform("bars", lambda one: F.array(*[one[n].cast("string") for n in names])))
     text = F.concat(
-        F.lit('{"error":[],"result":{"'), F.col("asset"), F.lit('":'), F.to_json("rows"), F.lit(',"last":'),
-        (F.col("last") * 86400).cast("string"), F.lit("}}"),
+        F.lit('{"error":[],"result":{"'), asset, F.lit('":'), rows, F.lit(',"last":'), F.col("last").cast("string"), F.lit("}}"),
     )
-    return rows.select(text.alias("value"))
+    return collected.select("year", text.alias("value"))
 
 
 def pair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
