@@ -211,7 +211,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Price documents that land in two steps; the second brings later years, and better prices of one year."""
     landing, path = scratch_path(spark, "landing"), scratch_path(spark, "bars")
-    docs = adapters.ohlc_documents(spark, sf).withColumn("year", F.year(F.timestamp_seconds(F.get_json_object("value", "$.result.last").cast("long"))))
+    docs = adapters.dated_ohlc_documents(spark, sf)
     early = docs.where(F.col("year") <= YEARS[0])
     rough = F.when(F.col("year") == YEARS[0], F.replace("value", F.lit('.0"'), F.lit('.5"'))).otherwise(F.col("value"))
     early.select(rough.alias("value")).write.text(f"{landing}/1")

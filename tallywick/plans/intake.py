@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywick.session import materialize
 from tallywick.sources.documents import listings, ohlc_bars
 from tallywick.sources.published import Published
 
 _LOG = "log"
 _FILE = "path string, length bigint, landed timestamp"
 _NO_PART = "__HIVE_DEFAULT_PARTITION__"
+#: Bytes of documents per slice of a part: even if all are of one part, a task takes in about as many.
+SLICE_BYTES = 256 << 20
 #: Columns that tell which document a row is from: the later one holds, of two at once the one of the greater name.
 _FROM = ("_landed", "_path")
 
@@ -76,11 +77,18 @@ def _rows(spark: SparkSession, store: Published, parts: dict, schema) -> DataFra
     return found
 
 
-def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of the rows of a key that from the latest document; partial winners form in the tasks."""
-    others = [c for c in rows.columns if c not in keys]
+def _newest(rows: DataFrame, kind: Kind, slices: int) -> DataFrame:
+    """Of the rows of a key that from the latest document, in the tasks that write them: each a slice of a part's keys.
+
+    Rows move once. A part's rows go to as many tasks as there are slices, which bounds both a task's rows and the
+    files of a part.
+    """
+    by = (kind.part, *kind.keys, "_slice")
+    others = [c for c in rows.columns if c not in by]
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*kind.keys), F.lit(slices)))
     latest = F.max_by(F.struct(*others), F.struct(*_FROM)).alias("_row")
-    return rows.groupBy(*keys).agg(latest).select(*keys, *(F.col(f"_row.`{c}`") for c in others)).select(*rows.columns)
+    chosen = sliced.repartition(kind.part, "_slice").groupBy(*by).agg(latest)
+    return chosen.select(kind.part, *kind.keys, *(F.col(f"_row.`{c}`") for c in others)).select(*rows.columns)
 
 
 def take_in(spark: SparkSession, landing: str, path: str, kind: Kind = BARS, one_per_line: bool = False) -> Taken:
@@ -96,20 +104,23 @@ def take_in(spark: SparkSession, landing: str, path: str, kind: Kind = BARS, one
     folder = store.run_folder(run)
     new.coalesce(1).write.parquet(f"{folder}/{_LOG}")  # file names, as many as the driver lists anyway
     # what lands from here on is for the next run
-    names = [row["path"] for row in spark.read.schema(_FILE).parquet(f"{folder}/{_LOG}").select("path").collect()]
+    log = spark.read.schema(_FILE).parquet(f"{folder}/{_LOG}")
+    names = [row["path"] for row in log.select("path").collect()]
     if not names:
         return Taken(0, ())
     place = F.col("_metadata")
     read = spark.read.text(names, wholetext=not one_per_line)
     docs = read.select("value", place["file_modification_time"].alias(_FROM[0]), place["file_path"].alias(_FROM[1]))
-    fresh = materialize(_newest(kind.parse(docs, _FROM), kind.keys), "fresh")
+    # parsed twice, for its parts and for its rows, as that is less than to write the rows and move them again
+    fresh = kind.parse(docs, _FROM)
     touched = {_NO_PART if r[0] is None else str(r[0]) for r in fresh.select(kind.part).distinct().collect()}
     before = _rows(spark, store, {p: e for p, e in parts.items() if p in touched}, fresh.schema)
-    merged = _newest(before.unionByName(fresh), kind.keys)
-    merged.hint("rebalance", kind.part).sortWithinPartitions(kind.part, *kind.keys).write.partitionBy(kind.part).parquet(f"{folder}/rows")
+    size = log.agg(F.sum("length")).first()[0]
+    merged = _newest(before.unionByName(fresh), kind, 1 + size // SLICE_BYTES)
+    merged.sortWithinPartitions(kind.part, *kind.keys).write.partitionBy(kind.part).parquet(f"{folder}/rows")
     documents = read.count() if one_per_line else len(names)
-    log = [*parts.get(_LOG, {"runs": []})["runs"], run]
-    store.commit({_LOG: {"runs": log}, **{p: {"runs": [run]} for p in touched}}, expected=version)
+    runs = [*parts.get(_LOG, {"runs": []})["runs"], run]
+    store.commit({_LOG: {"runs": runs}, **{p: {"runs": [run]} for p in touched}}, expected=version)
     return Taken(documents, tuple(sorted(touched)))
 
 

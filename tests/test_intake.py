@@ -2,6 +2,7 @@
 
 import json
 import os
+from datetime import datetime, timezone
 
 import pytest
 
@@ -108,3 +109,25 @@ def test_several_documents_in_a_file_and_untouched_parts(spark, tmp_path):
 def test_rows_are_those_of_the_parser(spark):
     docs = spark.createDataFrame([(_doc("A", (Y2020, 1)), "x")], "value string, origin string")
     assert d.ohlc_bars(docs, ["origin"]).drop("origin").collect() == d.ohlc_bars(docs).collect()
+
+
+def test_rows_move_once_in_slices_of_parts(spark, tmp_path, monkeypatch):
+    landing, path = tmp_path / "landing", str(tmp_path / "store")
+    weeks = [(Y2020 + i * WEEK, i) for i in range(40)]
+    for at in (100, 200):
+        _land(landing, f"d{at}", _doc("A", *((t, c + at) for t, c in weeks)), at)
+    monkeypatch.setattr(intake, "SLICE_BYTES", 400)
+    intake.take_in(spark, str(landing), path)
+    assert _bars(spark, path) == _bars_of("A", weeks, 200)
+    _land(landing, "d150", _doc("A", *((t, c + 150) for t, c in [*weeks, (Y2021, 0)])), 150)
+    intake.take_in(spark, str(landing), path)
+    assert _bars(spark, path) == _bars_of("A", weeks, 200) + [("A", "2021-01-01 00:00:00", 150.0)]
+    rows = intake.BARS.parse(spark.createDataFrame([], "value string, _landed timestamp, _path string"), ["_landed", "_path"])
+    plan = intake._newest(rows, intake.BARS, 2).sortWithinPartitions("_part", "asset", "ts")._jdf.queryExecution()
+    assert plan.sparkPlan().toString().count("SortAggregate") == 2
+    assert plan.optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def _bars_of(asset, weeks, more):
+    stamp = lambda t: str(datetime.fromtimestamp(t, timezone.utc).replace(tzinfo=None))
+    return [(asset, stamp(t), float(c + more)) for t, c in weeks]
