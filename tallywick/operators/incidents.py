@@ -20,9 +20,15 @@ def build_incidents(cases: DataFrame, codes: DataFrame) -> DataFrame:
 
     A left join: a case without a code stays, a case with several codes is repeated once per code row. Both sides
     move once; an ``ID`` with very many cases is left to the adaptive skew join, which may split the left side.
+
+    There are about as many codes as cases, so they are merged whatever size they seem to have: that of rows which
+    Python reads from files is a guess, and may have them broadcast. Cases without an ``ID`` meet no code; they are
+    dealt by what else they hold instead of going to one task.
     """
-    named = codes.select("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips"))
-    return cases.join(named, "ID", "left").select(*cases.columns, "county_fips")
+    of_id = F.xxhash64("ID")
+    named = codes.select("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips"), of_id.alias("_deal"))
+    dealt = cases.withColumn("_deal", F.when(F.col("ID").isNull(), F.xxhash64(*cases.columns)).otherwise(of_id))
+    return dealt.join(named.hint("merge"), ["ID", "_deal"], "left").select(*cases.columns, "county_fips")
 
 
 def with_age_ranges(incidents: DataFrame) -> DataFrame:

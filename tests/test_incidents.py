@@ -1,11 +1,13 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import CASE, dicts
 from tallywick.domains import ALL, SOLVED, UNSOLVED
 from tallywick.operators import incidents as inc
 from tallywick.plans.county_map import MapRequest, is_valid, run_map, year_limits
+from tallywick.sources import survey, tables
 
 COUNTIES = [("17031", "17", "g1"), ("17043", "17", "g2"), ("18001", "18", "g3"), ("99001", "99", "g4")]
 STATES = [("Illinois", "17", "IL"), ("Indiana", "18", "IN")]
@@ -177,3 +179,24 @@ def test_cases_and_codes_move_once(spark, incidents):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(ID") == 2 and plan.count("Exchange") == 2
+
+
+def test_cases_without_an_id_go_to_several_tasks(spark):
+    cases = spark.range(400).select(F.lit(None).cast("string").alias("ID"), F.col("id").alias("x"))
+    codes = spark.createDataFrame([(None, "99 999"), ("1", "17 031")], "ID string, CNTYFIPS string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = inc.build_incidents(cases, codes).select("x", "county_fips", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r.x for r in got) == list(range(400)) and {r.county_fips for r in got} == {None}
+    assert len({r.task for r in got}) > 1
+
+
+def test_codes_from_survey_files_are_not_broadcast(spark, tmp_path):
+    codes = spark.range(300).select(F.col("id").cast("string").alias("ID"), F.lit("17 031").alias("CNTYFIPS"))
+    survey.write_survey(codes, str(tmp_path / "codes"))
+    cases = spark.range(0, 600, 2).select(F.col("id").cast("string").alias("ID"), F.col("id").alias("x"))
+    built = inc.build_incidents(cases, tables.read_survey_codes(spark, str(tmp_path / "codes")))
+    assert {(r.x, r.county_fips) for r in built.collect()} == {(i, "17031" if i < 300 else None) for i in range(0, 600, 2)}
+    assert "Broadcast" not in built._jdf.queryExecution().executedPlan().toString()
