@@ -23,7 +23,8 @@ def numbered(
     """``df`` with each row's ``number`` from 1 inside its group, and the group's ``count``.
 
     Rows move once, in their order; what tells the numbers is counted from the written rows: a row per range (as many
-    as there are shuffle partitions, so a broadcast of them is bounded) and a row per group. Null keys form a group.
+    as there are shuffle partitions, so a broadcast of them is bounded) and a row per group and range. Null keys form a
+    group.
     Rows that ``order`` leaves equal are numbered as they happen to lie, once and for all.
     """
     by_key = [F.col(k).asc_nulls_first() for k in keys]
@@ -38,9 +39,15 @@ def numbered(
     place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     rows = placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_place", place)
 
+    # a group goes over several ranges: a row per group and range says where the group's first row is, and no task
+    # has to take in more rows of a group than one range of it
     named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
-    groups = rows.groupBy(*named).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias(count))
+    pieces = rows.groupBy(F.col("_part").alias("_piece"), *named).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*(f"_key{i}" for i in range(len(keys))))
+    whole = pieces.withColumns({"_first": F.min("_first").over(group), count: F.sum("_rows").over(group)}).drop("_rows")
+    # written, so that they are sent to all tasks only if they are few
+    whole = materialize(whole, "groups")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return rows.join(groups, same).select(
+    return rows.join(whole, (F.col("_part") == F.col("_piece")) & same).select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_place") - F.col("_first") + 1).alias(number), count
     )

@@ -46,3 +46,18 @@ def test_two_keys_and_descending(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 1, 9), ("a", 2, 3), (None, 1, 4)], "x string, y int, at int")
     out = numbered(df, ["x", "y"], [F.col("at").desc()])
     assert sorted(map(tuple, out.collect()), key=str) == [("a", 1, 5, 2, 2), ("a", 1, 9, 1, 2), ("a", 2, 3, 1, 1), (None, 1, 4, 1, 1)]
+
+
+def test_no_task_takes_in_a_whole_group_at_the_end(spark):
+    rows = spark.range(4_000).select(F.lit(1).alias("k"), "id")
+    settings_of = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings_of.items():
+        spark.conf.set(key, value)
+    try:
+        out = numbered(rows, ["k"], [F.col("id").desc()])
+        per_task = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum("number").alias("s")).collect()
+    finally:
+        for key in settings_of:
+            spark.conf.unset(key)
+    assert sum(r.n for r in per_task) == 4_000 and sum(r.s for r in per_task) == 4_000 * 4_001 // 2
+    assert max(r.n for r in per_task) < 4_000
