@@ -25,9 +25,9 @@ def build_incidents(cases: DataFrame, codes: DataFrame) -> DataFrame:
     Python reads from files is a guess, and may have them broadcast. Cases without an ``ID`` meet no code; they are
     dealt by what else they hold instead of going to one task.
     """
-    of_id = F.xxhash64("ID")
-    named = codes.select("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips"), of_id.alias("_deal"))
-    dealt = cases.withColumn("_deal", F.when(F.col("ID").isNull(), F.xxhash64(*cases.columns)).otherwise(of_id))
+    has_id = F.when(F.col("ID").isNotNull(), F.lit(0).cast("bigint"))
+    named = codes.select("ID", without_blanks(F.col("CNTYFIPS")).alias("county_fips"), has_id.alias("_deal"))
+    dealt = cases.withColumn("_deal", has_id.otherwise(F.xxhash64(*cases.columns)))
     return dealt.join(named.hint("merge"), ["ID", "_deal"], "left").select(*cases.columns, "county_fips")
 
 
